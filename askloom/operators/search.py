@@ -151,6 +151,9 @@ def _grid(chunks: DataFrame, questions: DataFrame, k: int | None, limit: float |
 def _cells(chunks: DataFrame, questions: DataFrame, cell: list[str], k, limit, metric: str, dim: int) -> DataFrame:
     """Score the chunks and questions that share a cell."""
     vector = _vector_columns(chunks)
+    chunks = chunks.select(*cell, "chunk_id", *vector)
+    # fresh aliases: both sides may stem from the same table
+    questions = questions.select(*[F.col(c).alias(c) for c in (*cell, "query_id", *vector)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         query_ids, matrix = _matrix(right.select(["query_id", *vector]), dim)
@@ -230,10 +233,9 @@ def nearest_to_one(
     """Top-k of a single question, dense vectors: one scalar subquery, one take-ordered pass."""
     if opts.k is None:
         raise ValueError("a single-question top-k needs a number of results")
-    scored = chunks.select(
-        "chunk_id",
-        rounded(DISTANCES[opts.space](F.col("embedding"), question.select("embedding").scalar())).alias("distance"),
-    ).where(F.col("distance").isNotNull())
+    asked = chunks.select("chunk_id", "embedding", question.select("embedding").scalar().alias("_q"))
+    distance = DISTANCES[opts.space](F.col("embedding"), F.col("_q"))
+    scored = asked.select("chunk_id", rounded(distance).alias("distance")).where(F.col("distance").isNotNull())
     if limited:
         scored = scored.where(F.col("distance") <= opts.max_distance)
     return scored.orderBy("distance", "chunk_id").limit(opts.k)
