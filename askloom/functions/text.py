@@ -114,7 +114,7 @@ BLOCK_TAGS = (
     "h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
 )
 ENTITIES = (
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&middot;", "·"),
     ("&copy;", "©"),
     ("&quot;", '"'),

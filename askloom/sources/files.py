@@ -50,7 +50,7 @@ def csv_elements(spark: SparkSession, path: str, sep: str = ",", multi_line: boo
 
 def document_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files as rows ``(source_id, text)``."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_id"), F.col("value").alias("text")
     )
 
