@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 DECIMALS = 6
 HASH_DIM = 1024
@@ -63,22 +67,32 @@ def token_bucket(token: Column, dim: int = HASH_DIM) -> Column:
     return (code % dim).cast("int")
 
 
-def sorted_buckets(text: Column, dim: int = HASH_DIM) -> Column:
-    """Bucket of every token of the text, ascending, with repeats."""
-    return F.sort_array(F.transform(tokens(text), lambda t: token_bucket(t, dim)))
+def token_buckets(text: Column, dim: int = HASH_DIM) -> Column:
+    """Bucket of every token of the text, with repeats."""
+    return F.transform(tokens(text), lambda t: token_bucket(t, dim))
 
 
-def bucket_counts(buckets: Column, occurrences: Column) -> Column:
-    """How often each of the distinct ``buckets`` occurs in the ascending ``occurrences``.
+def count_buckets(dim: int = HASH_DIM):
+    """Arrow UDF: the distinct buckets of each row, ascending, and how often each occurs.
 
-    First positions in a sorted array are found by scans of plain integers, so no per-token row
-    and no shuffle is needed.
+    Only integers visit Python, and a whole batch is counted in one sort.
     """
-    first = F.transform(buckets, lambda b: F.array_position(occurrences, b))
-    after = F.slice(F.array_append(first, F.size(occurrences).cast("bigint") + 1), 2, F.size(first))
-    return F.when(F.size(buckets) == 0, F.array().cast("array<int>")).otherwise(
-        F.zip_with(first, after, lambda a, b: (b - a).cast("int"))
-    )
+
+    @arrow_udf("struct<buckets:array<int>,tf:array<int>>")
+    def counted(buckets: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        values = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs, tf = np.unique(row * dim + values, return_counts=True)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(pairs // dim, minlength=len(sizes)))))
+        offsets = pa.array(ends.astype(np.int32))
+        lists = [
+            pa.ListArray.from_arrays(offsets, pa.array(part.astype(np.int32)))
+            for part in (pairs % dim, tf)
+        ]
+        return pa.StructArray.from_arrays(lists, ["buckets", "tf"])
+
+    return counted
 
 
 def idf(n_chunks: Column, df: Column) -> Column:

@@ -98,7 +98,7 @@ def _block_entries(elements: DataFrame, opts: ChunkOptions, block: int) -> DataF
     )
     lens = F.transform("elements", lambda e: e["n"])
     exits = block_exits(opts)(lens, _breaks(F.col("elements"), opts), F.lit(block))
-    tables = many.select("source_id", "_block", exits.alias("exits")).withColumn(
+    tables = many.select("source_id", "source_ord", "_block", exits.alias("exits")).withColumn(
         "_super", F.floor(F.col("_block") / SUPER)
     )
     width = reach(opts.max_characters)
@@ -109,7 +109,7 @@ def _block_entries(elements: DataFrame, opts: ChunkOptions, block: int) -> DataF
             all_exits, identity, lambda acc, x: F.transform(acc, lambda e: F.element_at(x, e + 1))
         )
 
-    supers = tables.groupBy("source_id", "_super").agg(
+    supers = tables.groupBy("source_id", "source_ord", "_super").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_block", "exits"))), lambda s: s["exits"]
         ).alias("all_exits")
@@ -131,8 +131,8 @@ def _block_entries(elements: DataFrame, opts: ChunkOptions, block: int) -> DataF
     )
     inner = F.slice(path, F.lit(1), F.size("all_exits"))
     return entered.select(
-        "source_id", "_super", F.posexplode(inner).alias("_i", "entry")
-    ).select("source_id", (F.col("_super") * SUPER + F.col("_i")).alias("_block"), "entry")
+        "source_id", "source_ord", "_super", F.posexplode_outer(inner).alias("_i", "entry")
+    ).select("source_id", "source_ord", (F.col("_super") * SUPER + F.col("_i")).alias("_block"), "entry")
 
 
 def chunk_elements(
@@ -146,20 +146,27 @@ def chunk_elements(
     if block < reach(opts.max_characters):
         raise ValueError("a block must hold at least one full chunk")
     entries = _block_entries(elements, opts, block)
-    blocks = _blocks(elements, opts, block, "category", "text").join(entries, ["source_id", "_block"], "left")
+    place = ["source_id", "source_ord", "_block"]
+    # joins on the grouping keys: the texts stay where their one shuffle put them
+    blocks = _blocks(elements, opts, block, "category", "text").join(entries, place, "left")
     packed = _packed(
         blocks.withColumn("entry", F.coalesce("entry", F.lit(0))),
         F.col("entry"),
         F.least(F.lit(block), F.size("elements")),
         opts,
-    ).select("source_id", "source_ord", "_block", "_chunks")
-    pieces = packed.select(
-        "source_id", "source_ord", "_block", F.posexplode_outer("_chunks").alias("_i", "text")
-    ).where(F.col("text").isNotNull())
-    sizes = packed.select("source_id", "_block", F.size("_chunks").alias("n"))
+    )
+    # only sources of several blocks need a chunk number to start from
+    several = (F.col("_block") > 0) | (F.size("elements") > block)
+    sizes = packed.where(several).select(*place, F.size("_chunks").alias("n"))
     earlier = Window.partitionBy("source_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.withColumn("_base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    return pieces.join(bases.drop("n"), ["source_id", "_block"]).select(
+    bases = sizes.select(*place, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
+    pieces = packed.join(bases, place, "left").select(
+        "source_id",
+        "source_ord",
+        F.coalesce("_base", F.lit(0)).alias("_base"),
+        F.posexplode_outer("_chunks").alias("_i", "text"),
+    )
+    return pieces.where(F.col("text").isNotNull()).select(
         "source_id",
         "source_ord",
         (F.col("_base") + F.col("_i")).cast("bigint").alias("chunk_ord"),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloom.functions.vectors import HASH_DIM, bucket_counts, idf, sorted_buckets
+from askloom.functions.vectors import HASH_DIM, count_buckets, idf, token_buckets
 from askloom.options import EmbedOptions
 
 HASHED = "hashed-tfidf"
@@ -17,15 +17,14 @@ HASHED = "hashed-tfidf"
 
 def term_counts(texts: DataFrame, key: str, text: str = "text", dim: int = HASH_DIM) -> DataFrame:
     """``(key, buckets, tf)`` per text: map-only, no row per token."""
-    sorted_ = texts.select(key, sorted_buckets(F.col(text), dim).alias("_all"))
-    distinct = sorted_.withColumn("buckets", F.array_distinct("_all"))
-    return distinct.select(key, "buckets", bucket_counts(F.col("buckets"), F.col("_all")).alias("tf"))
+    counted = count_buckets(dim)(token_buckets(F.col(text), dim))
+    return texts.select(key, counted.alias("_c")).select(key, "_c.buckets", "_c.tf")
 
 
 def postings(counts: DataFrame, key: str) -> DataFrame:
     """``(key, bucket, tf)``, one row per distinct bucket of a text."""
-    pairs = F.explode(F.arrays_zip("buckets", "tf")).alias("p")
-    return counts.select(key, pairs).select(key, F.col("p.buckets").alias("bucket"), F.col("p.tf").alias("tf"))
+    pairs = F.explode_outer(F.arrays_zip("buckets", "tf")).alias("p")
+    return counts.select(key, pairs).where(F.col("p").isNotNull()).select(key, F.col("p.buckets").alias("bucket"), F.col("p.tf").alias("tf"))
 
 
 def idf_table(counts: DataFrame, dim: int = HASH_DIM) -> DataFrame:
@@ -34,7 +33,7 @@ def idf_table(counts: DataFrame, dim: int = HASH_DIM) -> DataFrame:
     The number of texts rides along as bucket -1, so one pass yields both. The groups are at most
     ``dim + 1``, summed map-side first; the array is bounded by ``dim`` whatever the corpus size.
     """
-    seen = counts.select(F.explode(F.concat(F.array(F.lit(-1)), F.col("buckets"))).alias("bucket"))
+    seen = counts.select(F.explode_outer(F.concat(F.array(F.lit(-1)), F.col("buckets"))).alias("bucket"))
     df = seen.groupBy("bucket").agg(F.count("*").alias("df"))
     slots = df.sparkSession.range(-1, dim).select(F.col("id").cast("int").alias("bucket"))
     full = slots.join(df, "bucket", "left").select("bucket", F.coalesce("df", F.lit(0)).alias("df"))

@@ -49,7 +49,8 @@ def nearest_approx(
     def banded(df: DataFrame, key: str) -> DataFrame:
         vectors = _present(df.select(key, "embedding"), dim)
         coded = vectors.withColumn("_codes", sign("embedding"))
-        return coded.select(key, "embedding", F.posexplode("_codes").alias("_band", "_code"))
+        # outer: a plain generator would compute the signatures once more to test for emptiness
+        return coded.select(key, "embedding", F.posexplode_outer("_codes").alias("_band", "_code"))
 
     bucket = ["_band", "_code"]
 

@@ -9,7 +9,8 @@ RANGES = 256
 
 
 def _range_number(bounds: Column, value: Column) -> Column:
-    return F.size(F.filter(bounds, lambda b: b <= value))
+    # never NULL, so that joins on it need no filter that would compute it once more
+    return F.coalesce(F.size(F.filter(bounds, lambda b: b <= value)), F.lit(0))
 
 
 def exclusive_prefix(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
@@ -38,6 +39,12 @@ def exclusive_prefix(df: DataFrame, order: str, value: str, out: str) -> DataFra
 
 
 CHUNK_BLOCK = 65_536
+# Chunks per partition folder of a stored collection.
+SEGMENT_ROWS = 1_048_576
+
+
+def segment_of(chunk_id: Column) -> Column:
+    return F.floor(chunk_id / SEGMENT_ROWS).cast("int")
 
 
 def assign_chunk_ids(chunks: DataFrame, block: int = CHUNK_BLOCK) -> DataFrame:

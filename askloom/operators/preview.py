@@ -10,7 +10,7 @@ from askloom.options import PreviewOptions
 
 
 def _lines(chunks: DataFrame) -> DataFrame:
-    lines = F.posexplode(F.split(render(F.col("text")), "\n", -1)).alias("line_no", "line")
+    lines = F.posexplode_outer(F.split(render(F.col("text")), "\n", -1)).alias("line_no", "line")
     return chunks.select("chunk_id", lines)
 
 

@@ -9,10 +9,15 @@ from askloom.functions.text import clean_elements, text_elements
 from askloom.operators.chunking import chunk_documents
 from askloom.operators.prompting import check_template, contexts, not_blank, prompts, with_texts
 from askloom.options import DEFAULT_CONTEXT_TEMPLATE, ChunkOptions, CleanOptions, SearchOptions
+from askloom.session import materialize
 from askloom.sources import collections
 from askloom.sources.routing import ingest_log
 
 
+# Hit rows (three numbers each) up to which the text lookup broadcasts them.
+BROADCAST_HITS = 500_000
+
+
 def elements_in_rows(docs: DataFrame, elements: Column, clean: CleanOptions = CleanOptions()) -> DataFrame:
     """``(source_id, source_ord, elements)`` with cleaned elements."""
     return docs.select("source_id", "source_ord", clean_elements(elements, clean).alias("elements"))
@@ -69,6 +74,10 @@ def rag_prompts(
             "context", one.select("context").scalar()
         )
     else:
-        hits = collections.search_collection(spark, root, name, asked, search)
+        # written once: scoring is the costly step, and the size of its result decides the join
+        hits = materialize(collections.search_collection(spark, root, name, asked, search), "hits")
+        if hits.count() <= BROADCAST_HITS:
+            # with a filter on the broadcast side, only the segments of the hits are read
+            hits = F.broadcast(hits.where(F.col("distance") <= search.max_distance))
         found = contexts(with_texts(hits, collections.collection_chunks(spark, root, name)))
     return prompts(questions, found, template)

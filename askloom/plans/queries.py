@@ -336,7 +336,8 @@ def chunk_text(spark, sf_dir):
 @query
 def split_oversized(spark, sf_dir):
     pieces = T.split_oversized(F.col("text"), 100)
-    return documents(spark, sf_dir).select("source_ord", F.posexplode(pieces).alias("piece_no", "piece"))
+    cut = documents(spark, sf_dir).select("source_ord", F.posexplode_outer(pieces).alias("piece_no", "piece"))
+    return cut.where(F.col("piece").isNotNull())
 
 
 @query
@@ -449,7 +450,7 @@ def embed_udf(spark, sf_dir):
 def l2_normalize(spark, sf_dir):
     moved = F.transform("embedding", lambda x: x.cast("double") + 0.25)
     unit = V.l2_normalize(moved)
-    return vectors(spark, sf_dir).select("chunk_id", F.posexplode(unit).alias("i", "x")).select(
+    return vectors(spark, sf_dir).select("chunk_id", F.posexplode_outer(unit).alias("i", "x")).select(
         "chunk_id", "i", F.round("x", 6).alias("x")
     )
 

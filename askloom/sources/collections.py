@@ -1,6 +1,6 @@
 """Named collections as partitioned parquet tables under one root folder.
 
-``chunks``   collection, chunk_id, source_id, source_ord, chunk_ord, text, n_chars
+``chunks``   collection, segment, chunk_id, source_id, source_ord, chunk_ord, text, n_chars
 ``vectors``  collection, chunk_id, buckets, tf
 ``terms``    collection, embedder, dim, n_chunks, idf   (one row per collection)
 """
@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 
 from askloom.functions.vectors import HASH_DIM
 from askloom.operators.embedding import HASHED, hash_embed, idf_table, term_counts, weigh
-from askloom.operators.ordering import assign_chunk_ids
+from askloom.operators.ordering import assign_chunk_ids, segment_of
 from askloom.operators.search import nearest
 from askloom.options import SearchOptions
 from askloom.session import materialize
 
 TABLES = ("chunks", "vectors", "terms")
 
+# Most chunks in one file; small collections are spread over the cores instead.
+FILE_ROWS = 131_072
+LEAST_FILE_ROWS = 4_096
+
 
 def _check_name(name: str) -> str:
     if not name or any(c in name for c in "/\\=:*?\"<>|{}%") or name.startswith("."):
@@ -44,9 +48,18 @@ def delete_collection(spark: SparkSession, root: str, name: str) -> None:
         fs.delete(path, True)
 
 
-def _replace(df: DataFrame, root: str, table: str, name: str) -> None:
+def _replace(df: DataFrame, root: str, table: str, name: str, *within: str) -> None:
     writer = df.withColumn("collection", F.lit(name)).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(f"{root}/{table}")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("collection", *within).parquet(f"{root}/{table}")
+
+
+def _laid_out(spark: SparkSession, chunks: DataFrame, total: int) -> DataFrame:
+    """Chunks in files of consecutive ids, so that looking up a few ids reads a few segments."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = max(LEAST_FILE_ROWS, min(FILE_ROWS, -(-total // cores)))
+    placed = chunks.withColumn("segment", segment_of(F.col("chunk_id")))
+    spread = placed.repartition(-(-total // rows), F.floor(F.col("chunk_id") / rows))
+    return spread.sortWithinPartitions("segment", "chunk_id")
 
 
 def _scan(spark: SparkSession, root: str, table: str, name: str) -> DataFrame:
@@ -62,16 +75,17 @@ def create_collection(
 ) -> DataFrame:
     """Create or replace a collection from chunks; returns the stored chunks.
 
-    The chunking result is written once before ids are given, so its plan runs once; then texts are
-    shuffled once, with the first id of their source. Tokens are counted in one more pass, map-only.
+    The chunking result is written once before ids are given, so its plan runs once. Texts are then
+    shuffled to meet the first id of their source (unless those ids are small enough to broadcast)
+    and once more into files of consecutive ids. Tokens are counted in one more pass, map-only.
     """
     _check_name(name)
     staged = materialize(chunks, "chunks")
-    delete_collection(spark, root, name)
-    _replace(assign_chunk_ids(staged), root, "chunks", name)
-    fs, path = _folder(spark, root, "chunks", name)
-    if not fs.exists(path):
+    total = staged.count()
+    if total == 0:
         raise ValueError("no texts were extracted: the collection cannot be created")
+    delete_collection(spark, root, name)
+    _replace(_laid_out(spark, assign_chunk_ids(staged), total), root, "chunks", name, "segment")
     stored = spark.read.parquet(f"{root}/chunks/collection={name}")
     _replace(term_counts(stored, "chunk_id", dim=dim), root, "vectors", name)
     counts = spark.read.parquet(f"{root}/vectors/collection={name}")

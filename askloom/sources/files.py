@@ -69,8 +69,12 @@ def elements_of(ext: str, text: Column) -> Column:
 
 
 def explode_elements(docs: DataFrame, *keys: str) -> DataFrame:
-    """Documents with an ``elements`` array to one row per element."""
-    return docs.select(*keys, F.posexplode("elements").alias("elem_ord", "e")).select(
+    """Documents with an ``elements`` array to one row per element.
+
+    Outer: a plain generator would add a "not empty" filter that repeats the array's computation.
+    """
+    rows = docs.select(*keys, F.posexplode_outer("elements").alias("elem_ord", "e"))
+    return rows.where(F.col("e").isNotNull()).select(
         *keys, F.col("elem_ord").cast("bigint").alias("elem_ord"), "e.category", "e.text"
     )
 

@@ -27,7 +27,7 @@ def gate(sources: DataFrame, uri: str = "uri") -> DataFrame:
 def url_list(rows: DataFrame, key: str, urls: str = "urls") -> DataFrame:
     """One row per URL of a white-space separated list, in list order, with its route."""
     parts = F.filter(F.split(F.col(urls), r"\s+"), lambda u: F.length(u) > 0)
-    listed = rows.select(key, F.posexplode(parts).alias("url_ord", "url"))
+    listed = rows.select(key, F.posexplode_outer(parts).alias("url_ord", "url")).where(F.col("url").isNotNull())
     return listed.withColumn(
         "route", F.when(F.contains("url", F.lit(VIDEO_HOST)), "video").otherwise("page")
     )

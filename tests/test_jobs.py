@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,7 +100,9 @@ def test_verbatim_passages_are_found(spark):
 
 
 def _write(path, name, rows):
+    """Files are read oldest first, so each is dated by its name."""
     (path / name).write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8")
+    os.utime(path / name, (1_700_000_000 + int(name[0]),) * 2)
 
 
 def test_streaming_ingest_equals_batch_and_resumes(spark, tmp_path):
