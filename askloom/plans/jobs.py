@@ -18,6 +18,17 @@ from askloom.sources.routing import ingest_log
 BROADCAST_HITS = 500_000
 
 
+# Characters of one context, which is one string of one row; beyond this, work with ranked hit rows.
+CONTEXT_CHARS = 256 * 1024 * 1024
+
+
+def _check_size(sizes: DataFrame) -> None:
+    """Refuse contexts that cannot be one string. ``sizes``: one number of characters per question."""
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest > CONTEXT_CHARS:
+        raise ValueError(f"a context of {largest} characters is too large for one prompt; lower the limit or use the hit rows")
+
+
 def elements_in_rows(docs: DataFrame, elements: Column, clean: CleanOptions = CleanOptions()) -> DataFrame:
     """``(source_id, source_ord, elements)`` with cleaned elements."""
     return docs.select("source_id", "source_ord", clean_elements(elements, clean).alias("elements"))
@@ -68,6 +79,7 @@ def rag_prompts(
     check_template(template)
     asked = not_blank(questions)
     if search.n_results == "all":
+        _check_size(collections.collection_chunks(spark, root, name).agg(F.sum("n_chars").alias("n")))
         whole = collections.retrieve_all(spark, root, name)
         one = contexts(whole.select(F.lit(0).alias("query_id"), F.lit(0.0).alias("distance"), "chunk_id", "text"))
         found = asked.select("query_id").withColumn("n_hits", one.select("n_hits").scalar()).withColumn(
@@ -76,6 +88,9 @@ def rag_prompts(
     else:
         # written once: scoring is the costly step, and the size of its result decides the join
         hits = materialize(collections.search_collection(spark, root, name, asked, search), "hits")
+        if search.k is None:
+            lengths = collections.collection_chunks(spark, root, name).select("chunk_id", "n_chars")
+            _check_size(hits.join(lengths, "chunk_id").groupBy("query_id").agg(F.sum("n_chars").alias("n")))
         if hits.count() <= BROADCAST_HITS:
             # with a filter on the broadcast side, only the segments of the hits are read
             hits = F.broadcast(hits.where(F.col("distance") <= search.max_distance))

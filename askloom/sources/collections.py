@@ -22,6 +22,8 @@ TABLES = ("chunks", "vectors", "terms")
 # Most chunks in one file; small collections are spread over the cores instead.
 FILE_ROWS = 131_072
 LEAST_FILE_ROWS = 4_096
+# Bound of the idf array, which every scoring task holds.
+MOST_BUCKETS = 65_536
 
 
 def _check_name(name: str) -> str:
@@ -80,6 +82,8 @@ def create_collection(
     and once more into files of consecutive ids. Tokens are counted in one more pass, map-only.
     """
     _check_name(name)
+    if not 1 <= dim <= MOST_BUCKETS:
+        raise ValueError(f"dim must lie between 1 and {MOST_BUCKETS}")
     staged = materialize(chunks, "chunks")
     total = staged.count()
     if total == 0:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from askloom.functions.text import text_elements
+from askloom.operators import ordering
 from askloom.options import SearchOptions
 from askloom.plans import jobs
 from askloom.session import new_table_path
@@ -58,6 +59,23 @@ def test_all_max_blank_and_no_context(spark, built):
     assert some[2]["status"] == "no_context" and some[2]["prompt"] is None and some[0]["n_hits"] >= 1
 
 
+def test_only_segments_of_hits_are_read(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SEGMENT_ROWS", 2)
+    root = new_table_path(spark, "collections")
+    jobs.build_collection(spark, root, "seg", docs(spark))
+    found = jobs.rag_prompts(spark, root, "seg", ask(spark, QUESTION), SearchOptions(1, 0.8))
+    assert [r["n_hits"] for r in found.collect()] == [1]
+    assert "dynamicpruningexpression(segment" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contexts_beyond_one_string_are_refused(spark, built, monkeypatch):
+    root, *_ = built
+    monkeypatch.setattr(jobs, "CONTEXT_CHARS", 60)
+    for opts in (SearchOptions("all"), SearchOptions("max", 2)):
+        with pytest.raises(ValueError, match="too large"):
+            jobs.rag_prompts(spark, root, "123", ask(spark, QUESTION + " безопасности"), opts)
+
+
 def test_collections_replace_drop_and_guard(spark, built):
     root = new_table_path(spark, "collections")
     collections.create_collection(spark, root, "one", jobs.chunk_documents(docs(spark)))
