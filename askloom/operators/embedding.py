@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,15 @@ def hash_embed(
 ModelFactory = Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]
 
 
+@dataclass(frozen=True)
+class Embedder:
+    """A name, kept with each collection, and the model behind it; no model means hashed tf-idf."""
+
+    name: str = HASHED
+    factory: ModelFactory | None = None
+    opts: EmbedOptions = EmbedOptions()
+
+
 def embed_texts(
     texts: DataFrame, key: str, factory: ModelFactory, text: str = "text", opts: EmbedOptions = EmbedOptions()
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions.text import clean_elements, text_elements
 from askloom.operators.chunking import chunk_documents
+from askloom.operators.embedding import Embedder
 from askloom.operators.prompting import check_template, contexts, not_blank, prompts, with_texts
 from askloom.options import DEFAULT_CONTEXT_TEMPLATE, ChunkOptions, CleanOptions, SearchOptions
 from askloom.session import materialize
@@ -51,12 +52,12 @@ def build_collection(
     docs: DataFrame,
     chunk: ChunkOptions = ChunkOptions(),
     sources: DataFrame | None = None,
-    embedder: str | None = collections.HASHED,
+    embedder: Embedder | None = Embedder(),
 ) -> tuple[DataFrame, DataFrame]:
     """Index sources with cleaned ``elements`` and report on each: ``(chunks, ingest log)``."""
     if embedder is None:
         raise ValueError("no embedder: the collection cannot be created")
-    stored = collections.create_collection(spark, root, name, chunk_documents(docs, chunk))
+    stored = collections.create_collection(spark, root, name, chunk_documents(docs, chunk), embedder)
     if sources is None:
         sources = docs.select(
             "source_id",
@@ -74,6 +75,7 @@ def rag_prompts(
     questions: DataFrame,
     search: SearchOptions = SearchOptions(),
     template: str = DEFAULT_CONTEXT_TEMPLATE,
+    embedder: Embedder = Embedder(),
 ) -> DataFrame:
     """Prompts for ``questions`` (query_id, text) from a stored collection."""
     check_template(template)
@@ -87,7 +89,7 @@ def rag_prompts(
         )
     else:
         # written once: scoring is the costly step, and the size of its result decides the join
-        hits = materialize(collections.search_collection(spark, root, name, asked, search), "hits")
+        hits = materialize(collections.search_collection(spark, root, name, asked, search, embedder), "hits")
         if search.k is None:
             lengths = collections.collection_chunks(spark, root, name).select("chunk_id", "n_chars")
             _check_size(hits.join(lengths, "chunk_id").groupBy("query_id").agg(F.sum("n_chars").alias("n")))

@@ -397,6 +397,27 @@ for _metric in ("cosine", "l2", "ip"):
       select chunk_id, label::bigint as label, {distance(_metric, 'v.e', 'c.v')} as distance from v join c on c.key = v.label"""
 
 
+ORACLE["stream_search"] = f"""with recursive {DOC_CHUNKS}, {WITH_IDS},
+  {weight_ctes('select chunk_id as key, text from ids')}, {sparse_hits(0.6, 3)}
+  select query_id, rank, id::varchar as source_id, chunk_ord, distance, text from hits join ids using (chunk_id)"""
+
+
+def _letters(x: str) -> str:
+    return f"list_transform(range(97, 123), lambda c: (length(lower({x})) - length(replace(lower({x}), chr(c::int), '')))::double)"
+
+
+ORACLE["rag_prompts_model"] = f"""with recursive {DOC_CHUNKS}, {WITH_IDS},
+  dv as (select chunk_id, v from (select chunk_id, {_letters('text')} as v from ids) where list_sum(v) > 0),
+  qv as (select item_id as query_id, v from (select item_id, {_letters('text')} as v from benchmark) where list_sum(v) > 0),
+  dist as (select query_id, chunk_id, {distance('cosine', 'qv.v', 'dv.v')} as distance from qv, dv),
+  hits as (select * from (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank
+                          from dist where distance <= 0.01) where rank <= 2),
+  {context_cte('ids', 'ids.chunk_id')}
+  select item_id as query_id, case when context is null then 'no_context' else 'answered' end as status,
+         coalesce(n_hits, 0)::int as n_hits, context, {filled('context', 'text')} as prompt
+  from benchmark left join found on query_id = item_id"""
+
+
 def _rag(limit: float, k: int | None, columns: str) -> str:
     asked = f"select item_id as key, text from benchmark where length({strip('text')}) > 0"
     return f"""with recursive {DOC_CHUNKS}, {WITH_IDS},

@@ -8,7 +8,6 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from askloom.functions import vectors as V
 from askloom.operators import conversation as C
 from askloom.operators import prompting as P
 from askloom.operators.chunking import chunk_documents, chunk_elements
-from askloom.operators.embedding import embed_texts, hash_embed, idf_table, term_counts, weigh
+from askloom.operators.embedding import Embedder, embed_texts, hash_embed, idf_table, term_counts, weigh
 from askloom.operators.generation import batch_generate
 from askloom.operators.lsh import nearest_approx
 from askloom.operators.ordering import assign_chunk_ids
@@ -28,7 +27,7 @@ from askloom.options import ChunkOptions, CleanOptions, EmbedOptions, PreviewOpt
 from askloom.plans import jobs
 from askloom.session import materialize, new_table_path, scan
 from askloom.sources import collections, files, routing, transcripts
-from askloom.streaming.ingest import ingest_stream, prompt_stream
+from askloom.streaming.ingest import ingest_stream, prompt_stream, search_ingested
 from askloom.streaming.turns import STATE_STORE, latest_user_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,10 +429,10 @@ def embed_queries(spark, sf_dir):
 
 
 def _letter_model():
-    """A deterministic stand-in for a model: shares of the 26 letters."""
+    """A deterministic stand-in for a model: how often each of the 26 letters occurs."""
 
     def encode(texts):
-        return [np.array([t.lower().count(chr(97 + i)) for i in range(26)]) / (len(t) or 1) for t in texts]
+        return [[t.lower().count(chr(97 + i)) for i in range(26)] for t in texts]
 
     return encode
 
@@ -568,6 +567,15 @@ def rag_prompts(spark, sf_dir):
     return jobs.rag_prompts(spark, root, name, questions(spark, sf_dir))
 
 
+@query
+def rag_prompts_model(spark, sf_dir):
+    """The same with a user-supplied dense model."""
+    root, model = new_table_path(spark, "collections"), Embedder("letters", _letter_model)
+    jobs.build_collection(spark, root, "123", document_elements(spark, sf_dir), embedder=model)
+    opts = SearchOptions(n_results=2, max_distance=0.01)
+    return jobs.rag_prompts(spark, root, "123", questions(spark, sf_dir), opts, embedder=model)
+
+
 @query
 def rag_prompts_max(spark, sf_dir):
     """All chunks within the limit go into the context, nearest first."""
@@ -736,6 +744,18 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(path).select(*CHUNKED)
 
 
+@query
+def stream_search(spark, sf_dir):
+    """Questions against what a stream of documents has left."""
+    path, checkpoint = new_table_path(spark, "stream"), new_table_path(spark, "checkpoint")
+    docs = _stream(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("source_id"), F.col("doc_id").alias("source_ord"), "text"
+    )
+    ingest_stream(docs, T.text_elements(F.col("text"), LINE), path, checkpoint).awaitTermination()
+    hits = search_ingested(spark, path, questions(spark, sf_dir), SearchOptions(n_results=3, max_distance=0.6))
+    return hits.select("query_id", "rank", "source_id", "chunk_ord", "distance", "text")
+
+
 @query
 def stream_prompts(spark, sf_dir):
     root, name = stored_documents(spark, sf_dir)

@@ -1,8 +1,8 @@
 """Named collections as partitioned parquet tables under one root folder.
 
 ``chunks``   collection, segment, chunk_id, source_id, source_ord, chunk_ord, text, n_chars
-``vectors``  collection, chunk_id, buckets, tf
-``terms``    collection, embedder, dim, n_chunks, idf   (one row per collection)
+``vectors``  collection, chunk_id, buckets, tf      or, with a model: embedding, error
+``terms``    collection, embedder, dim, n_chunks, idf   (one row per collection; no idf with a model)
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions.vectors import HASH_DIM
-from askloom.operators.embedding import HASHED, hash_embed, idf_table, term_counts, weigh
+from askloom.operators.embedding import Embedder, embed_texts, hash_embed, idf_table, term_counts, weigh
 from askloom.operators.ordering import assign_chunk_ids, segment_of
 from askloom.operators.search import nearest
 from askloom.options import SearchOptions
@@ -73,13 +73,18 @@ def _scan(spark: SparkSession, root: str, table: str, name: str) -> DataFrame:
 
 
 def create_collection(
-    spark: SparkSession, root: str, name: str, chunks: DataFrame, dim: int = HASH_DIM
+    spark: SparkSession,
+    root: str,
+    name: str,
+    chunks: DataFrame,
+    embedder: Embedder = Embedder(),
+    dim: int = HASH_DIM,
 ) -> DataFrame:
     """Create or replace a collection from chunks; returns the stored chunks.
 
     The chunking result is written once before ids are given, so its plan runs once. Texts are then
     shuffled to meet the first id of their source (unless those ids are small enough to broadcast)
-    and once more into files of consecutive ids. Tokens are counted in one more pass, map-only.
+    and once more into files of consecutive ids. They are embedded in one more pass, map-only.
     """
     _check_name(name)
     if not 1 <= dim <= MOST_BUCKETS:
@@ -91,10 +96,19 @@ def create_collection(
     delete_collection(spark, root, name)
     _replace(_laid_out(spark, assign_chunk_ids(staged), total), root, "chunks", name, "segment")
     stored = spark.read.parquet(f"{root}/chunks/collection={name}")
-    _replace(term_counts(stored, "chunk_id", dim=dim), root, "vectors", name)
-    counts = spark.read.parquet(f"{root}/vectors/collection={name}")
-    terms = idf_table(counts, dim).withColumn("embedder", F.lit(HASHED)).withColumn("dim", F.lit(dim))
-    _replace(terms, root, "terms", name)
+    if embedder.factory:
+        vectors = embed_texts(stored, "chunk_id", embedder.factory, opts=embedder.opts)
+    else:
+        vectors = term_counts(stored, "chunk_id", dim=dim)
+    _replace(vectors, root, "vectors", name)
+    embedded = spark.read.parquet(f"{root}/vectors/collection={name}")
+    if embedder.factory:
+        size = F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")
+        no_idf = F.lit(None).cast("array<double>").alias("idf")
+        terms = embedded.agg(F.count("*").alias("n_chunks"), size).select("n_chunks", no_idf, "dim")
+    else:
+        terms = idf_table(embedded, dim).withColumn("dim", F.lit(dim))
+    _replace(terms.withColumn("embedder", F.lit(embedder.name)), root, "terms", name)
     return collection_chunks(spark, root, name)
 
 
@@ -111,22 +125,32 @@ def retrieve_all(spark: SparkSession, root: str, name: str) -> DataFrame:
     return collection_chunks(spark, root, name).select("chunk_id", "text")
 
 
-def collection_terms(spark: SparkSession, root: str, name: str, embedder: str = HASHED) -> DataFrame:
-    """The collection's idf row; refuses an embedder other than the one it was built with."""
+def collection_terms(spark: SparkSession, root: str, name: str, embedder: Embedder = Embedder()) -> tuple[DataFrame, int]:
+    """The collection's one row of terms and its vector size.
+
+    Refuses an embedder other than the one the collection was built with.
+    """
     terms = _scan(spark, root, "terms", name)
-    built_with = terms.select("embedder").first()["embedder"]
-    if built_with != embedder:
-        raise ValueError(f"collection {name!r} was embedded with {built_with!r}, not {embedder!r}")
-    return terms
+    built = terms.select("embedder", "dim").first()
+    if built["embedder"] != embedder.name:
+        raise ValueError(f"collection {name!r} was embedded with {built['embedder']!r}, not {embedder.name!r}")
+    return terms, built["dim"]
 
 
 def search_collection(
-    spark: SparkSession, root: str, name: str, questions: DataFrame, opts: SearchOptions = SearchOptions()
+    spark: SparkSession,
+    root: str,
+    name: str,
+    questions: DataFrame,
+    opts: SearchOptions = SearchOptions(),
+    embedder: Embedder = Embedder(),
 ) -> DataFrame:
     """Hits of many questions ``(query_id, text)`` in one collection, embedded as the chunks were."""
-    terms = collection_terms(spark, root, name)
-    dim = terms.select("dim").first()["dim"]
+    terms, dim = collection_terms(spark, root, name, embedder)
+    stored = _scan(spark, root, "vectors", name)
+    if embedder.factory:
+        asked = embed_texts(questions, "query_id", embedder.factory, opts=embedder.opts)
+        return nearest(stored, asked, opts, dim=dim)
     idf_values = terms.select("idf").scalar()
-    vectors = weigh(_scan(spark, root, "vectors", name).select("chunk_id", "buckets", "tf"), "chunk_id", idf_values)
-    asked = hash_embed(questions, "query_id", idf_values, dim=dim)
-    return nearest(vectors, asked, opts, dim=dim)
+    vectors = weigh(stored.select("chunk_id", "buckets", "tf"), "chunk_id", idf_values)
+    return nearest(vectors, hash_embed(questions, "query_id", idf_values, dim=dim), opts, dim=dim)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from askloom.functions.text import text_elements
 from askloom.operators import ordering
+from askloom.operators.embedding import Embedder
 from askloom.options import SearchOptions
 from askloom.plans import jobs
 from askloom.session import new_table_path
 from askloom.sources import collections
-from askloom.streaming.ingest import ingest_stream, prompt_stream
+from askloom.streaming.ingest import ingest_stream, prompt_stream, search_ingested
 from askloom.streaming.turns import STATE_STORE, latest_user_turns
 
 MANUAL = [
@@ -59,6 +60,29 @@ def test_all_max_blank_and_no_context(spark, built):
     assert some[2]["status"] == "no_context" and some[2]["prompt"] is None and some[0]["n_hits"] >= 1
 
 
+def _lengths_model():
+    def encode(texts):
+        if any("курите" in t for t in texts):
+            raise RuntimeError("refused")
+        return [[float("масло" in t), float("Гарантия" in t), 0.1] for t in texts]
+
+    return encode
+
+
+def test_collection_of_a_user_model(spark):
+    """Dense vectors from a supplied model; a text it fails on is stored and never found."""
+    root, model = new_table_path(spark, "collections"), Embedder("flags", _lengths_model)
+    chunks, _ = jobs.build_collection(spark, root, "m", docs(spark), embedder=model)
+    assert chunks.count() == 3
+    got = jobs.rag_prompts(spark, root, "m", ask(spark, "масло", "Гарантия"), SearchOptions(1, 0.2), embedder=model)
+    contexts = {r["query_id"]: r["context"] for r in got.collect()}
+    assert contexts[0].startswith("Какое масло") and contexts[1].startswith("Гарантия")
+    every = collections.search_collection(spark, root, "m", ask(spark, "масло"), SearchOptions("max", 2), model)
+    assert sorted(r["chunk_id"] for r in every.collect()) == [1, 2]
+    with pytest.raises(ValueError, match="embedded with"):
+        jobs.rag_prompts(spark, root, "m", ask(spark, "масло"))
+
+
 def test_only_segments_of_hits_are_read(spark, monkeypatch):
     monkeypatch.setattr(ordering, "SEGMENT_ROWS", 2)
     root = new_table_path(spark, "collections")
@@ -91,7 +115,7 @@ def test_collections_replace_drop_and_guard(spark, built):
         lambda: collections.collection_chunks(spark, root, "one"),
         lambda: collections.create_collection(spark, root, "../x", jobs.chunk_documents(docs(spark))),
         lambda: collections.create_collection(spark, root, "none", jobs.chunk_documents(docs(spark, MANUAL[3:]))),
-        lambda: collections.collection_terms(spark, root, "007", "other-model"),
+        lambda: collections.collection_terms(spark, root, "007", Embedder("other-model")),
         lambda: jobs.build_collection(spark, root, "x", docs(spark), embedder=None),
         lambda: jobs.rag_prompts(spark, root, "007", ask(spark, "q"), template="{context}"),
     ):
@@ -132,8 +156,8 @@ def test_streaming_ingest_equals_batch_and_resumes(spark, tmp_path):
     def run():
         stream = spark.readStream.schema("source_id string, source_ord bigint, text string").option("maxFilesPerTrigger", 1).json(str(source))
         ingest_stream(stream, text_elements(F.col("text"), r"\n"), out, checkpoint).awaitTermination()
-        rows = spark.read.parquet(out).select("source_ord", "chunk_ord", "text", "chunk_key").collect()
-        assert len({r["chunk_key"] for r in rows}) == len(rows)
+        rows = spark.read.parquet(out).select("source_ord", "chunk_ord", "text", "chunk_id").collect()
+        assert [r["chunk_id"] for r in sorted(rows)] == sorted({r["chunk_id"] for r in rows})
         return sorted((r[0], r[1], r[2]) for r in rows)
 
     def batch(rows):
@@ -144,6 +168,8 @@ def test_streaming_ingest_equals_batch_and_resumes(spark, tmp_path):
     assert run() == batch(MANUAL[:2])
     _write(source, "3.json", [dict(zip(fields, r)) for r in MANUAL[2:]])
     assert run() == batch(MANUAL)
+    best = search_ingested(spark, out, ask(spark, QUESTION), SearchOptions(1, 0.8)).first()
+    assert best["source_id"] == "b" and best["rank"] == 1
 
 
 def test_streaming_prompts_equal_batch(spark, built, tmp_path):
