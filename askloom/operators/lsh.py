@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from askloom.operators.search import CELL_ROWS, _cells, _present, _top
 from askloom.options import SearchOptions
 
+BANDS, BITS = 16, 6
+BUCKET = ["_band", "_code"]
+# Bound of bands * 2**bits: folders of an index, and bucket numbers that may reach the driver.
+MOST_BUCKETS = 65_536
+
 
 def signatures(dim: int, bands: int, bits: int, seed: int = 7):
     """Arrow UDF: one integer per band from the signs of ``bits`` fixed random projections."""
+    if bands * 2**bits > MOST_BUCKETS:
+        raise ValueError(f"bands * 2**bits must not exceed {MOST_BUCKETS}")
     planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
     powers = 1 << np.arange(bits, dtype=np.int64)
 
@@ -27,50 +36,100 @@ def signatures(dim: int, bands: int, bits: int, seed: int = 7):
     return sign
 
 
-def nearest_approx(
-    chunks: DataFrame,
-    questions: DataFrame,
-    opts: SearchOptions = SearchOptions(),
-    *,
-    dim: int,
-    bands: int = 16,
-    bits: int = 6,
-    cell_rows: int = CELL_ROWS,
-) -> DataFrame:
-    """Top-k among the chunks that share a signature band with the question.
+def _banded(df: DataFrame, key: str, dim: int, bands: int, bits: int) -> DataFrame:
+    """One row per vector and band: its bucket, id and vector."""
+    coded = _present(df.select(key, "embedding"), dim).withColumn("_codes", signatures(dim, bands, bits)("embedding"))
+    # outer: a plain generator would compute the signatures once more to test for emptiness
+    return coded.select(key, "embedding", F.posexplode_outer("_codes").alias(*BUCKET))
 
-    Only bands some question falls in are shuffled. A bucket with many chunks is cut into cells by
-    id hash, with the questions copied to each, and a cell emits at most ``k`` rows per question.
-    """
-    if opts.k is None:
-        raise ValueError("an approximate top-k needs a number of results")
-    sign = signatures(dim, bands, bits)
 
-    def banded(df: DataFrame, key: str) -> DataFrame:
-        vectors = _present(df.select(key, "embedding"), dim)
-        coded = vectors.withColumn("_codes", sign("embedding"))
-        # outer: a plain generator would compute the signatures once more to test for emptiness
-        return coded.select(key, "embedding", F.posexplode_outer("_codes").alias("_band", "_code"))
+def _top_in_buckets(offered: DataFrame, asked: DataFrame, opts: SearchOptions, dim: int, cell_rows: int) -> DataFrame:
+    """Exact top-k among the rows that share a bucket.
 
-    bucket = ["_band", "_code"]
+    A bucket with many rows on either side is cut into cells by id hash, with the other side copied
+    to each; a cell emits at most ``k`` rows per question.
+    """
 
     def cells(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*bucket).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
+        return df.groupBy(*BUCKET).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
 
     def placed(df: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         own_cell = F.pmod(F.xxhash64(key), F.col(own_n)).cast("int")
-        return df.join(sizes, bucket).withColumn(own, own_cell).withColumn(
+        return df.join(sizes, BUCKET).withColumn(own, own_cell).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))
         )
 
-    asked = banded(questions, "query_id")
-    offered = banded(chunks, "chunk_id").join(
-        asked.select(*bucket).distinct(), bucket, "left_semi"
-    )
-    sizes = cells(offered, "_nc").join(cells(asked, "_nq"), bucket)
+    sizes = cells(offered, "_nc").join(cells(asked, "_nq"), BUCKET)
     spread = placed(offered, "chunk_id", "_c", "_nc", "_q", "_nq")
     copied = placed(asked, "query_id", "_q", "_nq", "_c", "_nc")
     hits = _cells(
-        spread, copied, [*bucket, "_c", "_q"], opts.k, float(opts.max_distance), opts.space, dim
+        spread, copied, [*BUCKET, "_c", "_q"], opts.k, float(opts.max_distance), opts.space, dim
     )
     return _top(hits.distinct(), opts.k)
+
+
+def _check(opts: SearchOptions) -> None:
+    if opts.k is None:
+        raise ValueError("an approximate top-k needs a number of results")
+
+
+def nearest_approx(
+    chunks: DataFrame,
+    questions: DataFrame,
+    opts: SearchOptions = SearchOptions(),
+    *,
+    dim: int,
+    bands: int = BANDS,
+    bits: int = BITS,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Top-k among the chunks that share a signature band with the question, without an index.
+
+    All vectors are read, but only those in buckets some question falls in are shuffled.
+    """
+    _check(opts)
+    asked = _banded(questions, "query_id", dim, bands, bits)
+    wanted = asked.select(*BUCKET).distinct()
+    offered = _banded(chunks, "chunk_id", dim, bands, bits).join(wanted, BUCKET, "left_semi")
+    return _top_in_buckets(offered, asked, opts, dim, cell_rows)
+
+
+def write_index(
+    chunks: DataFrame, path: str, *, dim: int, bands: int = BANDS, bits: int = BITS, file_rows: int = CELL_ROWS
+) -> None:
+    """Keep the vectors once per band, in a table partitioned by bucket.
+
+    Files hold about ``file_rows`` vectors: a hot bucket gets as many files as it needs, each
+    written by its own task.
+    """
+    banded = _banded(chunks, "chunk_id", dim, bands, bits)
+    # rows of a bucket if all were spread evenly; a hotter one is cut by its own count
+    sizes = banded.groupBy(*BUCKET).agg(F.ceil(F.count("*") / file_rows).cast("int").alias("_files"))
+    spread = banded.join(F.broadcast(sizes), BUCKET).withColumn(
+        "_file", F.pmod(F.xxhash64("chunk_id"), F.col("_files")).cast("int")
+    )
+    spread.repartition(*BUCKET, "_file").drop("_files", "_file").write.mode("overwrite").partitionBy(*BUCKET).parquet(path)
+
+
+def nearest_indexed(
+    spark: SparkSession,
+    path: str,
+    questions: DataFrame,
+    opts: SearchOptions = SearchOptions(),
+    *,
+    dim: int,
+    bands: int = BANDS,
+    bits: int = BITS,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Top-k from an index: only the folders of buckets some question falls in are read."""
+    _check(opts)
+    asked = _banded(questions, "query_id", dim, bands, bits)
+    # at most bands * 2**bits pairs of integers
+    wanted: dict[int, list[int]] = {}
+    for row in asked.select(*BUCKET).distinct().collect():
+        wanted.setdefault(row["_band"], []).append(row["_code"])
+    folders = [(F.col("_band") == band) & F.col("_code").isin(codes) for band, codes in wanted.items()]
+    stored = spark.read.schema("chunk_id bigint, embedding array<float>, _band int, _code bigint").parquet(path)
+    offered = stored.where(reduce(lambda a, b: a | b, folders, F.lit(False)))
+    return _top_in_buckets(offered, asked, opts, dim, cell_rows)

@@ -19,7 +19,7 @@ from askloom.operators import prompting as P
 from askloom.operators.chunking import chunk_documents, chunk_elements
 from askloom.operators.embedding import Embedder, embed_texts, hash_embed, idf_table, term_counts, weigh
 from askloom.operators.generation import batch_generate
-from askloom.operators.lsh import nearest_approx
+from askloom.operators.lsh import nearest_approx, nearest_indexed, write_index
 from askloom.operators.ordering import assign_chunk_ids
 from askloom.operators.preview import line_count, preview_lines
 from askloom.operators.search import filter_by_distance, nearest, nearest_to_one, rank_hits
@@ -507,7 +507,16 @@ def range_search(spark, sf_dir):
 @query
 def knn_lsh(spark, sf_dir):
     opts = SearchOptions(n_results=5, max_distance=2)
-    return nearest_approx(vectors(spark, sf_dir), label_centres(spark, sf_dir), opts, dim=DIM)
+    return nearest_approx(vectors(spark, sf_dir), label_centres(spark, sf_dir), opts, dim=DIM, bands=8, bits=4)
+
+
+@query
+def knn_indexed(spark, sf_dir):
+    """The same from a stored index, of which only the buckets of the questions are read."""
+    path = new_table_path(spark, "index")
+    write_index(vectors(spark, sf_dir), path, dim=DIM, bands=8, bits=4)
+    opts = SearchOptions(n_results=5, max_distance=2)
+    return nearest_indexed(spark, path, label_centres(spark, sf_dir), opts, dim=DIM, bands=8, bits=4)
 
 
 @query

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from askloom.functions import vectors as V
 from askloom.operators.embedding import embed_texts, hash_embed, idf_table, term_counts
-from askloom.operators.lsh import nearest_approx
+from askloom.operators.lsh import nearest_approx, nearest_indexed, write_index
 from askloom.operators.search import filter_by_distance, nearest, nearest_to_one, rank_hits
 from askloom.options import EmbedOptions, SearchOptions
+from askloom.session import new_table_path
 
 
 def frames(spark, chunks: np.ndarray, questions: np.ndarray):
@@ -129,9 +130,17 @@ def test_lsh_recall_with_a_hot_bucket(spark):
     c, q = frames(spark, chunks, centres)
     opts = SearchOptions(n_results=5, max_distance=0.5)
     exact = set(found(nearest(c, q, opts, dim=16)))
-    near = set(found(nearest_approx(c, q, opts, dim=16, bands=16, bits=6, cell_rows=16)))
+    near = set(found(nearest_approx(c, q, opts, dim=16, bands=8, bits=4, cell_rows=16)))
     assert len(exact & near) / len(exact) >= 0.9
     assert near and all(d <= 0.5 for _, _, d in near)
+    path = new_table_path(spark, "index")
+    write_index(c, path, dim=16, bands=8, bits=4, file_rows=64)
+    indexed = nearest_indexed(spark, path, q, opts, dim=16, bands=8, bits=4, cell_rows=16)
+    assert set(found(indexed)) == near
+    assert found(nearest_indexed(spark, path, q.limit(0), opts, dim=16, bands=8, bits=4)) == []
+    one = nearest_indexed(spark, path, q.limit(1), opts, dim=16, bands=8, bits=4)
+    scans = [line for line in one._jdf.queryExecution().toString().split("\n") if "FileScan" in line and "embedding" in line]
+    assert scans and all("PartitionFilters: [(" in line for line in scans)
 
 
 def test_vector_columns(spark):
