@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from askloom.functions.vectors import HASH_DIM
 from askloom.operators.embedding import Embedder, embed_texts, hash_embed, idf_table, term_counts, weigh
-from askloom.operators.ordering import assign_chunk_ids, segment_of
+from askloom.operators.ordering import SEGMENT_ROWS, assign_chunk_ids, segment_of
 from askloom.operators.search import nearest
 from askloom.options import SearchOptions
 from askloom.session import materialize
 
 TABLES = ("chunks", "vectors", "terms")
 
-# Most chunks in one file; small collections are spread over the cores instead.
-FILE_ROWS = 131_072
-LEAST_FILE_ROWS = 4_096
+# Writing tasks: one per segment or core, but not for fewer chunks than this, nor more tasks than this.
+LEAST_ROWS = 4_096
+MOST_PARTS = 50_000
 # Bound of the idf array, which every scoring task holds.
 MOST_BUCKETS = 65_536
 
@@ -56,11 +56,15 @@ def _replace(df: DataFrame, root: str, table: str, name: str, *within: str) -> N
 
 
 def _laid_out(spark: SparkSession, chunks: DataFrame, total: int) -> DataFrame:
-    """Chunks in files of consecutive ids, so that looking up a few ids reads a few segments."""
-    cores = spark.sparkContext.defaultParallelism
-    rows = max(LEAST_FILE_ROWS, min(FILE_ROWS, -(-total // cores)))
+    """Chunks in partitions of consecutive ids, so that looking up a few ids reads a few segments.
+
+    Ids are dense, so equal shares need neither hashing nor sampling.
+    """
+    wanted = max(spark.sparkContext.defaultParallelism, -(-total // SEGMENT_ROWS))
+    parts = max(1, min(wanted, -(-total // LEAST_ROWS), MOST_PARTS))
+    share = -(-total // parts)
     placed = chunks.withColumn("segment", segment_of(F.col("chunk_id")))
-    spread = placed.repartition(-(-total // rows), F.floor(F.col("chunk_id") / rows))
+    spread = placed.repartitionById(parts, F.floor(F.col("chunk_id") / share).cast("int"))
     return spread.sortWithinPartitions("segment", "chunk_id")
 
 
