@@ -22,12 +22,6 @@ def term_counts(texts: DataFrame, key: str, text: str = "text", dim: int = HASH_
     return texts.select(key, counted.alias("_c")).select(key, "_c.buckets", "_c.tf")
 
 
-def postings(counts: DataFrame, key: str) -> DataFrame:
-    """``(key, bucket, tf)``, one row per distinct bucket of a text."""
-    pairs = F.explode_outer(F.arrays_zip("buckets", "tf")).alias("p")
-    return counts.select(key, pairs).where(F.col("p").isNotNull()).select(key, F.col("p.buckets").alias("bucket"), F.col("p.tf").alias("tf"))
-
-
 def idf_table(counts: DataFrame, dim: int = HASH_DIM) -> DataFrame:
     """One row with the array of ``dim`` idf values of a collection and its number of chunks.
 

@@ -103,7 +103,7 @@ def write_index(
     written by its own task.
     """
     banded = _banded(chunks, "chunk_id", dim, bands, bits)
-    # rows of a bucket if all were spread evenly; a hotter one is cut by its own count
+    # one row per bucket, at most MOST_BUCKETS
     sizes = banded.groupBy(*BUCKET).agg(F.ceil(F.count("*") / file_rows).cast("int").alias("_files"))
     spread = banded.join(F.broadcast(sizes), BUCKET).withColumn(
         "_file", F.pmod(F.xxhash64("chunk_id"), F.col("_files")).cast("int")

@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-ELEMENT = "struct<category:string,text:string>"
-ELEMENTS = "source_id string, source_ord bigint, elem_ord bigint, category string, text string"
 CHUNK_COLUMNS = ("source_id", "source_ord", "chunk_ord", "text", "n_chars")
 HITS = "query_id bigint, chunk_id bigint, distance double"
-PART = "struct<type:string,text:string,image_url:string>"
-MESSAGE = f"struct<role:string,content:array<{PART}>>"
-TRANSCRIPTS = "video_id string, lang string, is_generated boolean, seq bigint, text string"
-PAGES = "page_id bigint, url string, html string"
 
 # Element categories.
 TITLE = "Title"
 LIST_ITEM = "ListItem"
 NARRATIVE = "NarrativeText"
-
-# Per-source load states.
-STATUSES = (
-    "loaded",
-    "unsupported",
-    "error",
-    "invalid_url",
-    "no_text",
-    "no_subtitles",
-    "lang_missing",
-)
