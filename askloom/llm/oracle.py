@@ -14,17 +14,17 @@ WITH RECURSIVE words AS (
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s
+    ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s
   FROM words
 ), ids AS (SELECT s, row_number() OVER () AS k FROM (SELECT s FROM shingles GROUP BY s HAVING count(*) > 1)
 ), held AS (SELECT doc_id, k FROM shingles JOIN ids USING (s)
 ), sizes AS (SELECT doc_id, count(s) AS n FROM (SELECT doc_id FROM documents) LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
-), both AS (
+), common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
   FROM held a JOIN held b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
-  SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * both.n >= 75 * (x.n + y.n - both.n)
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= 75 * (x.n + y.n - common.n)
 ), near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, n.b FROM reach r JOIN near n ON r.other = n.a
@@ -32,3 +32,20 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, s.n AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM sizes s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
+
+ORACLE["op2_substring_dedup"] = rf"""
+WITH texts AS (SELECT doc_id, {WORDS} AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts)
+), firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (h) WHERE doc_id > first
+), places AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts
+), kept AS (
+  SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.i) AS text
+  FROM places p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id
+)
+SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""

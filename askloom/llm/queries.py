@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from askloom.llm.near_duplicates import op7_minhash_near_dedup
 from askloom.llm.oracle import ORACLE
+from askloom.llm.substring_dedup import op2_substring_dedup
 
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op7_minhash_near_dedup,)
+    q.__name__: q for q in (op2_substring_dedup, op7_minhash_near_dedup)
 }
