@@ -49,3 +49,22 @@ WITH texts AS (SELECT doc_id, {WORDS} AS w FROM documents
 SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM texts t LEFT JOIN kept k USING (doc_id)
 """
+
+ORACLE["op5_mixing"] = """
+WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source
+), total AS (SELECT sum(pow(n, 0.7)) AS sw, sum(n) AS sn FROM sizes
+), rates AS (SELECT source, pow(n, 0.7) / sw * sn / n AS rate FROM sizes, total
+), terms AS (
+  SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates, unnest(range(0, 256)) t(k)
+), below AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM terms
+), drawn AS (
+  SELECT doc_id, source, text,
+    ('0x' || substr(md5('20260:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents
+), counted AS (
+  SELECT d.doc_id, d.source, d.text, count(b.k) AS n FROM drawn d
+  LEFT JOIN below b ON b.source IS NOT DISTINCT FROM d.source AND b.f <= d.u GROUP BY ALL
+)
+SELECT doc_id, source, copy::INTEGER AS copy,
+  ('0x' || substr(md5('20260 order:' || doc_id || ':' || copy), 1, 15))::BIGINT AS shuffle_key, text
+FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)
+"""
