@@ -267,7 +267,7 @@ def exact_links(docs: DataFrame, reps: DataFrame, loose: DataFrame, width: int =
     heads = loose.select(F.col("component").alias("doc_id"), "component").distinct()
     members = named.unionByName(heads).join(reps.select("doc_id", "n_shingles", "d1"), "doc_id")
     members = materialize(_blocks(members), "blocks")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
     sets = texts.mapInArrow(_sets(width), "doc_id bigint, component bigint, block int, blocks int, shingles binary")
     # block b meets every block, each unordered pair in one place
     other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.col("block") + 1) - 1)).alias("other")
