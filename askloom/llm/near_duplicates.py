@@ -11,9 +11,9 @@
    miss a pair with probability under 2e-6. Nodes of one document end; nodes of more than ``leaf``
    documents branch again, down to ``depth``.
 4. In a leaf all documents are compared by their minwise values and linked loosely (agreement far below
-   what similarity 0.75 gives, five standard deviations); a node still large at the last level,
-   which is a family of close copies, is linked as a whole. The loose components are only a
-   superset of the real ones and decide nothing.
+   what similarity 0.75 gives, five standard deviations); a large node that holds half of its parent
+   or is still large at the last level, which is a family of close copies, is linked as a whole.
+   The loose components are only a superset of the real ones and decide nothing.
 5. The full sets of documents in a loose component meet in blocks of bounded size, each pair of blocks
    once, where every pair is compared exactly. A task emits one row per document and block
    pair, never pairs.
@@ -111,7 +111,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, trees: int = TREES, branches:
 
 
 def _branch(branches: int):
-    """Rows (node, doc_id, signature) to the rows of their children."""
+    """Rows (node, doc_id, n, signature) to the rows of their children, with the size of their parent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,8 @@ def _branch(branches: int):
                 position = chosen(node, b)
                 key = child(node, position, values[rows, position].astype(U))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), batch.column("doc_id")], names=["node", "doc_id"]
+                    [pa.array(key.view(np.int64)), batch.column("doc_id"), batch.column("n")],
+                    names=["node", "doc_id", "parent"],
                 )
 
     return run
@@ -160,27 +161,26 @@ def _loose_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def loose_links(reps: DataFrame, branches: int = BRANCHES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
     """Links (a, b) whose components hold every similar pair that meets in a leaf of some tree."""
-    level = reps.select(F.explode("nodes").alias("node"), "doc_id")
+    level = reps.select(F.explode("nodes").alias("node"), "doc_id", F.lit(None).cast("bigint").alias("parent"))
     carried = reps.select("doc_id", "n_shingles", "signature")
     out = None
     for k in range(depth):
-        count = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        count = level.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("b")).where("n > 1")
         shared = materialize(level.join(count, "node"), "nodes")
-        if k + 1 < depth:
-            small, large = shared.where(F.col("n") <= leaf), shared.where(F.col("n") > leaf)
-        else:
-            small, large = shared.where(F.col("n") <= leaf), None
-            whole = shared.where(F.col("n") > leaf)
-            centre = whole.groupBy("node").agg(F.min("doc_id").alias("b"))
-            star = whole.join(centre, "node").select(F.col("doc_id").alias("a"), "b").where("a != b")
-            out = out.unionByName(star)
-        leaves = small.drop("n").join(carried, "doc_id").repartition("node").sortWithinPartitions("node", "doc_id")
+        leaves = shared.where(F.col("n") <= leaf).select("node", "doc_id").join(carried, "doc_id")
+        leaves = leaves.repartition("node").sortWithinPartitions("node", "doc_id")
         links = leaves.mapInArrow(_loose_links, "a bigint, b bigint")
+        large = shared.where(F.col("n") > leaf)
+        family = (2 * F.col("n") >= F.col("parent")) if k + 1 < depth else F.lit(True)
+        family = F.coalesce(family, F.lit(False))
+        star = large.where(family & (F.col("doc_id") != F.col("b"))).select(F.col("doc_id").alias("a"), "b")
+        links = links.unionByName(star)
         out = links if out is None else out.unionByName(links)
-        if large is None or large.isEmpty():
+        large = large.where(~family)
+        if large.isEmpty():
             break
-        level = large.select("node", "doc_id").join(carried.select("doc_id", "signature"), "doc_id")
-        level = level.select("node", "doc_id", "signature").mapInArrow(_branch(branches), "node bigint, doc_id bigint")
+        level = large.select("node", "doc_id", "n").join(carried.select("doc_id", "signature"), "doc_id")
+        level = level.mapInArrow(_branch(branches), "node bigint, doc_id bigint, parent bigint")
     return out.distinct()
 
 
