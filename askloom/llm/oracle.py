@@ -68,3 +68,34 @@ SELECT doc_id, source, copy::INTEGER AS copy,
   ('0x' || substr(md5('20260 order:' || doc_id || ':' || copy), 1, 15))::BIGINT AS shuffle_key, text
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)
 """
+
+# Vectors that take part, as whole rows; the components are cast to double first.
+ORACLE["op1_exact_topk"] = """
+WITH vectors AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::HUGEINT for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), components AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM vectors
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x) AS score
+  FROM components q JOIN components c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score::BIGINT AS score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE["op6_embedding_near_dedup"] = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in embedding if x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT r.vec_id, coalesce(any_value(c.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept
+FROM reach r LEFT JOIN counts c USING (vec_id) GROUP BY r.vec_id
+"""

@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from askloom.llm.bpe import op10_bpe
+from askloom.llm.cells import op6_embedding_near_dedup
 from askloom.llm.mixing import op5_mixing
 from askloom.llm.near_duplicates import op7_minhash_near_dedup
 from askloom.llm.oracle import ORACLE
 from askloom.llm.quality import op8_quality_classifier
 from askloom.llm.substring_dedup import op2_substring_dedup
+from askloom.llm.topk import op1_exact_topk
 
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
+        op1_exact_topk,
         op2_substring_dedup,
         op5_mixing,
+        op6_embedding_near_dedup,
         op7_minhash_near_dedup,
         op8_quality_classifier,
         op10_bpe,
