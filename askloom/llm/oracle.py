@@ -99,3 +99,25 @@ WITH RECURSIVE fine AS (
 SELECT r.vec_id, coalesce(any_value(c.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept
 FROM reach r LEFT JOIN counts c USING (vec_id) GROUP BY r.vec_id
 """
+
+# The control strings of the chat template; a text that holds one has its backslashes doubled and a
+# backslash put into each control string.
+CONTROL = r"<s>|</s>|\[/?INST!?\]|\[/?ANS!?\]|<</?SYS!?>>|\[/?ROLE[ \]]"
+
+ORACLE["op4_chat_format"] = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, CASE WHEN regexp_matches(text, '{CONTROL}')
+      THEN 1 + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '{CONTROL}')) ELSE length(text) END
+    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 WHEN 'system' THEN 17 ELSE 16 + length(role) END AS n
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
