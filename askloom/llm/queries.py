@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from askloom.llm.bpe import op10_bpe
 from askloom.llm.cells import op6_embedding_near_dedup
 from askloom.llm.chat import op4_chat_format
+from askloom.llm.html import op9_html_extraction
+from askloom.llm.language import op3_language_id
 from askloom.llm.mixing import op5_mixing
 from askloom.llm.near_duplicates import op7_minhash_near_dedup
 from askloom.llm.oracle import ORACLE
@@ -22,11 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_exact_topk,
         op2_substring_dedup,
+        op3_language_id,
         op4_chat_format,
         op5_mixing,
         op6_embedding_near_dedup,
         op7_minhash_near_dedup,
         op8_quality_classifier,
+        op9_html_extraction,
         op10_bpe,
     )
 
