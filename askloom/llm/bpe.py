@@ -4,10 +4,10 @@ The vocabulary file is that of a public tokenizer for the tokenizers library: a
 ends over byte letters, text in NFC and lower case, white space dropped. It is read on the driver and
 broadcast; its size does not depend on the data.
 
-Encoding: an Aho-Corasick automaton over all tokens lists the tokens that start at each place of a
-word. From the left the longest is taken whose neighbour to the left is compatible, that is, merging
-both tokens' text gives exactly these two tokens; where none fits, the last token is given up for a shorter
-one and the place is never tried again, so a word takes linear time. The result is the sequence of the exact
+Encoding: an Aho-Corasick automaton over all tokens gives the longest token that starts at a place of a
+word. It, or else the longest of its beginnings that is a token, is taken if it is compatible with the token
+before it, that is, merging both tokens' text gives exactly these two; where none fits, the last token is given
+up for a shorter one and the place is never tried again, so a word takes linear time. The result is the sequence of the exact
 merges. Distinct words are encoded once per task.
 
 Decoding: all token strings lie in one byte table; a token's offset and length there give its bytes, and a
@@ -36,6 +36,18 @@ SUFFIX = "</w>"
 CACHED_WORDS = 400_000
 
 
+class _Known(dict):
+    """Words and their ids; a word that is missing is encoded and kept."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        ids = self[raw] = self.find(raw)
+        return ids
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte: itself if visible, else the next from 256 on."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -68,13 +80,18 @@ class Bpe:
             self.rank[left, right] = k
             self.parts.setdefault(whole, (left, right, k))
         self.tokens = ahocorasick.Automaton()
+        self.text: dict[int, str] = {}
+        self.shorter_of: dict[int, int | None] = {}
         for token, number in vocab.items():
             if number in self.parts or len(token.removesuffix(SUFFIX)) == 1:
                 own = token.removesuffix(SUFFIX) + END if token.endswith(SUFFIX) else token
-                self.tokens.add_word(own, (number, len(own)))
+                self.tokens.add_word(own, number)
+                self.text[number] = own
         self.tokens.make_automaton()
+        self.size = {number: len(own) for number, own in self.text.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = _Known(self.word)
+        self.known_pieces: dict[str, tuple[int, ...]] = {}
         strings = {number: token for token, number in vocab.items()} | {n: s for s, n in self.special.items()}
         table_ = [(strings.get(i, "") + " ").encode() for i in range(max(strings) + 1)]
         self.offsets = np.concatenate(([0], np.cumsum([len(x) for x in table_])))
@@ -111,56 +128,66 @@ class Bpe:
         """Token ids of one piece, given in byte letters."""
         text = word + END
         n = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, (number, length) in self.tokens.iter(text):
-            if last != n - 2:  # the last letter and the word end are one symbol
-                starts[last - length + 1].append((number, length))
+        tokens, size, fits = self.tokens, self.size, self.fits
         out: list[int] = []
-        places, tries = [0], [len(starts[0]) - 1]
-        closed = bytearray(n + 1)
-        while places[-1] < n:
-            at, k = places[-1], tries[-1]
-            while k >= 0:
-                number, length = starts[at][k]
-                if not closed[at + length] and (not out or self.compatible(out[-1], number)):
+        at = 0
+        closed: set[int] = set()
+        longest = tokens.iter_long(text)  # one longest match after the other, while they fit
+        found = next(longest, None)
+        while at < n:
+            token = found[1] if found and found[0] - size[found[1]] + 1 == at else None
+            fresh = token is not None
+            while token is not None:
+                end = at + size[token]
+                if end not in closed and (
+                    not out or (fits[out[-1], token] if (out[-1], token) in fits else self.compatible(out[-1], token))
+                ):
                     break
-                k -= 1
-            if k >= 0:
-                out.append(number)
-                tries[-1] = k - 1
-                places.append(at + length)
-                tries.append(len(starts[at + length]) - 1 if at + length < n else -1)
-            else:
-                closed[at] = 1
-                places.pop()
-                tries.pop()
-                out.pop()
+                token, fresh = self.shorter(token), False
+            while token is None:  # nothing fits here: give up the last token for a shorter one
+                closed.add(at)
+                last = out.pop()
+                at -= size[last]
+                token = self.shorter(last)
+                while token is not None and (
+                    at + size[token] in closed or (out and not self.compatible(out[-1], token))
+                ):
+                    token = self.shorter(token)
+                fresh = False
+            out.append(token)
+            at += size[token]
+            if not fresh:
+                longest = tokens.iter_long(text, at) if at < n else iter(())
+            found = next(longest, None)
         return tuple(out)
 
+    def shorter(self, token: int) -> int | None:
+        """The longest token that is a proper beginning of this one."""
+        if token not in self.shorter_of:
+            text = self.text[token]
+            starts = (text[:k] for k in range(len(text) - 1, 0, -1))
+            self.shorter_of[token] = next((self.tokens.get(s) for s in starts if self.tokens.exists(s)), None)
+        return self.shorter_of[token]
+
     def word(self, raw: str) -> tuple[int, ...]:
         """Token ids of a stretch of text without white space."""
-        known = self.words.get(raw)
-        if known is None:
-            letters = self.letters
-            text = unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
-            shape = text
-            if not text.isascii():  # characters not in the Unicode version of the library count as symbols
-                shape = "".join([END if unicodedata.category(c) == "Cn" else c for c in text])
-            pieces = [text[m.start() : m.end()] for m in self.pieces.finditer(shape)]
-            known = tuple(
-                chain.from_iterable(self.merged("".join([letters[b] for b in p.encode()])) for p in pieces)
-            )
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[raw] = known
-        return known
+        letters = self.letters
+        text = unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
+        parts = []
+        for piece in self.pieces.findall(text):
+            ids = self.known_pieces.get(piece)
+            if ids is None:
+                ids = self.merged("".join([letters[b] for b in piece.encode()]))
+                self.known_pieces[piece] = ids
+            parts.append(ids)
+        if len(self.words) >= CACHED_WORDS:
+            self.words.clear()
+            self.known_pieces.clear()
+        return parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts))
 
     def stretch(self, text: str) -> Iterator[tuple[int, ...]]:
         parts = self.blank.split(text) if self.odd.search(text) else text.split()
-        words = self.words
-        for raw in parts:
-            known = words.get(raw)
-            yield self.word(raw) if known is None else known
+        return map(self.words.__getitem__, parts)
 
     def encode(self, text: str) -> Iterator[int]:
         if self.apart is None or not any(s in text for s in self.special):

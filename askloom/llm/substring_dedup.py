@@ -161,8 +161,8 @@ def _cut(keep_rest: list[str]):
         for batch in portions(batches, "text"):
             words = Words(batch.column("text"), rolling=roll)
             removed = np.zeros(len(words.hashes) + 1, dtype=np.int64)
-            copied = batch.column("copied").to_numpy(zero_copy_only=False).astype(bool)
-            spans = batch.column("spans").to_pylist()
+            copied = batch.column("_copied").to_numpy(zero_copy_only=False).astype(bool)
+            spans = batch.column("_gone").to_pylist()
             out, out_spans = [], []
             for i in range(batch.num_rows):
                 a, b = int(words.bounds[i]), int(words.bounds[i + 1])
@@ -202,7 +202,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     the remaining words joined by one blank. A null text has no words. Repeated rows are all returned
     and never remove one another, since only a smaller ``doc_id`` counts; rows without an id neither
     lose words nor make others lose any. An empty table gives no rows. Columns may have any names but
-    those four and ``_tag``.
+    those four, ``_tag``, ``_id``, ``_of``, ``_gone`` and ``_copied``.
     """
     tagged = docs.withColumn("_tag", F.xxhash64("text"))
     keyed = tagged.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_tag").alias("tag"), "text")
@@ -230,9 +230,9 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     gone = spans.withColumn("copied", F.lit(False)).unionByName(
         copies.withColumn("spans", F.lit(None).cast("binary"))
     )
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of"), "spans", "copied")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of"), F.col("spans").alias("_gone"), F.col("copied").alias("_copied"))
     cut = tagged.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_tag") == F.col("_of")), "left")
-    cut = cut.withColumn("copied", F.coalesce("copied", F.lit(False))).drop("_id", "_of", "_tag")
+    cut = cut.withColumn("_copied", F.coalesce("_copied", F.lit(False))).drop("_id", "_of", "_tag")
     added = T.StructType.fromDDL("_n_words bigint, _n_removed bigint, _spans binary, _kept string")
     return cut.mapInArrow(_cut(docs.columns), T.StructType([*docs.schema.fields, *added.fields]))
 
