@@ -26,7 +26,7 @@ SCALE = 1.0
 BROADCAST_SOURCES = 100_000
 # Above this mean the draw is a sum of several smaller ones, since exp(-mean) would vanish.
 LARGEST_MEAN = 64
-# More terms than any draw can need at that mean.
+# More terms than any draw of that mean has in double precision.
 TERMS = 256
 
 
@@ -57,32 +57,32 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digits, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def poisson_inverse(u: Column, mean: Column) -> Column:
-    """Smallest k whose Poisson distribution function exceeds ``u``."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("below"), F.lit(0).alias("k"))
+def distribution(mean: Column) -> Column:
+    """Poisson distribution function at 0, 1, ... as far as it still grows in double precision."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("below"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * mean / i
-        more = s["below"] <= u
-        return F.struct(
-            F.when(more, p).otherwise(s["p"]).alias("p"),
-            F.when(more, s["below"] + p).otherwise(s["below"]).alias("below"),
-            F.when(more, i).otherwise(s["k"]).alias("k"),
-        )
+        return F.struct(p.alias("p"), F.concat(s["below"], F.array(F.element_at(s["below"], -1) + p)).alias("below"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["k"])
+    return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["below"]))
 
 
-def copies_of(identity: Column, rate: Column, seed: int = SEED) -> Column:
-    """Number of copies of a document under ``rate``; large rates add up several draws."""
-    parts = F.greatest(F.ceil(rate / LARGEST_MEAN), F.lit(1)).cast("int")
+def with_distribution(rates: DataFrame) -> DataFrame:
+    """Rates with the number of draws they are split into and the distribution function of one draw."""
+    parts = F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN), F.lit(1)).cast("int")
+    split = rates.withColumn("parts", parts)
+    return split.withColumn("below", distribution(F.col("rate") / F.col("parts")))
 
-    def draw(part: Column) -> Column:
-        return poisson_inverse(uniform(F.lit(str(seed)), identity, part.cast("string")), rate / parts)
 
-    return F.when(rate <= 0, 0).otherwise(
-        F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda total, part: total + draw(part))
-    )
+def copies_of(identity: Column, rate: Column, parts: Column, below: Column, seed: int = SEED) -> Column:
+    """Number of copies of a document: per draw, the places where the distribution function is not above its number.
+
+    The numbers are an array of their own, so each is hashed once and not once per comparison.
+    """
+    numbers = F.transform(F.sequence(F.lit(1), parts), lambda i: uniform(F.lit(str(seed)), identity, i.cast("string")))
+    drawn = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter(below, lambda f: f <= u)))
+    return F.when(rate <= 0, 0).otherwise(drawn)
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, scale: float = SCALE, seed: int = SEED) -> DataFrame:
@@ -93,13 +93,14 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, scale: float = SCALE,
     result is sorted by ``_order`` within each partition and dealt over the partitions by it.
     """
     rates = repetition_rates(docs, natural_targets(docs) if targets is None else targets, scale)
-    rates = rates.withColumnRenamed("source", "_source").withColumnRenamed("rate", "_rate")
+    rates = with_distribution(rates).toDF("_source", "_rate", "_parts", "_below")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     identity = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
     # one copy count per row: the generator reads it from a column of its own
-    drawn = drawn.withColumn("_n", copies_of(identity, F.col("_rate"), seed)).drop("_source", "_rate")
+    drawn = drawn.withColumn("_n", copies_of(identity, *map(F.col, ("_rate", "_parts", "_below")), seed))
+    drawn = drawn.drop("_source", "_rate", "_parts", "_below")
     many = F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.col("_n")))
     repeated = drawn.withColumn("_copy", F.explode_outer(many)).where(F.col("_copy").isNotNull()).drop("_n")
     digits = F.md5(F.concat_ws(":", F.lit(f"{seed} order"), identity, F.col("_copy").cast("string")).cast("binary"))
