@@ -29,7 +29,7 @@ BEGIN = "<s>"
 FORMS = {"user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 OTHER = ("[ROLE ", "[/ROLE]")
 CONTROL = re.compile(r"<s>|</s>|\[/?INST!?\]|\[/?ANS!?\]|<</?SYS!?>>|\[/?ROLE(?=[ \]])")
-STRONG = re.compile(r"[\[\]<>]")
+STRONG = re.compile(CONTROL.pattern + r"|[\[\]<>]")
 ESCAPED = re.compile(r"\\(.)", re.S)
 OPENING = re.compile(r"\[INST(!?)\] |\[ANS(!?)\] |<<SYS(!?)>> |\[ROLE ((?:[^\]\\]|\\.)*?)(!?)\] ", re.S)
 PIECES = "conv_id bigint, turn bigint, role string, piece string, loss_start int, loss_end int, escaped boolean"
@@ -41,7 +41,7 @@ def escape(text: str, level: int) -> str:
         return text
     text = text.replace("\\", "\\\\")
     if level > 1:
-        return STRONG.sub(lambda m: "\\" + m[0], text)
+        return STRONG.sub(lambda m: "".join("\\" + c if c in "[]<>" or i == 1 else c for i, c in enumerate(m[0])), text)
     return CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
 
