@@ -11,7 +11,7 @@
    miss a pair with probability under 2e-6. Nodes of one document end; nodes of more than ``leaf``
    documents branch again, down to ``depth``.
 4. In a leaf all documents are compared by their minwise values and linked loosely (agreement far below
-   what similarity 0.75 gives, five standard deviations); a large node that holds half of its parent
+   what similarity 0.75 gives, five standard deviations); a large node that holds most of its parent
    or is still large at the last level, which is a family of close copies, is linked as a whole.
    The loose components are only a superset of the real ones and decide nothing.
 5. The full sets of documents in a loose component meet in blocks of bounded size, each pair of blocks
@@ -41,13 +41,15 @@ SIMILAR = 75  # per cent
 TREES = 6
 BRANCHES = 2
 DEPTH = 4
-LEAF = 64
+LEAF = 256
+# A large node that holds at least this share of its parent is a family of close copies.
+FAMILY = 0.75
 POSITIONS = 64
 # Positions that two sets of similarity 0.75 agree on: 48 on average, 3.5 standard deviation.
 LEAST_AGREED = 30
 # Shingles and documents per block of the exact comparison.
-BLOCK_SHINGLES = 1 << 18
-BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1 << 19
+BLOCK_ROWS = 1024
 
 ODD = powers(0x9E3779B97F4A7C15, POSITIONS + 1)[1:]
 SKETCH = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, signature binary, nodes array<bigint>"
@@ -171,7 +173,7 @@ def loose_links(reps: DataFrame, branches: int = BRANCHES, depth: int = DEPTH, l
         leaves = leaves.repartition("node").sortWithinPartitions("node", "doc_id")
         links = leaves.mapInArrow(_loose_links, "a bigint, b bigint")
         large = shared.where(F.col("n") > leaf)
-        family = (2 * F.col("n") >= F.col("parent")) if k + 1 < depth else F.lit(True)
+        family = (F.col("n") >= FAMILY * F.col("parent")) if k + 1 < depth else F.lit(True)
         family = F.coalesce(family, F.lit(False))
         star = large.where(family & (F.col("doc_id") != F.col("b"))).select(F.col("doc_id").alias("a"), "b")
         links = links.unionByName(star)
