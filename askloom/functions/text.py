@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from askloom.options import CleanOptions
 from askloom.schemas import LIST_ITEM, NARRATIVE, TITLE
@@ -29,7 +33,8 @@ def clean_lower(c: Column) -> Column:
 
 
 def clean_trailing(c: Column) -> Column:
-    return F.rtrim(c, F.lit(TRAILING))
+    """Without white space around and punctuation at the end."""
+    return F.rtrim(strip(c), F.lit(TRAILING))
 
 
 def clean_dashes(c: Column) -> Column:
@@ -107,39 +112,35 @@ def org_elements(text: Column) -> Column:
     return heading_elements(text, ORG_HEADING)
 
 
-# Markup dropped with its content, block tags that end an element, entities.
+# Markup dropped with its content, block tags that end an element.
 DROPPED_TAGS = ("script", "style", "nav", "footer", "title")
 BLOCK_TAGS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|form|"
     "h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
 )
-ENTITIES = (
-    ("&nbsp;", "\u00a0"),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&quot;", '"'),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&amp;", "&"),
-)
 
-# Private-use characters: they cannot be typed into a page by accident of markup.
-_END, _HEAD, _ITEM = "\ue000", "\ue001", "\ue002"
+# Noncharacters: Unicode keeps them for use inside a program, so no page has them as text; stray ones are dropped.
+_END, _HEAD, _ITEM = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+@F.pandas_udf(StringType())
+def decode_references(texts: pd.Series) -> pd.Series:
+    """Character references, named and numeric, to their characters."""
+    return texts.map(unescape, na_action="ignore")
 
 
 def html_marked(html: Column) -> Column:
     """Page source to text in which every element starts with a marker for its category."""
-    c = html
+    c = F.translate(html, _END + _HEAD + _ITEM, "")
     for tag in DROPPED_TAGS:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
+        # an unclosed one reaches to the end of the page
+        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
+    c = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)", " ")
     c = F.regexp_replace(c, r"(?i)<h[1-6]\b[^>]*>", _END + _HEAD)
     c = F.regexp_replace(c, r"(?i)<li\b[^>]*>", _END + _ITEM)
     c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", _END)
     c = F.regexp_replace(c, r"<[^>]*>", "")
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    return decode_references(c)
 
 
 def html_elements(html: Column) -> Column:

@@ -71,6 +71,8 @@ def _top_in_buckets(offered: DataFrame, asked: DataFrame, opts: SearchOptions, d
 def _check(opts: SearchOptions) -> None:
     if opts.k is None:
         raise ValueError("an approximate top-k needs a number of results")
+    if opts.space != "cosine":
+        raise ValueError("sign signatures find neighbours by angle only: space must be 'cosine'")
 
 
 def nearest_approx(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Option ranges, keywords and defaults of the query surface.
+# Keywords and defaults of the query surface.
 CHUNKING_STRATEGIES = ("basic", "by_title")
 SUBTITLE_LANGS = ("ru", "en")
 METRICS = ("cosine", "l2", "ip")
@@ -17,9 +17,9 @@ DEFAULT_CONTEXT_TEMPLATE = """Ответь на вопрос при услови
 {user_message}"""
 
 
-def _within(name: str, value: float, low: float, high: float) -> None:
-    if isinstance(value, bool) or not low <= value <= high:
-        raise ValueError(f"{name} must lie between {low} and {high}, got {value!r}")
+def _at_least(name: str, value: float, low: float) -> None:
+    if isinstance(value, bool) or not value >= low:
+        raise ValueError(f"{name} must be at least {low}, got {value!r}")
 
 
 def _one_of(name: str, value: object, allowed: tuple) -> None:
@@ -50,11 +50,11 @@ class ChunkOptions:
 
     def __post_init__(self) -> None:
         _one_of("chunking_strategy", self.chunking_strategy, CHUNKING_STRATEGIES)
-        _within("max_characters", self.max_characters, 50, 2000)
-        _within("new_after_n_chars", self.new_after_n_chars, 50, 2000)
-        _within("overlap", self.overlap, 0, 200)
-        if self.overlap >= self.max_characters:
-            raise ValueError("overlap must be smaller than max_characters")
+        _at_least("max_characters", self.max_characters, 2)
+        _at_least("new_after_n_chars", self.new_after_n_chars, 0)
+        _at_least("overlap", self.overlap, 0)
+        if self.overlap >= self.max_characters - 1:
+            raise ValueError("overlap must leave room for new characters below max_characters")
 
     @property
     def soft(self) -> int:
@@ -79,7 +79,7 @@ class EmbedOptions:
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """``n_results`` is 1..5, ``'max'`` (all within the limit) or ``'all'`` (every chunk, no limit)."""
+    """``n_results`` is a positive number, ``'max'`` (all within the limit) or ``'all'`` (every chunk, no limit)."""
 
     n_results: int | str = 2
     max_distance: float = 0.5
@@ -89,8 +89,8 @@ class SearchOptions:
         if isinstance(self.n_results, str):
             _one_of("n_results", self.n_results, ("max", "all"))
         else:
-            _within("n_results", self.n_results, 1, 5)
-        _within("max_distance", self.max_distance, 0, 2)
+            _at_least("n_results", self.n_results, 1)
+        _at_least("max_distance", self.max_distance, float("-inf"))
         _one_of("space", self.space, METRICS)
 
     @property
@@ -112,10 +112,10 @@ class SamplingOptions:
     reasoning_format: str = "none"
 
     def __post_init__(self) -> None:
-        _within("temperature", self.temperature, 0.1, 3)
-        _within("top_p", self.top_p, 0.1, 1)
-        _within("top_k", self.top_k, 1, 50)
-        _within("repeat_penalty", self.repeat_penalty, 1, 5)
+        _at_least("temperature", self.temperature, 0)
+        _at_least("top_p", self.top_p, 0)
+        _at_least("top_k", self.top_k, 0)
+        _at_least("repeat_penalty", self.repeat_penalty, 0)
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,7 @@ class ChatOptions:
     context_template: str = DEFAULT_CONTEXT_TEMPLATE
 
     def __post_init__(self) -> None:
-        _within("history_len", self.history_len, 0, 10)
+        _at_least("history_len", self.history_len, 0)
 
 
 @dataclass(frozen=True)
@@ -139,7 +139,7 @@ class PreviewOptions:
     max_lines: int = 200
 
     def __post_init__(self) -> None:
-        _within("max_lines", self.max_lines, -1, 499)
+        _at_least("max_lines", self.max_lines, -1)
 
 
 def check_subtitle_lang(lang: str) -> str:

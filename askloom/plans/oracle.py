@@ -21,7 +21,7 @@ def strip(x: str) -> str:
 
 
 def trailing(x: str) -> str:
-    return f"rtrim({x}, {lit(T.TRAILING)})"
+    return f"rtrim({strip(x)}, {lit(T.TRAILING)})"
 
 
 def dashes(x: str) -> str:
@@ -66,28 +66,32 @@ def line_elements(table: str, key: str, text: str = "text", clean_opts: CleanOpt
 
 def _html(x: str) -> str:
     for tag in T.DROPPED_TAGS:
-        x = f"regexp_replace({x}, {lit(rf'(?is)<{tag}\b[^>]*>.*?</{tag}\s*>')}, ' ', 'g')"
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
-    x = f"regexp_replace({x}, {lit(r'(?i)<h[1-6]\b[^>]*>')}, chr(57344) || chr(57345), 'g')"
-    x = f"regexp_replace({x}, {lit(r'(?i)<li\b[^>]*>')}, chr(57344) || chr(57346), 'g')"
-    x = f"regexp_replace({x}, {lit(rf'(?i)</?(?:{T.BLOCK_TAGS})\b[^>]*>')}, chr(57344), 'g')"
+        x = f"regexp_replace({x}, {lit(rf'(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)')}, ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?(?:-->|\\z)', ' ', 'g')"
+    x = f"regexp_replace({x}, {lit(r'(?i)<h[1-6]\b[^>]*>')}, chr(64976) || chr(64977), 'g')"
+    x = f"regexp_replace({x}, {lit(r'(?i)<li\b[^>]*>')}, chr(64976) || chr(64978), 'g')"
+    x = f"regexp_replace({x}, {lit(rf'(?i)</?(?:{T.BLOCK_TAGS})\b[^>]*>')}, chr(64976), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for name, char in T.ENTITIES:
+    for name, char in REFERENCES:
         x = f"replace({x}, {lit(name)}, {lit(char)})"
     return x
 
 
+# Character references that the given pages hold, written out by hand.
+REFERENCES = (("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
 def html_elements(clean_opts: CleanOptions | None = None) -> str:
-    value = strip("translate(raw, chr(57345) || chr(57346), '')")
+    value = strip("translate(raw, chr(64977) || chr(64978), '')")
     if clean_opts:
         value = clean(value, clean_opts)
     return f"""
       select id, row_number() over (partition by id order by pos) - 1 as ord, category, t as text
       from (select id, pos, {value} as t,
-              case when starts_with(raw, chr(57345)) then 'Title' when starts_with(raw, chr(57346)) then 'ListItem'
+              case when starts_with(raw, chr(64977)) then 'Title' when starts_with(raw, chr(64978)) then 'ListItem'
                    else 'NarrativeText' end as category
             from (select id, unnest(parts) as raw, unnest(range(len(parts))) as pos
-                  from (select page_id as id, string_split({_html('html')}, chr(57344)) as parts from pages)))
+                  from (select page_id as id, string_split({_html('html')}, chr(64976)) as parts from pages)))
       where t <> ''"""
 
 
@@ -250,7 +254,7 @@ def history(rows: str, pairs: int) -> str:
 
 
 PAST = "coalesce(array_to_string(past, ' | '), '')"
-REQUESTS = f"""(select conv_id * 1000 + turn as request_id, text,
+REQUESTS = f"""(select conv_id || '-' || turn as request_id, text,
                   case when conv_id % 2 = 0 then ['system: Be brief.'] else [] end || past || ['user: ' || text] as said
                 from {history(COLLAPSED, 2)} where role = 'user')"""
 PATHS = f"""(select conv_id, turn, role, text, case when role = 'user' then
@@ -299,8 +303,12 @@ ORACLE.update(
                 case when g.status = 'loaded' then coalesce(k.n, 0) else 0 end as n
               from {_GATED} g left join (select id::varchar as source_id, count(*) as n from chunks group by 1) k using (source_id))
       select status, count(*) as n_sources, sum(n)::bigint as n_chunks from log group by status""",
-    csv_elements=f"""select 'NarrativeText' as category, doc_id || ' ' || lang || ' ' || source || ' ' || trim({_flat('text')}) as text from documents""",
-    tsv_elements=f"""select 'NarrativeText' as category, conv_id || ' ' || turn || ' ' || role || ' ' || trim({_flat('text')}) as text from conversations""",
+    csv_elements=f"""select 'NarrativeText' as category, part, elem_ord,
+        trim(case when part = 'short' then doc_id || ' ' else doc_id || ' ' || lang || ' say "' || source || '", ok ' end || trim({_flat('text')})) as text
+      from (select *, case when doc_id % 2 = 0 then 'short' else 'long' end as part,
+              row_number() over (partition by doc_id % 2 order by doc_id) - 1 as elem_ord from documents)""",
+    tsv_elements=f"""select 'NarrativeText' as category, row_number() over (order by conv_id, turn) - 1 as elem_ord,
+        conv_id || ' ' || turn || ' ' || role || ' ' || trim({_flat('text')}) as text from conversations""",
     md_elements=_heading("#"),
     org_elements=_heading("*"),
     ooxml_elements=f"""select doc_id || '.' || {nth(('docx', 'pptx', 'xlsx'), 'doc_id % 3 + 1')} as source_id, ord as elem_ord, category, e.text, null::varchar as error
@@ -317,12 +325,12 @@ ORACLE.update(
     clean_bullets=f"select doc_id, line, {bullets('text')} as text from {_LED}",
     clean_whitespace=f"select doc_id, line, {whitespace('text')} as text from {_LED}",
     clean_dashes=f"select doc_id, line, {dashes('text')} as text from {_LED}",
-    clean_trailing=f"select doc_id, line, {trailing(strip('text'))} as text from {_LED}",
+    clean_trailing=f"select doc_id, line, {trailing('text')} as text from {_LED}",
     clean_lower=f"select doc_id, line, lower(text) as text from {_LED}",
     clean_all=f"select doc_id, line, {clean('text', ALL_STEPS)} as text from {_LED}",
     chunk_basic=f"with recursive {DOC_CHUNKS} select {CHUNK_COLUMNS} from chunks",
     chunk_rows=f"with recursive {DOC_CHUNKS} select {CHUNK_COLUMNS} from chunks",
-    chunk_text=f"""with recursive {chunk_ctes(line_elements('conversations', 'conv_id * 1000 + turn', clean_opts=ALL_STEPS), SMALL)}
+    chunk_text=f"""with recursive {chunk_ctes(line_elements('conversations', 'conv_id * 1000000000 + turn', clean_opts=ALL_STEPS), SMALL)}
       select {CHUNK_COLUMNS} from chunks""",
     split_oversized=f"""with recursive src as (select doc_id as id, text from documents), {piece_ctes('src', 100)}
       select id as source_ord, i as piece_no, piece from pieces""",
@@ -371,11 +379,16 @@ ORACLE.update(
     build_messages=f"select request_id, len(said)::int as n, array_to_string(said, ' | ') as messages from {REQUESTS}",
     sampling_params="""select conv_id, turn, 0.2::double as temperature, case when turn % 2 = 0 then 0.9 else 0.0 end::double as top_p,
       case when turn % 2 = 0 then 40 else 1 end as top_k, 1.0::double as repeat_penalty, -1 as max_tokens from conversations""",
-    request_rows=f"""select request_id, 0.2::double as temperature, case when request_id % 2 = 0 then 0.9 else 0.0 end::double as top_p,
-      case when request_id % 2 = 0 then 40 else 1 end as top_k, 1.0::double as repeat_penalty, 'false' as enable_thinking,
+    request_rows=f"""select request_id, 0.2::double as temperature, case when split_part(request_id, '-', 2)::bigint % 2 = 0 then 0.9 else 0.0 end::double as top_p,
+      case when split_part(request_id, '-', 2)::bigint % 2 = 0 then 40 else 1 end as top_k, 1.0::double as repeat_penalty, 'false' as enable_thinking,
       string_split(said[1], ':')[1] as first_role, len(said)::int as n from {REQUESTS}""",
     running_concat="""select answer_id, seq, string_agg(tok, '') over (partition by answer_id order by seq rows unbounded preceding) as content
       from (select item_id as answer_id, unnest(string_split(text, ' ')) || ' ' as tok, unnest(range(len(string_split(text, ' ')))) as seq from benchmark)""",
+    collection_exists="""select conv_id::varchar as name, conv_id % 2 = 0 as found from conversations
+      where conv_id < 6 group by conv_id""",
+    template_status="""select conv_id, turn,
+        case when text like '%x%' and conv_id % 3 = 0 then 'missing: context' when conv_id % 3 = 1 then 'missing: user_message'
+             when conv_id % 3 = 2 then 'ok' else 'missing: context, user_message' end as status from conversations""",
     rollback_failed="""with f as (select conv_id, turn from conversations where role = 'assistant' and length(text) % 2 = 0)
       select * from conversations c where not exists (select 1 from f where f.conv_id = c.conv_id and c.turn in (f.turn, f.turn - 1))""",
     batch_generate=f"select request_id, len(said) || ': ' || text as answer, null::varchar as error from {REQUESTS}",

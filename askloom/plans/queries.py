@@ -28,7 +28,7 @@ from askloom.plans import jobs
 from askloom.session import materialize, new_table_path, scan
 from askloom.sources import collections, files, routing, transcripts
 from askloom.streaming.ingest import ingest_stream, prompt_stream, search_ingested
-from askloom.streaming.turns import STATE_STORE, latest_user_turns
+from askloom.streaming.turns import latest_user_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,10 +199,17 @@ def ingest_log(spark, sf_dir):
 
 @query
 def csv_elements(spark, sf_dir):
+    """Records of two files of different width, with commas, doubled quotes and empty cells."""
     path = new_table_path(spark, "csv")
     flat = F.regexp_replace("text", r"\s+", " ")
-    table(spark, sf_dir, "documents").select("doc_id", "lang", "source", flat.alias("text")).write.csv(path)
-    return files.csv_elements(spark, path).select("category", "text")
+    rows = table(spark, sf_dir, "documents").withColumn("text", flat)
+    said = F.concat(F.lit('say "'), "source", F.lit('", ok'))
+    short = rows.where("doc_id % 2 = 0").orderBy("doc_id").select("doc_id", "text")
+    long = rows.where("doc_id % 2 = 1").orderBy("doc_id").select("doc_id", F.lit(None).cast("string"), "lang", said, "text")
+    for name, part in (("short", short), ("long", long)):
+        part.coalesce(1).write.option("escape", '"').csv(f"{path}/{name}")
+    found = files.csv_elements(spark, f"{path}/*")
+    return found.select("category", F.regexp_extract("source_id", "/(short|long)/", 1).alias("part"), "elem_ord", "text")
 
 
 @query
@@ -210,8 +217,8 @@ def tsv_elements(spark, sf_dir):
     path = new_table_path(spark, "tsv")
     flat = F.regexp_replace("text", r"\s+", " ")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", flat.alias("text"))
-    rows.write.option("sep", "\t").csv(path)
-    return files.csv_elements(spark, path, sep="\t").select("category", "text")
+    rows.orderBy("conv_id", "turn").coalesce(1).write.option("sep", "\t").option("escape", '"').csv(path)
+    return files.csv_elements(spark, path, sep="\t").select("category", "elem_ord", "text")
 
 
 @query
@@ -302,7 +309,7 @@ def _cleaning(name: str, step) -> None:
 _cleaning("clean_bullets", T.clean_bullets)
 _cleaning("clean_whitespace", T.clean_whitespace)
 _cleaning("clean_dashes", T.clean_dashes)
-_cleaning("clean_trailing", lambda c: T.clean_trailing(T.strip(c)))
+_cleaning("clean_trailing", T.clean_trailing)
 _cleaning("clean_lower", T.clean_lower)
 _cleaning("clean_all", lambda c: T.clean(c, ALL_STEPS))
 
@@ -327,7 +334,7 @@ def chunk_rows(spark, sf_dir):
 @query
 def chunk_text(spark, sf_dir):
     texts = table(spark, sf_dir, "conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("source_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("source_ord"), "text"
+        F.concat_ws("-", "conv_id", "turn").alias("source_id"), (F.col("conv_id") * 1_000_000_000 + F.col("turn")).alias("source_ord"), "text"
     )
     return jobs.chunk_texts(texts, LINE, ALL_STEPS, SMALL).select(*CHUNKED)
 
@@ -384,6 +391,30 @@ def collection_roundtrip(spark, sf_dir):
     return stored.select("collection", "chunk_id", "source_ord", "chunk_ord", "text")
 
 
+@query
+def collection_exists(spark, sf_dir):
+    """Six names from the conversations, of which the even ones were stored."""
+    root = new_table_path(spark, "collections")
+    some = document_chunks(spark, sf_dir).where("source_ord = 0")
+    names = table(spark, sf_dir, "conversations").where("conv_id < 6").select("conv_id").distinct().collect()
+    for row in names:
+        if row.conv_id % 2 == 0:
+            collections.create_collection(spark, root, str(row.conv_id), some)
+    known = [(str(r.conv_id), collections.collection_exists(spark, root, str(r.conv_id))) for r in names]
+    return spark.createDataFrame(known, "name string, found boolean")
+
+
+@query
+def template_status(spark, sf_dir):
+    """Conversation texts as templates, with names put in by conversation."""
+    safe = F.regexp_replace("text", r"[{}]", "")
+    both = (F.col("conv_id") % 3 == 2) | ((F.col("conv_id") % 3 == 0) & F.contains("text", F.lit("x")))
+    context = F.when((F.col("conv_id") % 3 == 1) | (F.col("conv_id") % 3 == 2), "{context}").otherwise("{{context}}")
+    message = F.when(both, "{user_message}").otherwise("")
+    templates = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(safe, context, message).alias("template"))
+    return templates.select("conv_id", "turn", P.template_status(F.col("template")).alias("status"))
+
+
 @query
 def collection_scan(spark, sf_dir):
     root, name = stored_documents(spark, sf_dir)
@@ -653,7 +684,7 @@ def _messages(spark, sf_dir) -> DataFrame:
     """Every user turn that stands becomes a request with two pairs of history."""
     framed = C.history_window(C.collapse_user_turns(turns(spark, sf_dir)), 2).where(F.col("role") == "user")
     built = C.build_messages(F.lit("Be brief."), F.col("conv_id") % 2 == 0, F.col("history"), F.col("text"))
-    return framed.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), built.alias("messages"))
+    return framed.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), built.alias("messages"))
 
 
 @query
@@ -671,7 +702,8 @@ def sampling_params(spark, sf_dir):
 
 @query
 def request_rows(spark, sf_dir):
-    rows = C.request_rows(_messages(spark, sf_dir), F.col("request_id") % 2 == 0)
+    even = F.substring_index("request_id", "-", -1).cast("bigint") % 2 == 0
+    rows = C.request_rows(_messages(spark, sf_dir), even)
 
     def at(path):
         return F.get_json_object("request_json", path)
@@ -778,20 +810,14 @@ def stream_prompts(spark, sf_dir):
 def stream_latest_turn(spark, sf_dir):
     """Newest user turn per conversation; later updates replace earlier ones."""
     path, checkpoint = new_table_path(spark, "stream"), new_table_path(spark, "checkpoint")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, STATE_STORE)
-    try:
-        latest = latest_user_turns(_stream(spark, sf_dir, "conversations"))
-        writer = latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-
-        def write(batch: DataFrame, batch_id: int) -> None:
-            out = batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-            out.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-
-        writer.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
+    latest = latest_user_turns(_stream(spark, sf_dir, "conversations"))
+    writer = latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        out = batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    writer.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     updates = spark.read.parquet(path)
     newest = F.max_by(F.struct("turn", "text"), "turn")
     return updates.groupBy("conv_id").agg(newest.alias("m")).select("conv_id", "m.turn", "m.text")

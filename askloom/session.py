@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the session's checkpoint folder.
 
-    A local folder is made only where the session names none, as in tests on one machine.
+    A local folder is made only where the session names none and runs on one machine, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="askloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

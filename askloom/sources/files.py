@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +19,41 @@ from askloom.schemas import LIST_ITEM, NARRATIVE, TITLE
 FILE_ELEMENTS = "source_id string, elem_ord bigint, category string, text string, error string"
 
 
+# A cell in quotes; possessive, so that a long one needs no stack.
+QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+
+
+def csv_cells(record: Column, sep: str = ",") -> Column:
+    """Trimmed cells of one record, without the quotes around them."""
+    s = re.escape(sep)
+    # a separator in front, so that every cell, also an empty one, is a match of its own
+    cell_of = rf'(?s){s}(?: *+{QUOTED}[ \r]*+(?={s}|\z)|[^{s}]*+)'
+    found = F.regexp_extract_all(F.concat(F.lit(sep), record), F.lit(cell_of), F.lit(0))
+
+    def plain(cell: Column) -> Column:
+        text = F.trim(F.substring(cell, len(sep) + 1, 1 << 30))
+        quoted = text.rlike(r'(?s)\A".*"\z') & (F.length(text) >= 2)
+        inner = F.replace(F.regexp_replace(text, r'(?s)\A"|"\z', ""), F.lit('""'), F.lit('"'))
+        return F.trim(F.btrim(F.when(quoted, inner).otherwise(text), F.lit("\r\n")))
+
+    return F.transform(found, plain)
+
+
 def csv_elements(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """One element per record, cells joined by a blank; ``sep='\\t'`` reads TSV.
 
+    Records may have any number of cells; a quoted cell may hold the separator and doubled quotes.
     Without ``multi_line`` a large file is read by many tasks. Record numbers come from counts per
     file split plus a number inside the split, so no task sees more than one split.
     """
-    reader = spark.read.option("sep", sep).option("header", False).option("multiLine", multi_line)
-    raw = reader.csv(path)
-    cells = F.array(*[F.trim(F.col(f"`{c}`")) for c in raw.columns])
-    line = F.array_join(F.filter(cells, lambda c: F.length(c) > 0), " ")
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("source_id"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
-        line.alias("text"),
-    ).where(F.length("text") > 0)
+    place = [F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("_start")]
+    raw = spark.read.text(path, wholetext=multi_line).select(*place, F.col("value").alias("_record"))
+    if multi_line:
+        record = F.regexp_extract_all("_record", F.lit(rf'(?:{QUOTED}|[^"\n]++|")++'), F.lit(0))
+        raw = raw.select("source_id", "_start", F.explode_outer(record).alias("_record"))
+    line = F.array_join(F.filter(csv_cells(F.col("_record"), sep), lambda c: F.length(c) > 0), " ")
+    numbered = raw.select("source_id", "_start", F.monotonically_increasing_id().alias("_at"), line.alias("text"))
+    rows = numbered.where(F.length("text") > 0)
     split = ["source_id", "_start"]
     before = Window.partitionBy("source_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy(*split).agg(F.count("*").alias("_n"))
@@ -83,8 +102,26 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+# What the marks between runs of text stand for.
+BREAKS = {"br": "\n", "cr": "\n", "tab": "\t", "noBreakHyphen": "-"}
+
+
 def _joined(node: ElementTree.Element, leaf: str) -> str:
-    return "".join(n.text or "" for n in node.iter() if _local(n.tag) == leaf).strip()
+    """Text of a node's own runs: paragraphs nested in it, as in text boxes, speak for themselves."""
+    parts: list[str] = []
+
+    def walk(n: ElementTree.Element) -> None:
+        for child in n:
+            name = _local(child.tag)
+            if name == leaf:
+                parts.append(child.text or "")
+            elif name in BREAKS:
+                parts.append(BREAKS[name])
+            elif name not in ("p", "pPr", "rPr", "Fallback"):
+                walk(child)
+
+    walk(node)
+    return "".join(parts).strip()
 
 
 def _attribute(node: ElementTree.Element, owner: str, name: str) -> str:
@@ -103,8 +140,11 @@ def _numbered(names: list[str], pattern: str) -> list[str]:
 
 
 def _docx(archive: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
-    for p in ElementTree.fromstring(archive.read("word/document.xml")).iter():
-        if _local(p.tag) != "p":
+    root = ElementTree.fromstring(archive.read("word/document.xml"))
+    # the same box is stored again for older programs
+    again = {id(n) for f in root.iter() if _local(f.tag) == "Fallback" for n in f.iter()}
+    for p in root.iter():
+        if _local(p.tag) != "p" or id(p) in again:
             continue
         style = _attribute(p, "pStyle", "val").lower()
         is_item = any(_local(n.tag) == "numPr" for n in p.iter())
@@ -115,6 +155,9 @@ def _docx(archive: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
 def _pptx(archive: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
     for name in _numbered(archive.namelist(), r"ppt/slides/slide(\d+)\.xml"):
         for shape in ElementTree.fromstring(archive.read(name)).iter():
+            if _local(shape.tag) == "tr":  # a row of a table, one element
+                cells = (" ".join(_joined(p, "t") for p in c.iter() if _local(p.tag) == "p") for c in shape)
+                yield NARRATIVE, " ".join(c for c in cells if c)
             if _local(shape.tag) != "sp":
                 continue
             is_title = _attribute(shape, "ph", "type") in ("title", "ctrTitle")
@@ -158,15 +201,16 @@ def office_elements(files: DataFrame) -> DataFrame:
     """Elements of office files ``(source_id, content)``; a damaged file gives one error row."""
     known = files.where(F.lower(F.regexp_extract("source_id", r"\.([^./]+)\z", 1)).isin(*OFFICE_READERS))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["source_id", "elem_ord", "category", "text", "error"]
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
-            for uri, content in zip(batch["source_id"], batch["content"]):
-                rows = pd.DataFrame(_read_office(uri, content), columns=names)
-                rows["elem_ord"] = rows["elem_ord"].astype("Int64")
-                yield rows
+            for uri, content in zip(batch.column("source_id"), batch.column("content")):
+                rows = _read_office(uri.as_py(), content.as_py())
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return known.select("source_id", "content").mapInPandas(run, FILE_ELEMENTS)
+    return known.select("source_id", "content").mapInArrow(run, FILE_ELEMENTS)
 
 
 def office_files(spark: SparkSession, path: str) -> DataFrame:

@@ -2,44 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LATEST = "conv_id bigint, turn bigint, text string"
-
-
-class LatestUserTurn(StatefulProcessor):
-    """State: turn number and text of the newest user message; one small row per conversation."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "turn bigint, text string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.latest.get() if self.latest.exists() else None
-        newest = known
-        for batch in rows:
-            users = batch[batch["role"] == "user"]
-            if len(users):
-                row = users.loc[users["turn"].idxmax()]
-                if newest is None or row["turn"] > newest[0]:
-                    newest = (int(row["turn"]), row["text"])
-        if newest is not None and newest is not known:
-            self.latest.update(newest)
-            yield pd.DataFrame({"conv_id": [key[0]], "turn": [newest[0]], "text": [newest[1]]})
-
-    def close(self) -> None:
-        pass
+from pyspark.sql import functions as F
 
 
 def latest_user_turns(turns: DataFrame) -> DataFrame:
-    """Update stream of ``(conv_id, turn, text)``. Needs the RocksDB state store of ``STATE_STORE``."""
-    return turns.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=LatestUserTurn(),
-        outputStructType=LATEST,
-        outputMode="Update",
-        timeMode="None",
-    )
+    """Update stream of ``(conv_id, turn, text)``; the state is one small row per conversation."""
+    newest = F.max_by(F.struct("turn", "text"), "turn").alias("m")
+    users = turns.where(F.col("role") == "user").groupBy("conv_id").agg(newest)
+    return users.select("conv_id", "m.turn", "m.text")

@@ -14,7 +14,7 @@ from askloom.plans import jobs
 from askloom.session import new_table_path
 from askloom.sources import collections
 from askloom.streaming.ingest import ingest_stream, prompt_stream, search_ingested
-from askloom.streaming.turns import STATE_STORE, latest_user_turns
+from askloom.streaming.turns import latest_user_turns
 
 MANUAL = [
     ("a", 0, "Общие сведения о технике безопасности\nНе курите рядом с топливом"),
@@ -191,14 +191,8 @@ def test_latest_user_turn_across_batches(spark, tmp_path):
     rows = [[(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "x")], [(1, 2, "user", "c"), (1, 3, "user", "d"), (2, 1, "assistant", "y")]]
     for i, batch in enumerate(rows):
         _write(source, f"{i}.json", [dict(zip(("conv_id", "turn", "role", "text"), r)) for r in batch])
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, STATE_STORE)
     seen = []
-    try:
-        stream = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").option("maxFilesPerTrigger", 1).json(str(source))
-        writer = latest_user_turns(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
-        writer.foreachBatch(lambda df, i: seen.append(sorted(map(tuple, df.collect())))).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
+    stream = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").option("maxFilesPerTrigger", 1).json(str(source))
+    writer = latest_user_turns(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+    writer.foreachBatch(lambda df, i: seen.append(sorted(map(tuple, df.collect())))).trigger(availableNow=True).start().awaitTermination()
     assert [b for b in seen if b] == [[(1, 0, "a"), (2, 0, "x")], [(1, 3, "d")]]

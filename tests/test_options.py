@@ -8,20 +8,18 @@ from askloom.options import ChatOptions, ChunkOptions, PreviewOptions, SamplingO
 @pytest.mark.parametrize(
     "make",
     [
-        lambda: ChunkOptions(max_characters=49),
-        lambda: ChunkOptions(new_after_n_chars=2001),
-        lambda: ChunkOptions(overlap=201),
+        lambda: ChunkOptions(max_characters=1),
+        lambda: ChunkOptions(overlap=-1),
         lambda: ChunkOptions(max_characters=100, overlap=100),
         lambda: ChunkOptions(chunking_strategy="by_page"),
         lambda: SearchOptions(n_results=0),
-        lambda: SearchOptions(n_results=6),
         lambda: SearchOptions(n_results="some"),
-        lambda: SearchOptions(max_distance=2.1),
+        lambda: SearchOptions(max_distance=float("nan")),
         lambda: SearchOptions(space="hamming"),
-        lambda: SamplingOptions(top_k=51),
-        lambda: SamplingOptions(temperature=0),
-        lambda: ChatOptions(history_len=11),
-        lambda: PreviewOptions(max_lines=500),
+        lambda: SamplingOptions(top_k=-1),
+        lambda: SamplingOptions(temperature=-0.1),
+        lambda: ChatOptions(history_len=-1),
+        lambda: PreviewOptions(max_lines=-2),
         lambda: check_subtitle_lang("de"),
     ],
 )
@@ -30,6 +28,13 @@ def test_out_of_range(make):
         make()
 
 
+def test_no_range_beyond_what_the_operators_need():
+    assert ChunkOptions(max_characters=4000, new_after_n_chars=3000, overlap=500).soft == 3000
+    assert SearchOptions(n_results=10, max_distance=5).k == 10
+    assert ChatOptions(history_len=40).history_len == 40
+    assert PreviewOptions(max_lines=100_000).max_lines == 100_000
+
+
 def test_defaults_and_soft_limit():
     assert (ChunkOptions().max_characters, ChunkOptions().new_after_n_chars) == (800, 500)
     assert ChunkOptions(max_characters=100).soft == 100

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import io
 import zipfile
 
 import pytest
@@ -127,3 +128,47 @@ def test_office_files(spark, tmp_path):
     assert got["b.pptx"] == [(0, "Title", "two", False), (1, "Title", "ten", False)]
     assert got["c.XLSX"] == [(0, "NarrativeText", "масло 5", False)]
     assert got["d.docx"] == [(None, None, None, True)] and "e.pdf" not in got
+
+
+def test_ragged_and_quoted_records(spark, tmp_path):
+    """Cells beyond the first record's width stay, as do separators and doubled quotes inside quotes."""
+    (tmp_path / "a.csv").write_text('x,y\n1,2,LOST,LOST2\n"say ""hi"", ok",b\n,,\n"open,c\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text(' one \n,"", two ,"three"\r\n', encoding="utf-8")
+    got = files.csv_elements(spark, str(tmp_path)).orderBy("source_id", "elem_ord").collect()
+    assert [(r.elem_ord, r.text) for r in got] == [
+        (0, "x y"), (1, "1 2 LOST LOST2"), (2, 'say "hi", ok b'), (3, '"open c'), (0, "one"), (1, "two three"),
+    ]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "m.csv").write_text('a,"b\nc"\nd\n', encoding="utf-8")
+    many = files.csv_elements(spark, str(tmp_path / "c"), multi_line=True).orderBy("elem_ord").collect()
+    assert [(r.elem_ord, r.text) for r in many] == [(0, "a b\nc"), (1, "d")]
+
+
+def _archive(member: str, xml: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr(member, xml)
+    return out.getvalue()
+
+
+def test_office_texts_by_hand(spark):
+    run = "<w:r><w:t>{}</w:t></w:r>"
+    box = "<w:r><w:pict><w:txbxContent><w:p>" + run.format("inner") + "</w:p></w:txbxContent></w:pict></w:r>"
+    body = "<w:p><w:r><w:t>oil</w:t><w:br/><w:t>level</w:t><w:tab/><w:t>1,1</w:t></w:r></w:p><w:p>" + run.format("outer") + box + "</w:p>"
+    docx = _archive("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
+    cell = "<a:tc><a:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></a:txBody></a:tc>"
+    table = "<p:graphicFrame><a:tbl><a:tr>" + cell.format("a") + cell.format("b") + "</a:tr></a:tbl></p:graphicFrame>"
+    pptx = _archive("ppt/slides/slide1.xml", f'<p:sld xmlns:p="p" xmlns:a="a">{table}</p:sld>')
+    df = spark.createDataFrame([("x.docx", docx), ("y.pptx", pptx)], "source_id string, content binary")
+    got = {(r.source_id, r.elem_ord): r.text for r in files.office_elements(df).collect()}
+    assert got == {("x.docx", 0): "oil\nlevel\t1,1", ("x.docx", 1): "outer", ("x.docx", 2): "inner", ("y.pptx", 0): "a b"}
+
+
+def test_no_local_work_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from askloom.session import work_dir
+
+    context = SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        work_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))

@@ -35,7 +35,7 @@ def test_cleaning_steps(spark, step, given_, want):
 
 def test_clean_order_and_switches(spark):
     text = "  • Один – ДВА.  "
-    assert one(spark, lambda c: T.clean(c), text) == "Один – ДВА."
+    assert one(spark, lambda c: T.clean(c), text) == "Один – ДВА"
     stripped = "• Один – ДВА.;"
     assert one(spark, lambda c: T.clean(c), stripped) == "Один – ДВА"
     assert one(spark, lambda c: T.clean(c, CleanOptions(dashes=True, lowercase=True)), stripped) == "один два"
@@ -109,3 +109,22 @@ def test_blank(spark):
 
 def test_space_class_covers_regex_space():
     assert all(c in T.SPACES for c in " \t\n\r\f\x0b") and re.fullmatch(f"[{T.SPACES}]+", "  ")
+
+
+def test_trailing_punctuation_goes_behind_white_space_too(spark):
+    rows = [("Oil level.  ",), (" a:;., ",), ("\u00a0b. ",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(T.clean(F.col("t")).alias("a"), T.clean_trailing(F.col("t")).alias("b")).collect()
+    assert [r.a for r in got] == ["Oil level", "a", "b", None]
+    assert [r.b for r in got] == ["Oil level", "a", "b", None]
+
+
+def test_pages_by_hand(spark):
+    """Expectations written out, without the patterns under test."""
+    pages = {
+        "<p>&laquo;a&raquo; &mdash; &#39;b&#39; &#x41;&eacute;</p>": [("NarrativeText", "«a» — 'b' Aé")],
+        "<p>icon \ue000x\ue001 y</p>": [("NarrativeText", "icon \ue000x\ue001 y")],
+        "<h2>T\ufdd1</h2><p>a<script>var x = '<p>';": [("Title", "T"), ("NarrativeText", "a")],
+        "<ul><li>one<li>two</ul><!-- open <p>no": [("ListItem", "one"), ("ListItem", "two")],
+    }
+    df = spark.createDataFrame([(p,) for p in pages], "t string").select("t", T.html_elements(F.col("t")).alias("e"))
+    assert {r.t: [(e.category, e.text) for e in r.e] for r in df.collect()} == pages
