@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from askloom.functions import text as T
 from askloom.functions.vectors import HASH_DIM
 from askloom.operators.prompting import CONTEXT_GAP
 from askloom.options import DEFAULT_CONTEXT_TEMPLATE, ChunkOptions, CleanOptions
-from askloom.plans.queries import ALL_STEPS, EXTENSIONS, LEADS, SMALL
+from askloom.plans.queries import ALL_STEPS, DIM, EXTENSIONS, LEADS, SMALL
 from askloom.sources.routing import SUPPORTED_EXTENSIONS
 
 ORACLE: dict[str, str] = {}
@@ -229,6 +231,26 @@ def distance(metric: str, a: str, b: str) -> str:
     return f"(case when round({d}, 6) = 0 then 0.0::double else round({d}, 6) end)"
 
 
+def lsh_hits(dim: int, bands: int, bits: int, k: int, seed: int = 7) -> str:
+    """Exact top-k among the vectors that share a band's signature; the seeded planes are written out."""
+    planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
+    rows = ", ".join(f"({p}, {i}, {planes[i, p]!r}::double)" for p in range(bands * bits) for i in range(dim))
+
+    def codes(vectors: str, key: str, value: str) -> str:
+        return f"""select key, p // {bits} as band, sum(case when side > 0 then 1 << (p % {bits}) else 0 end) as code
+          from (select key, p, sum(x * a) as side
+                from (select {key} as key, unnest({value}) as x, unnest(range({dim})) as i from {vectors}) join planes using (i)
+                group by key, p) group by key, band"""
+
+    return f"""with {centres()}, planes(p, i, a) as (values {rows.replace("np.float64", "")}),
+    vc as ({codes('v', 'chunk_id', 'e')}), qc as ({codes('c', 'c.key', 'v')}),
+    pairs as (select distinct qc.key as qk, vc.key as ck from qc join vc using (band, code)),
+    s as (select c.key::bigint as query_id, chunk_id, {distance('cosine', 'v.e', 'c.v')} as distance
+          from pairs join v on chunk_id = ck join c on c.key = qk),
+    r as (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank from s where distance <= 2)
+    select query_id, chunk_id, distance, rank from r where rank <= {k}"""
+
+
 def dense_hits(metric: str, limit: float | None, k: int | None, key: str = "label", above: float | None = None) -> str:
     where = f"where distance <= {limit}" if limit is not None else ""
     keep = [f"rank <= {k}"] if k else []
@@ -356,6 +378,8 @@ ORACLE.update(
       from (select vec_id, list_transform(embedding, lambda y: y::double + 0.25) as e from embeddings))""",
     topk_single=f"select chunk_id, distance from ({dense_hits('cosine', 0.9, 5, key='0')})",
     knn_join=dense_hits("cosine", None, 5),
+    knn_lsh=lsh_hits(DIM, 8, 4, 5),
+    knn_indexed=lsh_hits(DIM, 8, 4, 5),
     knn_l2=dense_hits("l2", 2, 3),
     knn_ip=dense_hits("ip", 2, 3),
     knn_threshold=dense_hits("cosine", None, 5, above=0.65),
