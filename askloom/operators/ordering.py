@@ -68,22 +68,12 @@ def assign_chunk_ids(chunks: DataFrame, block: int = CHUNK_BLOCK) -> DataFrame:
     )
 
 
-def split_hot(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of keys with at most ``limit`` rows, and rows of the larger keys.
-
-    At most one key in ``limit`` rows can be hot, so the hot list stays small; whether it is
-    broadcast is left to its measured size.
-    """
-    hot_keys = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(key)
-    return df.join(hot_keys, key, "left_anti"), df.join(hot_keys, key, "left_semi")
-
-
 def with_segments(df: DataFrame, key: str, order: str, size: int, before: int, after: int) -> DataFrame:
     """Cut the rows of each key into segments of ``size`` rows plus copies of the neighbours.
 
     A window over (key, ``_segment``) that looks at most ``before`` rows back and ``after`` rows
     ahead gives, on rows with ``_own``, what a window over the whole key would. ``order`` must be an
-    integer column, unique per key.
+    integer column, unique per key; a null comes first, and a null key is a key of its own.
     """
     if max(before, after) > size:
         raise ValueError("the window must not reach beyond the neighbouring segment")
@@ -91,10 +81,13 @@ def with_segments(df: DataFrame, key: str, order: str, size: int, before: int, a
     counts = blocked.groupBy(key, "_block").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(
-        key, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")
+        F.col(key).alias("_key"),
+        F.col("_block").alias("_of"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
     )
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of"))
     inside = Window.partitionBy(key, "_block").orderBy(order)
-    placed = blocked.join(bases, [key, "_block"]).withColumn(
+    placed = blocked.join(bases, same).drop("_key", "_of").withColumn(
         "_pos", F.col("_base") + F.row_number().over(inside) - 1
     )
     segment = F.floor(F.col("_pos") / size)
