@@ -22,8 +22,9 @@ from askloom.schemas import HITS
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Scores held at a time by one task.
 SCORES = 4_000_000
-# Rows of one side in one grid cell.
+# Rows and bytes of one side in one grid cell.
 CELL_ROWS = 32_768
+CELL_BYTES = 64 * 1024 * 1024
 
 
 def _vector_columns(df: DataFrame) -> list[str]:
@@ -133,6 +134,7 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
 
 def _grid(chunks: DataFrame, questions: DataFrame, k: int | None, limit: float | None, metric: str, dim: int, cell_rows: int) -> DataFrame:
     """Both sides cut into blocks by id hash; each (question block, chunk block) is one bounded cell."""
+    cell_rows = max(1, min(cell_rows, CELL_BYTES // (8 * dim)))
     q_blocks = -(-questions.count() // cell_rows) or 1
     c_blocks = -(-chunks.count() // cell_rows) or 1
 

@@ -10,30 +10,21 @@ from askloom.functions.text import clean_elements
 from askloom.functions.vectors import count_buckets, token_buckets
 from askloom.operators.chunking import chunk_documents
 from askloom.operators.embedding import hash_embed, idf_table, weigh
+from askloom.operators.ordering import assign_chunk_ids
 from askloom.operators.search import nearest
 from askloom.options import DEFAULT_CONTEXT_TEMPLATE, ChunkOptions, CleanOptions, SearchOptions
 from askloom.plans.jobs import rag_prompts
 from askloom.session import materialize
 
 
-# Bits of a stream key that hold the place within the source; the rest holds the source.
-PLACE_BITS = 24
-
-
-def stream_key(source_ord: Column, chunk_ord: Column) -> Column:
-    """A unique chunk key in load order that needs no knowledge of the other sources."""
-    fits = source_ord.between(0, (1 << (63 - PLACE_BITS)) - 1) & (chunk_ord < 1 << PLACE_BITS)
-    key = F.shiftleft(source_ord, PLACE_BITS).bitwiseOR(chunk_ord)
-    return F.when(fits, key).otherwise(F.raise_error(F.lit("source or chunk number too large for a stream key")))
-
-
 def stream_chunks(docs: DataFrame, elements: Column, clean: CleanOptions, chunk: ChunkOptions) -> DataFrame:
     """Embedded chunks of a document stream. Stateless: everything stays inside a row.
 
-    Dense ids need the whole collection; a stream uses ``stream_key`` as ``chunk_id``.
+    Dense ids need the whole collection, so a search gives them; here a chunk is known by its source
+    and place.
     """
     rows = docs.select("source_id", "source_ord", clean_elements(elements, clean).alias("elements"))
-    chunks = chunk_documents(rows, chunk).withColumn("chunk_id", stream_key(F.col("source_ord"), F.col("chunk_ord")))
+    chunks = chunk_documents(rows, chunk)
     counted = chunks.withColumn("_c", count_buckets()(token_buckets(F.col("text"))))
     return counted.select(*chunks.columns, "_c.buckets", "_c.tf")
 
@@ -66,16 +57,25 @@ def ingest_stream(
     )
 
 
+def latest_versions(stored: DataFrame) -> DataFrame:
+    """Chunks of each source as it arrived last: a source that comes again replaces itself."""
+    newest = stored.groupBy("source_id").agg(F.max("batch_id").alias("batch_id"))
+    return stored.join(newest, ["source_id", "batch_id"])
+
+
 def search_ingested(
     spark: SparkSession, path: str, questions: DataFrame, opts: SearchOptions = SearchOptions()
 ) -> DataFrame:
-    """Hits with texts in all that has been ingested so far; document frequencies are as of now."""
-    stored = spark.read.parquet(path)
-    counts = stored.select("chunk_id", "buckets", "tf")
+    """Hits with texts in all that has been ingested so far; ids and document frequencies are as of now."""
+    stored = latest_versions(spark.read.parquet(path))
+    place = ["source_id", "source_ord", "chunk_ord"]
+    known = materialize(assign_chunk_ids(stored.select(*place, "buckets", "tf")), "ingested")
+    counts = known.select("chunk_id", "buckets", "tf")
     idf_values = materialize(idf_table(counts), "idf").select("idf").scalar()
     asked = hash_embed(questions, "query_id", idf_values)
     hits = materialize(nearest(weigh(counts, "chunk_id", idf_values), asked, opts), "hits")
-    return hits.join(stored.select("chunk_id", "source_id", "source_ord", "chunk_ord", "text"), "chunk_id")
+    placed = hits.join(known.select("chunk_id", *place), "chunk_id")
+    return placed.join(stored.select(*place, "text"), place)
 
 
 def prompt_stream(
