@@ -65,7 +65,8 @@ def build_collection(
             F.lit("loaded").alias("status"),
             F.lit(None).cast("string").alias("detail"),
         )
-    return stored, ingest_log(sources, stored)
+    failed = collections.chunks_without_vector(spark, root, name) if embedder.factory else None
+    return stored, ingest_log(sources, stored, failed)
 
 
 def rag_prompts(

@@ -318,6 +318,9 @@ ORACLE.update(
     source_gate=f"select source_id, uri, ext, status from {_GATED}",
     url_route=f"select * from {_LINKS}",
     video_id=f"select page_id, url_ord, {_VIDEO} as video_id, length({_VIDEO}) = 11 as valid from {_LINKS} where route = 'video'",
+    url_status=f"""select page_id, url_ord, url, case when route = 'video' and length({_VIDEO}) <> 11 then 'invalid_url' else 'loaded' end as status
+      from (select * replace (case when route = 'video' and page_id % 3 = 0 and url_ord = 2 then left(url, length(url) - 1) else url end as url)
+            from {_LINKS})""",
     ingest_union=f"""select source_id, source_ord, kind, uri from {FILES} union all
       select url, page_id + (select max(doc_id) + 1 from documents), 'page', url from pages""",
     ingest_log=f"""with recursive {DOC_CHUNKS},

@@ -120,6 +120,13 @@ def collection_chunks(spark: SparkSession, root: str, name: str) -> DataFrame:
     return _scan(spark, root, "chunks", name)
 
 
+def chunks_without_vector(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``chunk_id, source_id, error`` of the chunks that the collection's model failed on."""
+    vectors = _scan(spark, root, "vectors", name)
+    failed = vectors.where(F.col("error").isNotNull()).select("chunk_id", "error")
+    return failed.join(collection_chunks(spark, root, name).select("chunk_id", "source_id"), "chunk_id")
+
+
 def collection_count(spark: SparkSession, root: str, name: str) -> DataFrame:
     return collection_chunks(spark, root, name).groupBy("collection").agg(F.count("*").alias("n_chunks"))
 

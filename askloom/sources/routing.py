@@ -49,6 +49,12 @@ def is_video_id(candidate: Column) -> Column:
     return F.length(candidate) == VIDEO_ID_LENGTH
 
 
+def url_status(listed: DataFrame) -> DataFrame:
+    """Add ``status`` to routed URLs: a video URL without a usable video id is ``invalid_url``."""
+    bad = (F.col("route") == "video") & ~F.coalesce(is_video_id(video_id(F.col("url"))), F.lit(False))
+    return listed.withColumn("status", F.when(bad, "invalid_url").otherwise("loaded"))
+
+
 def union_sources(files: DataFrame, urls: DataFrame) -> DataFrame:
     """Files first, then URLs, each in its own order; ``source_ord`` stays unique and ordered."""
     columns = ("source_id", "source_ord", "kind", "uri")
@@ -57,11 +63,20 @@ def union_sources(files: DataFrame, urls: DataFrame) -> DataFrame:
     return files.select(*columns).unionByName(later.select(*columns))
 
 
-def ingest_log(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+def ingest_log(sources: DataFrame, chunks: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Per source: its status and number of chunks. A readable source without chunks is ``no_text``.
 
-    ``sources``: source_id, uri, status, detail. Chunks are counted map-side before the join.
+    ``sources``: source_id, uri, status, detail. Chunks are counted map-side before the join. ``failed``:
+    source_id of each chunk that the model gave no vector for; such a source is an ``error``, and
+    its detail says how many of its chunks no search can find.
     """
+    if failed is not None:
+        lost = failed.groupBy("source_id").agg(F.count("*").alias("_lost"))
+        said = F.concat(F.col("_lost").cast("string"), F.lit(" chunks without a vector"))
+        hit = (F.col("status") == "loaded") & F.col("_lost").isNotNull()
+        log = ingest_log(sources, chunks).join(lost, "source_id", "left")
+        log = log.withColumn("detail", F.when(hit, said).otherwise(F.col("detail")))
+        return log.withColumn("status", F.when(hit, "error").otherwise(F.col("status"))).drop("_lost")
     counts = chunks.groupBy("source_id").agg(F.count("*").alias("n"))
     joined = sources.join(counts, "source_id", "left")
     n = F.coalesce("n", F.lit(0))

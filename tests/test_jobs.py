@@ -72,8 +72,9 @@ def _lengths_model():
 def test_collection_of_a_user_model(spark):
     """Dense vectors from a supplied model; a text it fails on is stored and never found."""
     root, model = new_table_path(spark, "collections"), Embedder("flags", _lengths_model)
-    chunks, _ = jobs.build_collection(spark, root, "m", docs(spark), embedder=model)
+    chunks, log = jobs.build_collection(spark, root, "m", docs(spark), embedder=model)
     assert chunks.count() == 3
+    assert sorted((r.status, r.detail) for r in log.collect()) == [("error", "1 chunks without a vector"), ("loaded", None), ("loaded", None), ("no_text", None)]
     got = jobs.rag_prompts(spark, root, "m", ask(spark, "масло", "Гарантия"), SearchOptions(1, 0.2), embedder=model)
     contexts = {r["query_id"]: r["context"] for r in got.collect()}
     assert contexts[0].startswith("Какое масло") and contexts[1].startswith("Гарантия")

@@ -172,3 +172,9 @@ def test_no_local_work_folder_on_a_cluster():
     context = SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError):
         work_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_url_status(spark):
+    urls = "https://www.youtube.com/watch?v=abcdefghijk&t=1 https://www.youtube.com/live/short https://site.org/a"
+    rows = routing.url_list(spark.createDataFrame([(1, urls), (2, None)], "id int, urls string"), "id")
+    assert [r.status for r in routing.url_status(rows).orderBy("url_ord").collect()] == ["loaded", "invalid_url", "loaded"]
