@@ -182,7 +182,8 @@ def loose_links(reps: DataFrame, branches: int = BRANCHES, depth: int = DEPTH, l
         if large.isEmpty():
             break
         level = large.select("node", "doc_id", "n").join(carried.select("doc_id", "signature"), "doc_id")
-        level = level.mapInArrow(_branch(branches), "node bigint, doc_id bigint, parent bigint")
+        # written, since the counts and the join below would each run it
+        level = materialize(level.mapInArrow(_branch(branches), "node bigint, doc_id bigint, parent bigint"), "children")
     return out.distinct()
 
 
