@@ -54,6 +54,9 @@ def test_copies_of_a_page_are_no_evidence():
         ("<article><header><h1>T</h1></header><p>x <i>y</i>z &nbsp; w</p></article>", "T\n\nx yz w"),
         ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
         ("<p>a < b and c</p><div class=AdBox>no</div>", "a < b and c"),
+        ("<div class='layout sidebar-right'><article><p>a</article></div><div class=sidebar>no</div>", "a"),
+        ("<main><p>a<article class='comment'><p>no</article><section id=comments><article><p>no</article></section></main>", "a"),
+        ("<body class='menu-open'><main class='has-sidebar'><p>a</main><aside><article>no</article></aside>", "a"),
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"),
     ],
 )
