@@ -64,6 +64,30 @@ def test_single_pages(source, want):
     assert html.main_texts([source or ""]) == [want]
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<article><h2 id='related-work'>Related</h2><p id=social>a<section id=discussion><p>b</section><h2 id=navigation>N", "Related\n\na\n\nb\n\nN"),
+        ("<h1>T</h1><div class='content has-sidebar'><p>long text</div><div class=sidebar>no</div>", "T\n\nlong text"),
+        ("<h1>T</h1><div class='social content'><p>long text</div><div class=sidebar>no</div>", "T\n\nlong text"),
+        ("<div class='layout--sidebar'><p>a</div><div class='contentNoSidebar'><p>b</div><div class=ad>-", "a\n\nb"),
+        ("<article><div class='body share'><p>long text</div><div class=promo>no</div></article>", "long text"),
+        ("<article><p>text <span class=share>no</span>goes on</article>", "text goes on"),
+        ("<div class=text><p>long text</div><section id=comments><article><p>no</article></section>", "long text"),
+        ("<article></article><div class=ad>no</div>", ""),
+        ("<article><div class=ad>no</div></article><p>long text", "long text"),
+    ],
+)
+def test_class_and_id_words_are_evidence_only(source, want):
+    assert html.main_texts([source]) == [want]
+
+
+def test_named_box_goes_and_named_main_text_stays():
+    pages = site(random.Random(8), 12, "<div class='related-links'>Read on tomorrow</div>")
+    pages = [(p.replace("class=body", "class='post social'"), t) for p, t in pages]
+    assert html.main_texts([p for p, _ in pages]) == [t for _, t in pages]
+
+
 def test_tree_matching_pairs_children_in_order():
     a, b = (html.parse(f"<ul>{x}</ul>") for x in ("<li>1<p>2</p></li><b>3</b><li>4</li>", "<i>0</i><li>1<p>2</p></li><li>5</li>"))
     pairs = {}
