@@ -88,6 +88,20 @@ def test_named_box_goes_and_named_main_text_stays():
     assert html.main_texts([p for p, _ in pages]) == [t for _, t in pages]
 
 
+@pytest.mark.parametrize("n", [3, 5, 12])
+def test_repeated_headings_and_passages_of_articles_stay(n):
+    rng = random.Random(9)
+    words = lambda k: " ".join(f"v{rng.randrange(10**6)}" for _ in range(k))
+    shared, pages, want = words(50), [], []
+    for i in range(n):
+        parts = [words(6), "Introduction", words(60), shared if i % 2 == 0 else words(50), "Summary", words(30)]
+        tags = ["h1", "h2", "p", "p", "h2", "p"]
+        body = "".join(f"<{t}>{p}</{t}>" for t, p in zip(tags, parts))
+        pages.append(f"<div>Our site</div><article>{body}<div class=promo>Buy</div></article><div>All rights reserved</div>")
+        want.append("\n\n".join(parts))
+    assert html.main_texts(pages) == want
+
+
 def test_tree_matching_pairs_children_in_order():
     a, b = (html.parse(f"<ul>{x}</ul>") for x in ("<li>1<p>2</p></li><b>3</b><li>4</li>", "<i>0</i><li>1<p>2</p></li><li>5</li>"))
     pairs = {}
