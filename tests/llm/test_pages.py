@@ -108,6 +108,53 @@ def test_tree_matching_pairs_children_in_order():
     assert html.match(a, b, pairs) == 5  # root, list, two items, one paragraph
 
 
+def test_tree_matching_weighs_subtrees():
+    a, b = (html.parse(f"<body>{x}<div><h1>T</h1><p>1<p>2</div></body>") for x in ("<div><i>notice</i></div>", ""))
+    pairs = {}
+    assert html.match(a, b, pairs) == 6  # root, body, the div of the heading, heading, two paragraphs
+    chains = [html.parse("<div>" * 3000 + x) for x in ("<p>1", "<b>1")]
+    assert html.match(*chains, {}) == 3001
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_tree_matching_equals_plain_recursion(seed):
+    rng = random.Random(seed)
+    grow = lambda d: "".join(f"<{t}>{grow(d - 1)}</{t}>" for t in rng.choices(("div", "section", "ul"), k=rng.randint(0, 4))) if d else ""
+
+    def best(x, y):
+        p, q = ([c for c in n.children if not isinstance(c, str)] for n in (x, y))
+        table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, c in enumerate(p):
+            for j, d in enumerate(q):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (best(c, d) if c.kind == d.kind else 0))
+        return 1 + table[-1][-1]
+
+    a, b = html.parse(grow(4)), html.parse(grow(4))
+    assert html.match(a, b, {}) == best(a, b)
+
+
+def test_each_layout_of_a_host_has_its_own_template():
+    rng = random.Random(10)
+    want, pages = [], []
+    for i, (p, t) in enumerate(site(rng, 36)):
+        k = i * 3 // 36
+        p = p.replace("class=top", f"class=top{k}").replace("class=body", f"class=body{k}").replace("class=bottom", f"class=bottom{k}")
+        pages.append(p.replace("Our site", f"Our site {k}").replace("<div class=bottom", f"<div class=legal{k}>Terms {k}</div><div class=bottom"))
+        want.append(t)
+    assert html.main_texts(pages) == want
+
+
+def test_optional_notice_that_the_first_pages_lack():
+    pages = site(random.Random(11), 24)
+    pages = [(p.replace("<div class=body", "<div class=x>Moved</div><div class=body") if i % 4 == 3 else p, t) for i, (p, t) in enumerate(pages)]
+    assert html.main_texts([p for p, _ in pages]) == [t for _, t in pages]
+
+
+def test_headings_between_varying_paragraphs_stay_without_article():
+    pages = [(p.replace("</h1>", "</h1><h2>Introduction</h2>"), t.replace("\n\n", "\n\nIntroduction\n\n", 1)) for p, t in site(random.Random(12), 12)]
+    assert html.main_texts([p for p, _ in pages]) == [t for _, t in pages]
+
+
 def test_query_on_odd_rows(spark, tmp_path):
     pages = site(random.Random(3), 60)
     rows = [(i, f"http://host.example/{i}", p) for i, (p, _) in enumerate(pages)]
