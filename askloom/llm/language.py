@@ -1,7 +1,7 @@
 """Language of web pages by fusing four kinds of evidence with Bayes' rule.
 
 1. Text: a multinomial model over hashed words and byte trigrams, counted per language by grouped aggregation
-   over a bounded sample of the labelled documents (``SAMPLE_DOCUMENTS``, chosen by a hash of their id).
+   over all labelled documents, so that no language is missed.
 2. Declaration: the language that the markup names (``lang`` of the html element, else a content-language or
    locale entry).
 3. Address: the last label of the host and a language-like first part of the path.
@@ -30,7 +30,8 @@ from askloom.llm.words import U, Words, mix, portions
 from askloom.session import materialize
 
 BUCKETS = 1 << 16
-SAMPLE_DOCUMENTS = 20_000
+# A task holds the counts of this many languages before it hands them on.
+HELD_LANGUAGES = 64
 # Texts are worth at most this many independent features; more of them say the same again.
 MOST_WEIGHT = 60.0
 SMOOTHING = 0.5
@@ -67,25 +68,35 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((grams, wholes)).astype(np.int64), np.concatenate((np.repeat(text_of, length), text_of))
 
 
+def _counted(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for lang, counts in held.items():
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(counts[some])], names=["lang", "bucket", "n"]
+        )
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, np.ndarray] = {}
     for batch in portions(batches, "text"):
-        langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+        names, of = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object), return_inverse=True)
         bucket, text = features(batch.column("text"))
-        for lang in sorted(set(langs)):
-            counts = np.bincount(bucket[langs[text] == lang], minlength=BUCKETS)
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(counts[some])],
-                names=["lang", "bucket", "n"],
-            )
-
-
-def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> tuple[list[str], np.ndarray]:
+        order = np.argsort(of[text], kind="stable")
+        bounds = np.searchsorted(of[text][order], np.arange(len(names) + 1))
+        for k, lang in enumerate(names):
+            if lang not in held:
+                if len(held) == HELD_LANGUAGES:
+                    yield from _counted(held)
+                    held = {}
+                held[lang] = np.zeros(BUCKETS, np.int64)
+            held[lang] += np.bincount(bucket[order[bounds[k] : bounds[k + 1]]], minlength=BUCKETS)
+    yield from _counted(held)
+
+
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities ``[bucket, language]``; null languages and texts take no part."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    share = max(1, -(-known.count() // sample))
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(share)) == 0).select("lang", "text")
-    counts = some.mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket")
+    known = docs.where("lang is not null and text is not null").select("lang", "text")
+    counts = known.mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket")
     got = counts.agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS at most
     names = got.column("lang").to_pylist()
     langs = sorted(set(names))

@@ -193,6 +193,22 @@ def test_languages_of_pages_and_each_kind_of_evidence(spark):
     assert len(nothing) == len(rows) and all(r.lang is None and r.confidence == 0 for r in nothing)
 
 
+def test_rare_languages_of_many_documents_are_known(spark):
+    rare = [f"r{k:02d}" for k in range(80)]  # more than a task holds at once
+    many = spark.range(60_000).selectExpr("id as doc_id", "'same words again' as text", "'en' as lang")
+    few = spark.createDataFrame([(10**6 + k, f"{x}a {x}b {x}c", x) for k, x in enumerate(rare)], "doc_id bigint, text string, lang string")
+    docs = many.union(few.coalesce(1))
+    langs, weights = language.fit(docs)
+    assert langs == ["en", *rare]
+    expected = np.full((language.BUCKETS, 2), language.SMOOTHING)
+    for j, (text, n) in enumerate([("same words again", 60_000), ("r00a r00b r00c", 1)]):
+        np.add.at(expected[:, j], language.features(pa.array([text]))[0], n)
+    assert np.allclose(weights[:, :2], np.log(expected / expected.sum(axis=0)))
+    rows = [(k, f"http://h{k}.example/", f"<p>{x}a {x}b {x}c {x}a {x}b") for k, x in enumerate(rare)]
+    got = {r.page_id: r.text_lang for r in language.page_languages(spark.createDataFrame(rows, PAGES), docs).collect()}
+    assert got == dict(enumerate(rare))
+
+
 def test_fusion_equals_bayes_by_hand(spark):
     """The fused posterior of every page against sums written out in plain Python."""
     rng = random.Random(6)
