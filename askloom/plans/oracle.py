@@ -413,6 +413,8 @@ ORACLE.update(
       from (select item_id as answer_id, unnest(string_split(text, ' ')) || ' ' as tok, unnest(range(len(string_split(text, ' ')))) as seq from benchmark)""",
     collection_exists="""select conv_id::varchar as name, conv_id % 2 = 0 as found from conversations
       where conv_id < 6 group by conv_id""",
+    collections_exist="""select conv_id::varchar as name, conv_id = (select min(conv_id) from conversations) as found
+      from conversations where conv_id is not null group by conv_id""",
     template_status="""select conv_id, turn,
         case when text like '%x%' and conv_id % 3 = 0 then 'missing: context' when conv_id % 3 = 1 then 'missing: user_message'
              when conv_id % 3 = 2 then 'ok' else 'missing: context, user_message' end as status from conversations""",

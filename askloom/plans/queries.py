@@ -413,6 +413,17 @@ def collection_exists(spark, sf_dir):
     return spark.createDataFrame(known, "name string, found boolean")
 
 
+@query
+def collections_exist(spark, sf_dir):
+    """All conversations as names; the documents are stored under the first of them."""
+    root = new_table_path(spark, "collections")
+    names = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("name"), "conv_id")
+    first = names.agg(F.min("conv_id").cast("string").alias("name")).first()["name"]
+    if first is not None:
+        collections.create_collection(spark, root, first, document_chunks(spark, sf_dir))
+    return collections.collections_exist(spark, root, names.where("name is not null").select("name").distinct())
+
+
 @query
 def template_status(spark, sf_dir):
     """Conversation texts as templates, with names put in by conversation."""

@@ -43,6 +43,22 @@ def collection_exists(spark: SparkSession, root: str, name: str) -> bool:
     return fs.exists(path)
 
 
+def stored_names(spark: SparkSession, root: str) -> DataFrame:
+    """``name`` of every collection under ``root``, from the partitions of the terms table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/terms")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "name string")
+    # the schema is given so that names such as '007' stay strings
+    terms = spark.read.schema("dim int, collection string").parquet(f"{root}/terms")
+    return terms.select(F.col("collection").alias("name")).distinct()
+
+
+def collections_exist(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
+    """Rows of ``names`` (``name``, others stay) with ``found``, whether that collection is stored; a null name is not."""
+    stored = stored_names(spark, root).withColumn("_found", F.lit(True))
+    return names.join(stored, "name", "left").withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
+
+
 def delete_collection(spark: SparkSession, root: str, name: str) -> None:
     """Remove the collection if it is there. ``terms`` goes first: without it nothing is readable."""
     for table in reversed(TABLES):

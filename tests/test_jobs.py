@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,14 @@ def test_latest_user_turn_across_batches(spark, tmp_path):
     writer = latest_user_turns(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
     writer.foreachBatch(lambda df, i: seen.append(sorted(map(tuple, df.collect())))).trigger(availableNow=True).start().awaitTermination()
     assert [b for b in seen if b] == [[(1, 0, "a"), (2, 0, "x")], [(1, 3, "d")]]
+
+
+def test_all_names_are_looked_up_at_once(spark, tmp_path):
+    root = str(tmp_path / "many")
+    names = spark.createDataFrame([("007",), ("7",), ("a b",), ("é",), (None,), ("007",)], "name string")
+    found = lambda: Counter(map(tuple, collections.collections_exist(spark, root, names).collect()))
+    assert found() == Counter([("007", False)] * 2 + [("7", False), ("a b", False), ("é", False), (None, False)])
+    for name in ("007", "a b", "é", "8"):
+        collections.create_collection(spark, root, name, jobs.chunk_documents(docs(spark)))
+    collections.delete_collection(spark, root, "a b")
+    assert found() == Counter([("007", True)] * 2 + [("7", False), ("a b", False), ("é", True), (None, False)])
