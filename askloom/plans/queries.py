@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askloom.functions import text as T
@@ -206,19 +206,34 @@ def ingest_log(spark, sf_dir):
     return routing.log_summary(routing.ingest_log(gated, chunks))
 
 
+def in_ranges(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows in partitions of consecutive keys, sorted, to be written to one file each."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+
+def numbered_over_files(found: DataFrame, folder: Column) -> DataFrame:
+    """Elements numbered through all files of their folder, in the order of the file names, from the counts per file."""
+    files_ = found.groupBy("source_id").agg(F.count("*").alias("n")).withColumn("folder", folder)
+    before = Window.partitionBy("folder").orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files_.select("source_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return found.join(F.broadcast(offsets), "source_id").withColumn("elem_ord", F.col("elem_ord") + F.col("first")).drop("first")
+
+
 @query
 def csv_elements(spark, sf_dir):
-    """Records of two files of different width, with commas, doubled quotes and empty cells."""
+    """Records of two folders of different width, with commas, doubled quotes and empty cells."""
     path = new_table_path(spark, "csv")
     flat = F.regexp_replace("text", r"\s+", " ")
     rows = table(spark, sf_dir, "documents").withColumn("text", flat)
     said = F.concat(F.lit('say "'), "source", F.lit('", ok'))
-    short = rows.where("doc_id % 2 = 0").orderBy("doc_id").select("doc_id", "text")
-    long = rows.where("doc_id % 2 = 1").orderBy("doc_id").select("doc_id", F.lit(None).cast("string"), "lang", said, "text")
+    short = rows.where("doc_id % 2 = 0").select("doc_id", "text")
+    long = rows.where("doc_id % 2 = 1").select("doc_id", F.lit(None).cast("string"), "lang", said, "text")
     for name, part in (("short", short), ("long", long)):
-        part.coalesce(1).write.option("escape", '"').csv(f"{path}/{name}")
-    found = files.csv_elements(spark, f"{path}/*")
-    return found.select("category", F.regexp_extract("source_id", "/(short|long)/", 1).alias("part"), "elem_ord", "text")
+        in_ranges(part, "doc_id").write.option("escape", '"').csv(f"{path}/{name}")
+    part = F.regexp_extract("source_id", "/(short|long)/", 1)
+    found = numbered_over_files(files.csv_elements(spark, f"{path}/*"), part)
+    return found.select("category", part.alias("part"), "elem_ord", "text")
 
 
 @query
@@ -226,8 +241,8 @@ def tsv_elements(spark, sf_dir):
     path = new_table_path(spark, "tsv")
     flat = F.regexp_replace("text", r"\s+", " ")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", flat.alias("text"))
-    rows.orderBy("conv_id", "turn").coalesce(1).write.option("sep", "\t").option("escape", '"').csv(path)
-    return files.csv_elements(spark, path, sep="\t").select("category", "elem_ord", "text")
+    in_ranges(rows, "conv_id", "turn").write.option("sep", "\t").option("escape", '"').csv(path)
+    return numbered_over_files(files.csv_elements(spark, path, sep="\t"), F.lit("")).select("category", "elem_ord", "text")
 
 
 @query

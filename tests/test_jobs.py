@@ -12,8 +12,9 @@ from askloom.operators import ordering
 from askloom.operators.embedding import Embedder
 from askloom.options import SearchOptions
 from askloom.plans import jobs
+from askloom.plans.queries import in_ranges, numbered_over_files
 from askloom.session import new_table_path
-from askloom.sources import collections
+from askloom.sources import collections, files
 from askloom.streaming.ingest import ingest_stream, prompt_stream, search_ingested
 from askloom.streaming.turns import latest_user_turns
 
@@ -216,3 +217,12 @@ def test_all_names_are_looked_up_at_once(spark, tmp_path):
         collections.create_collection(spark, root, name, jobs.chunk_documents(docs(spark)))
     collections.delete_collection(spark, root, "a b")
     assert found() == Counter([("007", True)] * 2 + [("7", False), ("a b", False), ("é", True), (None, False)])
+
+
+def test_tables_are_written_to_many_files_and_numbered_through(spark, tmp_path):
+    rows = spark.range(500).selectExpr("499 - id as id", "'x' as text").repartition(3)
+    in_ranges(rows, "id").write.csv(str(tmp_path / "t"))
+    found = files.csv_elements(spark, str(tmp_path / "t"))
+    assert found.select("source_id").distinct().count() > 1
+    got = numbered_over_files(found, F.lit("")).select("elem_ord", "text").collect()
+    assert sorted(map(tuple, got)) == [(k, f"{k} x") for k in range(500)]
