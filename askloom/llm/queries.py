@@ -10,6 +10,7 @@ from askloom.llm.bpe import op10_bpe
 from askloom.llm.cells import op6_embedding_near_dedup
 from askloom.llm.chat import op4_chat_format
 from askloom.llm.html import op9_html_extraction
+from askloom.llm.katz import op11_katz_scores
 from askloom.llm.language import op3_language_id
 from askloom.llm.mixing import op5_mixing
 from askloom.llm.near_duplicates import op7_minhash_near_dedup
@@ -32,6 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_html_extraction,
         op10_bpe,
+        op11_katz_scores,
     )
-
 }
