@@ -121,3 +121,51 @@ SELECT conv_id, count(*) AS n_turns,
   (3 + sum(n))::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+# crc32 is linear: that of a text is the exclusive or of one entry per byte, by the byte and its distance from
+# the end, and of a constant for the length (the same entries for four bytes 255 at the start, inverted).
+ORACLE["op12_importance_resampling"] = r"""
+WITH RECURSIVE step(b, c, k) AS (
+  SELECT b, b::BIGINT, 0 FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8
+), one AS (SELECT b, c FROM step WHERE k = 8
+), runs AS (
+  SELECT 0 AS kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), features AS (
+  SELECT kind, doc_id, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]
+    || [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS f FROM runs
+), texts AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)
+), longest AS (SELECT coalesce(max(len(h)), 0) // 2 + 4 AS n FROM texts
+), far(d, b, c) AS (
+  SELECT 0, b, c FROM one
+  UNION ALL SELECT d + 1, far.b, xor(far.c >> 8, one.c) FROM far JOIN one ON one.b = far.c & 255, longest WHERE d < n
+), bytes AS (
+  SELECT f, len(h) // 2 AS n, unnest([('0x' || h[2 * i - 1:2 * i])::INTEGER for i in range(1, len(h) // 2 + 1)]) AS b,
+    unnest(range(len(h) // 2)) AS i FROM texts
+), ones AS (
+  -- the register starts with 32 ones: byte i of the first four counts as inverted
+  SELECT f, bit_xor(far.c) AS c FROM bytes JOIN far ON far.d = n - 1 - i AND far.b = CASE WHEN i < 4 THEN xor(bytes.b, 255) ELSE bytes.b END
+  GROUP BY f
+), short AS (
+  -- of a text shorter than four bytes, what is left of the ones is shifted out instead
+  SELECT f, CASE n WHEN 1 THEN 16777215 WHEN 2 THEN 65535 WHEN 3 THEN 255 ELSE 0 END AS c FROM (SELECT f, len(h) // 2 AS n FROM texts)
+), sums AS (SELECT f, xor(4294967295, xor(ones.c, short.c)) % 10000 AS bucket FROM ones JOIN short USING (f)
+), placed AS (SELECT kind, doc_id, bucket FROM features JOIN sums USING (f)
+), counts AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM placed GROUP BY bucket
+), totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM counts
+), gains AS (
+  SELECT bucket, floor(1000 * ln((c.t + 1)::DOUBLE * (totals.s + 10000) / ((c.s + 1)::DOUBLE * (totals.t + 10000))))::BIGINT AS g
+  FROM counts c, totals
+), weights AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS total FROM placed JOIN gains USING (bucket) WHERE kind = 0 GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(total, 0)::BIGINT AS weight, len(r.w) >= 20 AS fit, coalesce(total, 0)::BIGINT + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM (SELECT * FROM runs WHERE kind = 0) r LEFT JOIN weights USING (doc_id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS nth, sum(fit::INT) OVER () AS m FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND nth <= 5 * m // 100 THEN nth END AS rank FROM ranked
+"""

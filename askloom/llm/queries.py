@@ -16,6 +16,7 @@ from askloom.llm.mixing import op5_mixing
 from askloom.llm.near_duplicates import op7_minhash_near_dedup
 from askloom.llm.oracle import ORACLE
 from askloom.llm.quality import op8_quality_classifier
+from askloom.llm.resampling import op12_importance_resampling
 from askloom.llm.substring_dedup import op2_substring_dedup
 from askloom.llm.topk import op1_exact_topk
 
@@ -34,5 +35,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_extraction,
         op10_bpe,
         op11_katz_scores,
+        op12_importance_resampling,
     )
 }
