@@ -169,3 +169,35 @@ WITH RECURSIVE step(b, c, k) AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN fit AND nth <= 5 * m // 100 THEN nth END AS rank FROM ranked
 """
+
+ORACLE["op13_source_divergence"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (SELECT d, lang, source, unnest(w) AS t FROM texts
+), kept AS (SELECT lang, t FROM words GROUP BY lang, t HAVING count(DISTINCT d) >= 10
+), sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), found AS (SELECT DISTINCT lang, source FROM texts
+), counts AS (SELECT lang, source, t, count(*) AS n FROM words JOIN kept USING (lang, t) GROUP BY ALL
+), totals AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL
+), shares AS (
+  SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(s.n, 0) + 2 * v) AS p
+  FROM found g JOIN kept k ON k.lang = g.lang JOIN sizes ON sizes.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t
+  LEFT JOIN totals s ON s.lang = g.lang AND s.source = g.source
+), whole AS (
+  SELECT lang, t, 1 + 1000000000::HUGEINT * (sum(c) + 2) // (any_value(n) + 2 * any_value(v)) AS q
+  FROM shares JOIN sizes USING (lang) JOIN (SELECT lang, sum(n) AS n FROM totals GROUP BY lang) USING (lang) GROUP BY lang, t
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM found a JOIN found b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares JOIN whole USING (lang, t) WHERE c > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

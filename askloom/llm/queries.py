@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from askloom.llm.bpe import op10_bpe
 from askloom.llm.cells import op6_embedding_near_dedup
 from askloom.llm.chat import op4_chat_format
+from askloom.llm.divergence import op13_source_divergence
 from askloom.llm.html import op9_html_extraction
 from askloom.llm.katz import op11_katz_scores
 from askloom.llm.language import op3_language_id
@@ -36,5 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_bpe,
         op11_katz_scores,
         op12_importance_resampling,
+        op13_source_divergence,
     )
 }
