@@ -38,6 +38,20 @@ def exclusive_prefix(df: DataFrame, order: str, value: str, out: str) -> DataFra
     )
 
 
+def number_within(df: DataFrame, keys: list[str], order: str, block: int = 65_536) -> DataFrame:
+    """Replace ``order`` by positions 0..n-1 in its order within each key (which it must be unique in).
+
+    Positions come from counts per (key, block of order values), so one key may hold any share of the rows.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    place = [*keys, "_block"]
+    counts = blocked.groupBy(*place).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*place, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(*place).orderBy(order))
+    return blocked.join(bases, place).withColumn(order, F.col("_base") + inside - 1).drop("_block", "_base")
+
+
 CHUNK_BLOCK = 65_536
 # Chunks per partition folder of a stored collection.
 SEGMENT_ROWS = 1_048_576

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 # Keywords and defaults of the query surface.
 CHUNKING_STRATEGIES = ("basic", "by_title")
-SUBTITLE_LANGS = ("ru", "en")
 METRICS = ("cosine", "l2", "ip")
 DEFAULT_CONTEXT_TEMPLATE = """Ответь на вопрос при условии контекста.
 
@@ -143,5 +142,7 @@ class PreviewOptions:
 
 
 def check_subtitle_lang(lang: str) -> str:
-    _one_of("subtitle_lang", lang, SUBTITLE_LANGS)
+    """Any language code will do; which ones a video has shows when it is looked up."""
+    if not isinstance(lang, str) or not lang.strip():
+        raise ValueError(f"subtitle_lang must be a language code, got {lang!r}")
     return lang

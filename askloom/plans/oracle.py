@@ -8,7 +8,7 @@ from askloom.functions import text as T
 from askloom.functions.vectors import HASH_DIM
 from askloom.operators.prompting import CONTEXT_GAP
 from askloom.options import DEFAULT_CONTEXT_TEMPLATE, ChunkOptions, CleanOptions
-from askloom.plans.queries import ALL_STEPS, DIM, EXTENSIONS, LEADS, SMALL
+from askloom.plans.queries import ALL_STEPS, DIM, EXTENSIONS, FILE_IDS, FILE_KINDS, LEADS, SMALL
 from askloom.sources.routing import SUPPORTED_EXTENSIONS
 
 ORACLE: dict[str, str] = {}
@@ -411,8 +411,6 @@ ORACLE.update(
       string_split(said[1], ':')[1] as first_role, len(said)::int as n from {REQUESTS}""",
     running_concat="""select answer_id, seq, string_agg(tok, '') over (partition by answer_id order by seq rows unbounded preceding) as content
       from (select item_id as answer_id, unnest(string_split(text, ' ')) || ' ' as tok, unnest(range(len(string_split(text, ' ')))) as seq from benchmark)""",
-    collection_exists="""select conv_id::varchar as name, conv_id % 2 = 0 as found from conversations
-      where conv_id < 6 group by conv_id""",
     collections_exist="""select conv_id::varchar as name, conv_id = (select min(conv_id) from conversations) as found
       from conversations where conv_id is not null group by conv_id""",
     template_status="""select conv_id, turn,
@@ -472,6 +470,37 @@ def _rag(limit: float, k: int | None, columns: str) -> str:
       select {columns} from p"""
 
 
+_MD = lit(T.MARKDOWN_HEADING)
+_N = len(FILE_KINDS)
+_FILED = f"(select doc_id, doc_id % 5 as k, doc_id // {FILE_IDS} as b, text from documents)"
+_FILES_END = f"(select {_N} * (max(doc_id) // {FILE_IDS} + 1) from documents)"
+_PAGES_END = f"({_FILES_END} + (select max(page_id) + 1 from pages))"
+_SOURCE_TEXTS = f"""
+    raw as (
+      select k + {_N} * b as id, doc_id as o1, pos as o2, case when k = 1 then regexp_replace(t, {_MD}, '') else t end as t from (
+        select *, {strip('l')} as t from (
+          select k, b, doc_id, unnest(ls) as l, unnest(range(len(ls))) as pos
+          from (select *, string_split(case when k = 1 then '# ' || text else text end, chr(10)) as ls from {_FILED} where k in (0, 1, 2, 4) and not (k = 4 and b % 4 = 1))))
+      union all select 2 + {_N} * b, doc_id, -1, doc_id::varchar from {_FILED} where k = 2
+      union all select 3 + {_N} * b, doc_id, 0, trim(doc_id || ' ' || trim({_flat('text')})) from {_FILED} where k = 3
+      union all select {_FILES_END} + id, ord, 0, text from ({html_elements()}) where id % 50 <> 7
+      union all select {_PAGES_END} + right(video_id, 6)::bigint, seq, 0, text from {_TRACKS} t
+        where lang = 'ru' and right(video_id, 6)::bigint % 10 < 8
+          and is_generated = (select min(is_generated) from {_TRACKS} u where u.video_id = t.video_id and u.lang = 'ru')),
+    said as (select id, row_number() over (partition by id order by o1, o2) - 1 as ord, 'NarrativeText' as category, t as text
+             from (select id, o1, o2, {clean('t')} as t from raw) where t <> '')"""
+ORACLE["ingest_sources"] = f"""with recursive {_SOURCE_TEXTS}, {chunk_ctes('select * from said')}, {WITH_IDS}
+  select chunk_id, id as source_ord, chunk_ord, text from ids"""
+ORACLE["ingest_sources_log"] = f"""with recursive {_SOURCE_TEXTS}, {chunk_ctes('select * from said')},
+  list as (
+    select distinct k + {_N} * b as id, case when k = 4 and b % 4 = 1 then 'error' else 'loaded' end as status from {_FILED}
+    union all select distinct {_N} * b + u, case u when 5 then 'unsupported' else 'error' end from {_FILED}, (values (5), (6)) v(u)
+    union all select {_FILES_END} + page_id, case when page_id % 50 = 7 then 'error' else 'loaded' end from pages
+    union all select distinct {_PAGES_END} + conv_id, case when conv_id % 10 = 9 then 'invalid_url' when conv_id % 10 = 8 then 'no_subtitles'
+      when conv_id % 3 = 0 then 'lang_missing' else 'loaded' end from conversations),
+  counts as (select id, count(*) as n from chunks group by id)
+  select list.id::varchar as source_id, case when status = 'loaded' and n is null then 'no_text' else status end as status,
+    case when status = 'loaded' then coalesce(n, 0) else 0 end as n_chunks from list left join counts using (id)"""
 ORACLE["rag_prompts"] = _rag(0.5, 2, "query_id, status, n_hits, context, prompt")
 ORACLE["stream_prompts"] = ORACLE["rag_prompts"]
 ORACLE["rag_prompts_max"] = _rag(0.6, None, "query_id, status, n_hits, prompt")

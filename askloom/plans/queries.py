@@ -24,7 +24,7 @@ from askloom.operators.ordering import assign_chunk_ids
 from askloom.operators.preview import line_count, preview_lines
 from askloom.operators.search import filter_by_distance, nearest, nearest_to_one, rank_hits
 from askloom.options import ChunkOptions, CleanOptions, EmbedOptions, PreviewOptions, SearchOptions
-from askloom.plans import jobs
+from askloom.plans import ingest, jobs
 from askloom.session import materialize, new_table_path, scan
 from askloom.sources import collections, files, routing, transcripts
 from askloom.streaming.ingest import ingest_stream, prompt_stream, search_ingested
@@ -245,6 +245,91 @@ def tsv_elements(spark, sf_dir):
     return numbered_over_files(files.csv_elements(spark, path, sep="\t"), F.lit("")).select("category", "elem_ord", "text")
 
 
+# One file of each kind for so many ids; the last two kinds are listed only.
+FILE_KINDS = ("txt", "md", "html", "csv", "docx", "pdf", "gone.txt")
+FILE_IDS = 200
+
+
+def _renamed(spark: SparkSession, folder: str, ext: str) -> None:
+    """Give the files of a folder their extension: Spark's text writer knows one only."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/part-*")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(at) or []:
+        path = found.getPath()
+        fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), path.getName().rsplit(".", 1)[0] + f".{ext}"))
+
+
+def _docx_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        made = [_office_bytes("docx", [line for d in sorted(docs, key=lambda d: d["doc_id"]) for line in d["text"].split("\n")]) for docs in batch["docs"]]
+        # every fourth file is damaged
+        cut = [m[: len(m) // 2] if b % 4 == 1 else m for b, m in zip(batch["bundle"], made)]
+        yield pd.DataFrame({"bundle": batch["bundle"], "value": cut})
+
+
+def written_documents(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The documents as text, outline, web, table and office files, and the list of these and some that are not there."""
+    folder = new_table_path(spark, "files")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 5).alias("k"), F.floor(F.col("doc_id") / FILE_IDS).alias("bundle"))
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    web = F.concat(F.lit("<h2>"), "doc_id", F.lit("</h2><p>"), F.replace(safe, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    values = {"txt": F.col("text"), "md": F.concat(F.lit("# "), "text"), "html": web, "csv": F.regexp_replace("text", r"\s+", " ")}
+    for k, (kind, value) in enumerate(values.items()):
+        rows = docs.where(F.col("k") == k).repartition("bundle").sortWithinPartitions("bundle", "doc_id")
+        if kind == "csv":
+            rows.select("bundle", "doc_id", value.alias("text")).write.partitionBy("bundle").option("escape", '"').csv(f"{folder}/csv")
+        else:
+            rows.select("bundle", value.alias("value")).write.partitionBy("bundle").text(f"{folder}/{kind}")
+    office = docs.where("k = 4").groupBy("bundle").agg(F.collect_list(F.struct("doc_id", "text")).alias("docs")).mapInPandas(_docx_rows, "bundle bigint, value binary")
+    office.withColumn("value", F.col("value").cast("string")).write.partitionBy("bundle").text(f"{folder}/docx")
+    for kind in ("md", "html", "docx"):
+        _renamed(spark, f"{folder}/{kind}", kind)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    uri = F.regexp_extract("path", r"([a-z]+/bundle=[0-9]+/part-[^/]+)\z", 1)
+    named = there.select(uri.alias("uri")).where("uri <> ''")
+    kind = F.array_position(F.array(*map(F.lit, FILE_KINDS)), F.substring_index("uri", "/", 1)) - 1
+    bundle = F.regexp_extract("uri", "bundle=([0-9]+)", 1).cast("bigint")
+    known = named.select("uri", (kind + bundle * len(FILE_KINDS)).alias("source_ord"))
+    absent = docs.select("bundle").distinct().select("bundle", F.explode(F.array(F.lit(5), F.lit(6))).alias("k"))
+    absent = absent.select(
+        F.concat(F.lit("more/"), "bundle", F.when(F.col("k") == 5, ".pdf").otherwise(".txt")).alias("uri"), (F.col("k") + F.col("bundle") * len(FILE_KINDS)).alias("source_ord")
+    )
+    return folder, materialize(known.unionByName(absent), "files")
+
+
+def _all_sources(spark: SparkSession, sf_dir: str) -> ingest.Sources:
+    """Documents as files, fetched pages (every fiftieth is missing) and conversations as subtitles (some URLs are wrong)."""
+    folder, listed = written_documents(spark, sf_dir)
+    fetched = table(spark, sf_dir, "pages")
+    n_pages = fetched.agg(F.coalesce(F.max("page_id") + 1, F.lit(0))).scalar()
+    code = F.lpad(F.col("conv_id").cast("string"), 6, "0")
+    site = F.lit("https://www.youtube.com/")
+    link = (
+        F.when(F.col("conv_id") % 10 == 9, F.concat(site, F.lit("live/video"), code, F.lit("?x=1")))
+        .when(F.col("conv_id") % 10 == 8, F.concat(site, F.lit("live/no-id"), code))
+        .otherwise(F.concat(site, F.lit("watch?v=video"), code, F.lit("&t=1s")))
+    )
+    videos = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(link.alias("url"), (F.col("conv_id") + n_pages).alias("source_ord"))
+    urls = fetched.select("url", F.col("page_id").alias("source_ord")).unionByName(videos)
+    return ingest.Sources(folder, listed, urls, fetched.where("page_id % 50 <> 7"), transcript_rows(spark, sf_dir))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return ingest.ingest_sources(spark, new_table_path(spark, "collections"), "123", _all_sources(spark, sf_dir), sep=LINE)
+
+
+@query
+def ingest_sources(spark, sf_dir):
+    """Files, pages and subtitles to one collection."""
+    return _ingested(spark, sf_dir)[0].select("chunk_id", "source_ord", "chunk_ord", "text")
+
+
+@query
+def ingest_sources_log(spark, sf_dir):
+    """What became of every source of the same job."""
+    return _ingested(spark, sf_dir)[1].select("source_id", "status", "n_chunks")
+
+
 @query
 def md_elements(spark, sf_dir):
     docs = documents(spark, sf_dir).select("source_ord", F.concat(F.lit("# "), "text").alias("text"))
@@ -415,19 +500,6 @@ def collection_roundtrip(spark, sf_dir):
     return stored.select("collection", "chunk_id", "source_ord", "chunk_ord", "text")
 
 
-@query
-def collection_exists(spark, sf_dir):
-    """Six names from the conversations, of which the even ones were stored."""
-    root = new_table_path(spark, "collections")
-    some = document_chunks(spark, sf_dir).where("source_ord = 0")
-    names = table(spark, sf_dir, "conversations").where("conv_id < 6").select("conv_id").distinct().collect()
-    for row in names:
-        if row.conv_id % 2 == 0:
-            collections.create_collection(spark, root, str(row.conv_id), some)
-    known = [(str(r.conv_id), collections.collection_exists(spark, root, str(r.conv_id))) for r in names]
-    return spark.createDataFrame(known, "name string, found boolean")
-
-
 @query
 def collections_exist(spark, sf_dir):
     """All conversations as names; the documents are stored under the first of them."""

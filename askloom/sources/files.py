@@ -39,15 +39,17 @@ def csv_cells(record: Column, sep: str = ",") -> Column:
     return F.transform(found, plain)
 
 
-def csv_elements(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
+def csv_elements(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False, glob: str | None = None) -> DataFrame:
     """One element per record, cells joined by a blank; ``sep='\\t'`` reads TSV.
 
     Records may have any number of cells; a quoted cell may hold the separator and doubled quotes.
     Without ``multi_line`` a large file is read by many tasks. Record numbers come from counts per
-    file split plus a number inside the split, so no task sees more than one split.
+    file split plus a number inside the split, so no task sees more than one split. With ``glob``, files of
+    matching names at any depth below ``path`` are read.
     """
     place = [F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("_start")]
-    raw = spark.read.text(path, wholetext=multi_line).select(*place, F.col("value").alias("_record"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob) if glob else spark.read
+    raw = reader.text(path, wholetext=multi_line).select(*place, F.col("value").alias("_record"))
     if multi_line:
         record = F.regexp_extract_all("_record", F.lit(rf'(?:{QUOTED}|[^"\n]++|")++'), F.lit(0))
         raw = raw.select("source_id", "_start", F.explode_outer(record).alias("_record"))
@@ -213,5 +215,22 @@ def office_elements(files: DataFrame) -> DataFrame:
     return known.select("source_id", "content").mapInArrow(run, FILE_ELEMENTS)
 
 
+def office_documents(files: DataFrame) -> DataFrame:
+    """Office files ``(source_id, content)`` with their elements in one row, or the error that a damaged one gave."""
+    names = ["source_id", "elements", "error"]
+    element = pa.struct([("category", pa.string()), ("text", pa.string())])
+    types = [pa.string(), pa.list_(element), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, content in zip(batch.column("source_id").to_pylist(), batch.column("content")):
+                rows = _read_office(uri, content.as_py())
+                error = rows[0][4] if rows else None
+                elements = None if error else [{"category": r[2], "text": r[3]} for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((uri, elements, error), types)], names=names)
+
+    return files.select("source_id", "content").mapInArrow(run, "source_id string, elements array<struct<category:string,text:string>>, error string")
+
+
 def office_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_id"), "content")

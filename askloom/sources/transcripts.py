@@ -17,13 +17,10 @@ def chosen_track(transcripts: DataFrame, lang: str) -> DataFrame:
 
 def transcript_text(transcripts: DataFrame, lang: str) -> DataFrame:
     """``(video_id, is_generated, text)``: lines of the manual track, else of the automatic one."""
-    asked = transcripts.where(F.col("lang") == check_subtitle_lang(lang))
+    track = chosen_track(transcripts, lang)
+    asked = transcripts.where(F.col("lang") == lang).join(track, ["video_id", "is_generated"], "left_semi")
     lines = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    tracks = asked.groupBy("video_id", "is_generated").agg(F.array_join(lines["text"], "\n").alias("text"))
-    best = tracks.groupBy("video_id").agg(
-        F.min("is_generated").alias("is_generated"), F.min_by("text", "is_generated").alias("text")
-    )
-    return best
+    return asked.groupBy("video_id", "is_generated").agg(F.array_join(lines["text"], "\n").alias("text"))
 
 
 def transcript_elements(transcripts: DataFrame, lang: str) -> DataFrame:

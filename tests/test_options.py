@@ -20,7 +20,7 @@ from askloom.options import ChatOptions, ChunkOptions, PreviewOptions, SamplingO
         lambda: SamplingOptions(temperature=-0.1),
         lambda: ChatOptions(history_len=-1),
         lambda: PreviewOptions(max_lines=-2),
-        lambda: check_subtitle_lang("de"),
+        lambda: check_subtitle_lang(" "),
     ],
 )
 def test_out_of_range(make):
