@@ -129,17 +129,21 @@ def decode_references(texts: pd.Series) -> pd.Series:
     return texts.map(unescape, na_action="ignore")
 
 
+# The rest of a tag after its name; a quoted value may hold ">", a quote that is never closed stands for itself.
+_REST = r"""(?=[\s/>])(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+>"""
+
+
 def html_marked(html: Column) -> Column:
     """Page source to text in which every element starts with a marker for its category."""
     c = F.translate(html, _END + _HEAD + _ITEM, "")
-    for tag in DROPPED_TAGS:
-        # an unclosed one reaches to the end of the page
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
-    c = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)", " ")
-    c = F.regexp_replace(c, r"(?i)<h[1-6]\b[^>]*>", _END + _HEAD)
-    c = F.regexp_replace(c, r"(?i)<li\b[^>]*>", _END + _ITEM)
-    c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", _END)
-    c = F.regexp_replace(c, r"<[^>]*>", "")
+    # whichever begins first hides the other: a comment in a script, a tag in a comment; an unclosed one
+    # reaches to the end of the page
+    dropped = rf"<({'|'.join(DROPPED_TAGS)}){_REST}.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
+    c = F.regexp_replace(c, rf"(?is)<!--.*?(?:-->|\z)|{dropped}", " ")
+    c = F.regexp_replace(c, rf"(?i)<h[1-6]{_REST}", _END + _HEAD)
+    c = F.regexp_replace(c, rf"(?i)<li{_REST}", _END + _ITEM)
+    c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCK_TAGS}){_REST}", _END)
+    c = F.regexp_replace(c, rf"</?[a-zA-Z][^\s/>]*+{_REST}|<[!?][^>]*>", "")
     return decode_references(c)
 
 

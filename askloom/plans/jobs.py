@@ -19,17 +19,11 @@ from askloom.sources.routing import ingest_log
 BROADCAST_HITS = 500_000
 
 
-# Characters of one context, which is one string of one row; beyond this, work with ranked hit rows.
+# Characters of one context, which is one string of one row. A question with a larger one gets the status
+# ``too_large``; its ranked hit rows are of any number.
 CONTEXT_CHARS = 256 * 1024 * 1024
 
 
-def _check_size(sizes: DataFrame) -> None:
-    """Refuse contexts that cannot be one string. ``sizes``: one number of characters per question."""
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest > CONTEXT_CHARS:
-        raise ValueError(f"a context of {largest} characters is too large for one prompt; lower the limit or use the hit rows")
-
-
 def elements_in_rows(docs: DataFrame, elements: Column, clean: CleanOptions = CleanOptions()) -> DataFrame:
     """``(source_id, source_ord, elements)`` with cleaned elements."""
     return docs.select("source_id", "source_ord", clean_elements(elements, clean).alias("elements"))
@@ -78,24 +72,39 @@ def rag_prompts(
     template: str = DEFAULT_CONTEXT_TEMPLATE,
     embedder: Embedder = Embedder(),
 ) -> DataFrame:
-    """Prompts for ``questions`` (query_id, text) from a stored collection."""
+    """Prompts for ``questions`` (query_id, text) from a stored collection: ``query_id, status, n_hits, context, prompt``.
+
+    Status: ``answered``, ``blank``, ``no_context`` (nothing near enough), ``too_large`` (the context is beyond
+    ``CONTEXT_CHARS``) or ``error`` (the model gave the question no usable vector).
+    """
     check_template(template)
     asked = not_blank(questions)
+    refused = None
     if search.n_results == "all":
-        _check_size(collections.collection_chunks(spark, root, name).agg(F.sum("n_chars").alias("n")))
+        size = collections.collection_chunks(spark, root, name).agg(F.sum("n_chars")).first()[0]
+        if size > CONTEXT_CHARS:
+            nothing = asked.where("false").select("query_id", F.lit(0).alias("n_hits"), F.lit("").alias("context"))
+            return prompts(questions, nothing, template, asked.select("query_id", F.lit("too_large").alias("reason")))
         whole = collections.retrieve_all(spark, root, name)
         one = contexts(whole.select(F.lit(0).alias("query_id"), F.lit(0.0).alias("distance"), "chunk_id", "text"))
         found = asked.select("query_id").withColumn("n_hits", one.select("n_hits").scalar()).withColumn(
             "context", one.select("context").scalar()
         )
     else:
+        if embedder.factory:
+            # asked once: both the search and the report of failures need the answer
+            asked = materialize(collections.embed_questions(spark, root, name, asked, embedder), "asked")
+            refused = asked.where("error IS NOT NULL").select("query_id", F.lit("error").alias("reason"))
         # written once: scoring is the costly step, and the size of its result decides the join
         hits = materialize(collections.search_collection(spark, root, name, asked, search, embedder), "hits")
         if search.k is None:
             lengths = collections.collection_chunks(spark, root, name).select("chunk_id", "n_chars")
-            _check_size(hits.join(lengths, "chunk_id").groupBy("query_id").agg(F.sum("n_chars").alias("n")))
+            sizes = hits.join(lengths, "chunk_id").groupBy("query_id").agg(F.sum("n_chars").alias("n"))
+            large = materialize(sizes.where(F.col("n") > CONTEXT_CHARS).select("query_id", F.lit("too_large").alias("reason")), "large")
+            refused = large if refused is None else refused.unionByName(large)
+            hits = hits.join(large, "query_id", "left_anti")
         if hits.count() <= BROADCAST_HITS:
             # with a filter on the broadcast side, only the segments of the hits are read
             hits = F.broadcast(hits.where(F.col("distance") <= search.max_distance))
         found = contexts(with_texts(hits, collections.collection_chunks(spark, root, name)))
-    return prompts(questions, found, template)
+    return prompts(questions, found, template, refused)

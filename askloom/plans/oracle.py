@@ -66,14 +66,21 @@ def line_elements(table: str, key: str, text: str = "text", clean_opts: CleanOpt
       where t <> ''"""
 
 
+# Tags by hand, so that a wrong list in the code shows.
+_REST = r"""(?:[\s/](?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|[="'])*)?>"""
+_BLOCKS = (
+    "address article aside blockquote body br dd div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 head header hr html "
+    "li main ol p pre section table tbody td tfoot th thead tr ul"
+).split()
+
+
 def _html(x: str) -> str:
-    for tag in T.DROPPED_TAGS:
-        x = f"regexp_replace({x}, {lit(rf'(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)')}, ' ', 'g')"
-    x = f"regexp_replace({x}, '(?s)<!--.*?(?:-->|\\z)', ' ', 'g')"
-    x = f"regexp_replace({x}, {lit(r'(?i)<h[1-6]\b[^>]*>')}, chr(64976) || chr(64977), 'g')"
-    x = f"regexp_replace({x}, {lit(r'(?i)<li\b[^>]*>')}, chr(64976) || chr(64978), 'g')"
-    x = f"regexp_replace({x}, {lit(rf'(?i)</?(?:{T.BLOCK_TAGS})\b[^>]*>')}, chr(64976), 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    hidden = "|".join(rf"<{t}{_REST}.*?(?:</{t}(?:[\s/][^>]*)?>|\z)" for t in ("script", "style", "nav", "footer", "title"))
+    x = f"regexp_replace({x}, {lit('(?is)<!--.*?(?:-->|' + chr(92) + 'z)|' + hidden)}, ' ', 'g')"
+    x = f"regexp_replace({x}, {lit('(?i)<h[1-6]' + _REST)}, chr(64976) || chr(64977), 'g')"
+    x = f"regexp_replace({x}, {lit('(?i)<li' + _REST)}, chr(64976) || chr(64978), 'g')"
+    x = f"regexp_replace({x}, {lit('(?i)</?(?:' + '|'.join(_BLOCKS) + ')' + _REST)}, chr(64976), 'g')"
+    x = f"regexp_replace({x}, {lit('</?[a-zA-Z][^' + chr(92) + 's/>]*' + _REST + '|<[!?][^>]*>')}, '', 'g')"
     for name, char in REFERENCES:
         x = f"replace({x}, {lit(name)}, {lit(char)})"
     return x
@@ -458,15 +465,17 @@ ORACLE["rag_prompts_model"] = f"""with recursive {DOC_CHUNKS}, {WITH_IDS},
   from benchmark left join found on query_id = item_id"""
 
 
-def _rag(limit: float, k: int | None, columns: str) -> str:
-    asked = f"select item_id as key, text from benchmark where length({strip('text')}) > 0"
-    return f"""with recursive {DOC_CHUNKS}, {WITH_IDS},
-      {weight_ctes('select chunk_id as key, text from ids', asked)}, {sparse_hits(limit, k)},
+def _rag(limit: float, k: int | None, columns: str, asked: str = "select item_id, text from benchmark", ctes: str = "") -> str:
+    """``asked``: item_id, text. ``ctes``: of further CTEs that it names, and those that follow."""
+    before, after = ctes if ctes else ("", "")
+    keyed = f"select item_id as key, text from ({asked}) where length({strip('text')}) > 0"
+    return f"""with recursive {before} {DOC_CHUNKS}, {WITH_IDS},
+      {weight_ctes('select chunk_id as key, text from ids', keyed)}, {sparse_hits(limit, k)},
       {context_cte('ids', 'ids.chunk_id')},
       p as (select item_id as query_id,
               case when length({strip('text')}) = 0 then 'blank' when context is null then 'no_context' else 'answered' end as status,
               coalesce(n_hits, 0)::int as n_hits, context, {filled('context', 'text')} as prompt
-            from benchmark left join found on query_id = item_id)
+            from ({asked}) left join found on query_id = item_id){after}
       select {columns} from p"""
 
 
@@ -502,5 +511,27 @@ ORACLE["ingest_sources_log"] = f"""with recursive {_SOURCE_TEXTS}, {chunk_ctes('
   select list.id::varchar as source_id, case when status = 'loaded' and n is null then 'no_text' else status end as status,
     case when status = 'loaded' then coalesce(n, 0) else 0 end as n_chunks from list left join counts using (id)"""
 ORACLE["rag_prompts"] = _rag(0.5, 2, "query_id, status, n_hits, context, prompt")
+_OPEN = f"""open as (
+    select c.conv_id, turn, role, case when turn = last and c.conv_id % 11 = 5 then ' ' || chr(10) || ' ' else text end as text
+    from conversations c join (select conv_id, max(turn) as last from conversations where role = 'user' group by conv_id) l using (conv_id) where turn <= last),
+  standing as (select conv_id, turn, role, text from (select *, lead(role) over (partition by conv_id order by turn) as following from open)
+    where not (role = 'user' and coalesce(following = 'user', false))),
+  asked as (select * from (select *, coalesce(list(role || ': ' || text) over (partition by conv_id order by turn rows between 2 preceding and 1 preceding), []) as past,
+      row_number() over (partition by conv_id order by turn desc) as back from standing) where back = 1 and role = 'user'),"""
+_SENT = """, sent as (select query_id as conv_id, turn, status, (len(past) + 2) || ': ' || prompt as said from p join asked on conv_id = query_id),
+  answers as (select conv_id, turn, case when status = 'answered' and length(said) % 7 = 0 then 'failed' else status end as status,
+    case when length(said) % 7 > 0 then said end as answer, case when length(said) % 7 = 0 then 'ValueError: refused' end as error from sent)"""
+
+
+def _chat(columns: str) -> str:
+    return _rag(0.6, 2, columns, "select conv_id as item_id, text from asked", (_OPEN, _SENT)).rsplit(" from p", 1)[0]
+
+
+ORACLE["chat_answers"] = _chat("*") + " from answers"
+ORACLE["chat_continued"] = (
+    _chat("conv_id, turn, role, text")
+    + """ from standing s where not exists (select 1 from answers a where a.conv_id = s.conv_id and a.turn = s.turn and a.status <> 'answered')
+    union all select conv_id, turn + 1, 'assistant', answer from answers where status = 'answered'"""
+)
 ORACLE["stream_prompts"] = ORACLE["rag_prompts"]
 ORACLE["rag_prompts_max"] = _rag(0.6, None, "query_id, status, n_hits, prompt")

@@ -23,11 +23,11 @@ from askloom.operators.lsh import nearest_approx, nearest_indexed, write_index
 from askloom.operators.ordering import assign_chunk_ids
 from askloom.operators.preview import line_count, preview_lines
 from askloom.operators.search import filter_by_distance, nearest, nearest_to_one, rank_hits
-from askloom.options import ChunkOptions, CleanOptions, EmbedOptions, PreviewOptions, SearchOptions
-from askloom.plans import ingest, jobs
+from askloom.options import ChatOptions, ChunkOptions, CleanOptions, EmbedOptions, PreviewOptions, SearchOptions
+from askloom.plans import chat, ingest, jobs
 from askloom.session import materialize, new_table_path, scan
 from askloom.sources import collections, files, routing, transcripts
-from askloom.streaming.ingest import ingest_stream, prompt_stream, search_ingested
+from askloom.streaming.ingest import ingest_stream, latest_versions, prompt_stream, search_ingested
 from askloom.streaming.turns import latest_user_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -854,6 +854,51 @@ def batch_generate_(spark, sf_dir):
     return batch_generate(C.request_rows(_messages(spark, sf_dir), F.lit(False)), _echo_client)
 
 
+def _moody_client():
+    """Repeats the last message, but refuses some."""
+    echo = _echo_client()
+
+    def answer(document: str) -> str:
+        said = echo(document)
+        if len(said) % 7 == 0:
+            raise ValueError("refused")
+        return said
+
+    return answer
+
+
+def open_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations up to their last user turn, which some leave blank."""
+    rows = table(spark, sf_dir, "conversations")
+    last = rows.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    blank = (F.col("turn") == F.col("_last")) & (F.col("conv_id") % 11 == 5)
+    kept = rows.join(last, "conv_id").where("turn <= _last")
+    return kept.select("conv_id", "turn", "role", F.when(blank, " \n ").otherwise(F.col("text")).alias("text"))
+
+
+CHAT = ChatOptions(history_len=1, system_prompt="Be brief.", rag_mode=True)
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    turns_ = open_conversations(spark, sf_dir)
+    limits = SearchOptions(max_distance=0.6)
+    kept = new_table_path(spark, "completions")
+    answers = chat.chat_answers(spark, turns_, _moody_client, "moody", kept, CHAT, search=limits, collection=stored_documents(spark, sf_dir))
+    return turns_, materialize(answers, "answers")
+
+
+@query
+def chat_answers(spark, sf_dir):
+    """The open question of every conversation, answered from a collection of all documents."""
+    return _answers(spark, sf_dir)[1]
+
+
+@query
+def chat_continued(spark, sf_dir):
+    """The conversations after these answers."""
+    return chat.continued(*_answers(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- inspection
 
 
@@ -889,7 +934,7 @@ def stream_ingest(spark, sf_dir):
         F.col("doc_id").cast("string").alias("source_id"), F.col("doc_id").alias("source_ord"), "text"
     )
     ingest_stream(docs, T.text_elements(F.col("text"), LINE), path, checkpoint).awaitTermination()
-    return spark.read.parquet(path).select(*CHUNKED)
+    return latest_versions(spark, path).select(*CHUNKED)
 
 
 @query

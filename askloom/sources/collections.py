@@ -7,7 +7,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions.vectors import HASH_DIM
@@ -123,9 +123,11 @@ def create_collection(
     _replace(vectors, root, "vectors", name)
     embedded = spark.read.parquet(f"{root}/vectors/collection={name}")
     if embedder.factory:
-        size = F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")
+        # the size that most vectors have; one of another size counts as an error of the model
+        sizes = embedded.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
+        usual = F.max_by(F.when(F.col("size") > 0, F.col("size")), F.when(F.col("size") > 0, F.struct("n", "size")))
         no_idf = F.lit(None).cast("array<double>").alias("idf")
-        terms = embedded.agg(F.count("*").alias("n_chunks"), size).select("n_chunks", no_idf, "dim")
+        terms = sizes.agg(F.sum("n").alias("n_chunks"), F.coalesce(usual, F.lit(0)).alias("dim")).select("n_chunks", no_idf, "dim")
     else:
         terms = idf_table(embedded, dim).withColumn("dim", F.lit(dim))
     _replace(terms.withColumn("embedder", F.lit(embedder.name)), root, "terms", name)
@@ -136,10 +138,16 @@ def collection_chunks(spark: SparkSession, root: str, name: str) -> DataFrame:
     return _scan(spark, root, "chunks", name)
 
 
+def _vector_error(dim: int) -> Column:
+    """What is wrong with a row's vector, if anything."""
+    said = F.concat(F.lit("vector of "), F.size("embedding"), F.lit(f" numbers, not {dim}"))
+    return F.coalesce(F.col("error"), F.when(F.coalesce(F.size("embedding") != dim, F.lit(True)), F.coalesce(said, F.lit("no vector"))))
+
+
 def chunks_without_vector(spark: SparkSession, root: str, name: str) -> DataFrame:
     """``chunk_id, source_id, error`` of the chunks that the collection's model failed on."""
-    vectors = _scan(spark, root, "vectors", name)
-    failed = vectors.where(F.col("error").isNotNull()).select("chunk_id", "error")
+    dim = _scan(spark, root, "terms", name).select("dim").first()["dim"]
+    failed = _scan(spark, root, "vectors", name).select("chunk_id", _vector_error(dim).alias("error")).where("error IS NOT NULL")
     return failed.join(collection_chunks(spark, root, name).select("chunk_id", "source_id"), "chunk_id")
 
 
@@ -164,6 +172,13 @@ def collection_terms(spark: SparkSession, root: str, name: str, embedder: Embedd
     return terms, built["dim"]
 
 
+def embed_questions(spark: SparkSession, root: str, name: str, questions: DataFrame, embedder: Embedder) -> DataFrame:
+    """``query_id, embedding, error`` of questions for a collection with a model; an odd-sized vector is an error."""
+    _, dim = collection_terms(spark, root, name, embedder)
+    asked = embed_texts(questions, "query_id", embedder.factory, opts=embedder.opts)
+    return asked.withColumn("error", _vector_error(dim))
+
+
 def search_collection(
     spark: SparkSession,
     root: str,
@@ -172,11 +187,14 @@ def search_collection(
     opts: SearchOptions = SearchOptions(),
     embedder: Embedder = Embedder(),
 ) -> DataFrame:
-    """Hits of many questions ``(query_id, text)`` in one collection, embedded as the chunks were."""
+    """Hits of many questions ``(query_id, text)`` in one collection, embedded as the chunks were.
+
+    Questions that already have vectors (``embedding``, see :func:`embed_questions`) are not embedded again.
+    """
     terms, dim = collection_terms(spark, root, name, embedder)
     stored = _scan(spark, root, "vectors", name)
     if embedder.factory:
-        asked = embed_texts(questions, "query_id", embedder.factory, opts=embedder.opts)
+        asked = questions if "embedding" in questions.columns else embed_questions(spark, root, name, questions, embedder)
         return nearest(stored, asked, opts, dim=dim)
     idf_values = terms.select("idf").scalar()
     vectors = weigh(stored.select("chunk_id", "buckets", "tf"), "chunk_id", idf_values)

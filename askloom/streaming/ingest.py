@@ -17,8 +17,25 @@ from askloom.plans.jobs import rag_prompts
 from askloom.session import materialize
 
 
+# Folder below the chunks that says which source arrived in which batch, with or without chunks.
+ARRIVED = "_arrived"
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row per source of a batch: the one with the highest ``version``, if there is such a column, then ``source_ord``, then hash.
+
+    Only sources that came more than once are shuffled.
+    """
+    twice = docs.groupBy("source_id").agg(F.count("*").alias("n")).where("n > 1").select("source_id")
+    rank = [F.col(c) for c in ("version", "source_ord") if c in docs.columns]
+    rank.append(F.xxhash64(*[F.col(c) for c in docs.columns if c != "source_id"]))
+    rows = F.struct(*[F.col(c) for c in docs.columns if c != "source_id"])
+    best = docs.join(twice, "source_id", "left_semi").groupBy("source_id").agg(F.max_by(rows, F.struct(*rank)).alias("m"))
+    return docs.join(twice, "source_id", "left_anti").unionByName(best.select("source_id", "m.*"))
+
+
 def stream_chunks(docs: DataFrame, elements: Column, clean: CleanOptions, chunk: ChunkOptions) -> DataFrame:
-    """Embedded chunks of a document stream. Stateless: everything stays inside a row.
+    """Embedded chunks of a batch of documents.
 
     Dense ids need the whole collection, so a search gives them; here a chunk is known by its source
     and place.
@@ -47,27 +64,36 @@ def ingest_stream(
     clean: CleanOptions = CleanOptions(),
     chunk: ChunkOptions = ChunkOptions(),
 ) -> StreamingQuery:
-    """Chunk every document that has arrived and stop; run again for what arrives later."""
+    """Chunk every document that has arrived and stop; run again for what arrives later.
+
+    A source that arrives again, even without any text, replaces what it had.
+    """
+    write, note = _write_batch(path), _write_batch(f"{path}/{ARRIVED}")
+
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        write(stream_chunks(one_of_each(batch), elements, clean, chunk), batch_id)
+        # last: until then the earlier versions stand
+        note(batch.select("source_id").distinct(), batch_id)
+
     return (
-        stream_chunks(docs, elements, clean, chunk)
-        .writeStream.foreachBatch(_write_batch(path))
+        docs.writeStream.foreachBatch(ingest)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def latest_versions(stored: DataFrame) -> DataFrame:
+def latest_versions(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of each source as it arrived last: a source that comes again replaces itself."""
-    newest = stored.groupBy("source_id").agg(F.max("batch_id").alias("batch_id"))
-    return stored.join(newest, ["source_id", "batch_id"])
+    newest = spark.read.parquet(f"{path}/{ARRIVED}").groupBy("source_id").agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(path).join(newest, ["source_id", "batch_id"])
 
 
 def search_ingested(
     spark: SparkSession, path: str, questions: DataFrame, opts: SearchOptions = SearchOptions()
 ) -> DataFrame:
     """Hits with texts in all that has been ingested so far; ids and document frequencies are as of now."""
-    stored = latest_versions(spark.read.parquet(path))
+    stored = latest_versions(spark, path)
     place = ["source_id", "source_ord", "chunk_ord"]
     known = materialize(assign_chunk_ids(stored.select(*place, "buckets", "tf")), "ingested")
     counts = known.select("chunk_id", "buckets", "tf")

@@ -15,7 +15,7 @@ from askloom.plans import jobs
 from askloom.plans.queries import in_ranges, numbered_over_files
 from askloom.session import new_table_path
 from askloom.sources import collections, files
-from askloom.streaming.ingest import ingest_stream, prompt_stream, search_ingested
+from askloom.streaming.ingest import ingest_stream, latest_versions, prompt_stream, search_ingested
 from askloom.streaming.turns import latest_user_turns
 
 MANUAL = [
@@ -95,12 +95,52 @@ def test_only_segments_of_hits_are_read(spark, monkeypatch):
     assert "dynamicpruningexpression(segment" in found._jdf.queryExecution().executedPlan().toString()
 
 
-def test_contexts_beyond_one_string_are_refused(spark, built, monkeypatch):
+def test_contexts_beyond_one_string_stop_no_other_question(spark, built, monkeypatch):
     root, *_ = built
-    monkeypatch.setattr(jobs, "CONTEXT_CHARS", 60)
-    for opts in (SearchOptions("all"), SearchOptions("max", 2)):
-        with pytest.raises(ValueError, match="too large"):
-            jobs.rag_prompts(spark, root, "123", ask(spark, QUESTION + " безопасности"), opts)
+    monkeypatch.setattr(jobs, "CONTEXT_CHARS", 80)
+    asked = ask(spark, "безопасности масло Гарантия двигатель", "Гарантия", " ")
+    got = {r["query_id"]: (r["status"], r["prompt"] is None) for r in jobs.rag_prompts(spark, root, "123", asked, SearchOptions("max", 0.99)).collect()}
+    assert got == {0: ("too_large", True), 1: ("answered", False), 2: ("blank", True)}
+    got = {r["query_id"]: r["status"] for r in jobs.rag_prompts(spark, root, "123", asked, SearchOptions("all")).collect()}
+    assert got == {0: "too_large", 1: "too_large", 2: "blank"}
+
+
+def _odd_model():
+    """Vectors of two numbers, of three where the text speaks of fuel; refuses questions about weather."""
+
+    def encode(texts):
+        if any("weather" in t for t in texts):
+            raise RuntimeError("refused")
+        return [[1.0, float("масло" in t), 0.5][: 3 if "топливом" in t else 2] for t in texts]
+
+    return encode
+
+
+def test_odd_sized_vectors_and_refused_questions(spark):
+    """One vector of another size loses its own chunk only, and a question without a vector is an error."""
+    root, model = new_table_path(spark, "collections"), Embedder("odd", _odd_model)
+    _, log = jobs.build_collection(spark, root, "o", docs(spark), embedder=model)
+    got = {r["source_id"]: (r["status"], r["detail"]) for r in log.collect()}
+    assert got["a"] == ("error", "1 chunks without a vector") and got["b"][0] == got["c"][0] == "loaded"
+    assert [r["error"] for r in collections.chunks_without_vector(spark, root, "o").collect()] == ["vector of 3 numbers, not 2"]
+    asked = ask(spark, "масло", "weather", "топливом", " ")
+    found = jobs.rag_prompts(spark, root, "o", asked, SearchOptions(1, 0.1), embedder=model).collect()
+    assert {r["query_id"]: r["status"] for r in found} == {0: "answered", 1: "error", 2: "error", 3: "blank"}
+
+
+def test_sources_that_arrive_again(spark, tmp_path):
+    """Empty again: nothing is left. Twice in one batch: one of them, whole."""
+    place, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    schema = "source_id string, source_ord bigint, version int, text string"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(place)
+        ingest_stream(spark.readStream.schema(schema).parquet(place), text_elements(F.col("text"), r"\n"), out, checkpoint).awaitTermination()
+        return sorted((r["source_id"], r["chunk_ord"], r["text"]) for r in latest_versions(spark, out).collect())
+
+    first = arrive(("a", 0, 1, "old a"), ("b", 1, 1, "first b"), ("b", 1, 2, "second b"), ("c", 2, 1, "same"), ("c", 2, 1, "same"))
+    assert first == [("a", 0, "old a"), ("b", 0, "second b"), ("c", 0, "same")]
+    assert arrive(("a", 0, 2, "  "), ("d", 3, 1, "new d")) == [("b", 0, "second b"), ("c", 0, "same"), ("d", 0, "new d")]
 
 
 def test_collections_replace_drop_and_guard(spark, built):

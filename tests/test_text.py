@@ -125,6 +125,13 @@ def test_pages_by_hand(spark):
         "<p>icon \ue000x\ue001 y</p>": [("NarrativeText", "icon \ue000x\ue001 y")],
         "<h2>T\ufdd1</h2><p>a<script>var x = '<p>';": [("Title", "T"), ("NarrativeText", "a")],
         "<ul><li>one<li>two</ul><!-- open <p>no": [("ListItem", "one"), ("ListItem", "two")],
+        "<p>before</p><nav-item>Home</nav-item><p>main text</p>": [("NarrativeText", "before"), ("NarrativeText", "Home"), ("NarrativeText", "main text")],
+        "<style-guide>a</style-guide><p>b": [("NarrativeText", "a"), ("NarrativeText", "b")],
+        "<!-- <script> --><p>kept</p>": [("NarrativeText", "kept")],
+        "<script>var s = '<!--';</script><p>also kept</p>": [("NarrativeText", "also kept")],
+        "<p><a title=\"x > y\">link</a> <b id='<p>'>c</b> if a < b": [("NarrativeText", "link c if a < b")],
+        "<p>it's <a title=\"open>one</a> d</p><footer class='x'>f</footer >e": [("NarrativeText", "it's one d"), ("NarrativeText", "e")],
+        "<SCRIPT SRC='a>b'>x</SCRIPT\n><H2 id=a>T</H2>": [("Title", "T")],
     }
     df = spark.createDataFrame([(p,) for p in pages], "t string").select("t", T.html_elements(F.col("t")).alias("e"))
     assert {r.t: [(e.category, e.text) for e in r.e] for r in df.collect()} == pages
