@@ -1,8 +1,12 @@
 """Named collections as partitioned parquet tables under one root folder.
 
-``chunks``   collection, segment, chunk_id, source_id, source_ord, chunk_ord, text, n_chars
-``vectors``  collection, chunk_id, buckets, tf      or, with a model: embedding, error
-``terms``    collection, embedder, dim, n_chunks, idf   (one row per collection; no idf with a model)
+``chunks``   collection, version, segment, chunk_id, source_id, source_ord, chunk_ord, text, n_chars
+``vectors``  collection, version, chunk_id, buckets, tf      or, with a model: embedding, error
+``terms``    collection, version, embedder, dim, n_chunks, idf   (one row per version; no idf with a model)
+
+A collection is replaced by writing a new version beside the old one. Its row in ``terms`` is written last and makes it
+the current version; a replacement that fails before that leaves the old one as it was. The version that was replaced
+stays for readers that have begun, until the next replacement.
 """
 
 from __future__ import annotations
@@ -38,9 +42,25 @@ def _folder(spark: SparkSession, root: str, table: str, name: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def _versions(spark: SparkSession, root: str, table: str, name: str, whole: bool = False) -> list[int]:
+    """Version numbers that have a folder, rising; ``whole``: only those that hold a file."""
+    fs, path = _folder(spark, root, table, name)
+    if not fs.exists(path):
+        return []
+    found = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("version=")]
+    if whole:
+        found = [p for p in found if any(f.getPath().getName().startswith("part-") for f in fs.listStatus(p))]
+    return sorted(int(p.getName().split("=")[1]) for p in found)
+
+
+def current_version(spark: SparkSession, root: str, name: str) -> int | None:
+    """The version that reads see: the highest one whose row in ``terms`` was written."""
+    whole = _versions(spark, root, "terms", name, whole=True)
+    return whole[-1] if whole else None
+
+
 def collection_exists(spark: SparkSession, root: str, name: str) -> bool:
-    fs, path = _folder(spark, root, "terms", name)
-    return fs.exists(path)
+    return current_version(spark, root, name) is not None
 
 
 def stored_names(spark: SparkSession, root: str) -> DataFrame:
@@ -49,7 +69,7 @@ def stored_names(spark: SparkSession, root: str) -> DataFrame:
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "name string")
     # the schema is given so that names such as '007' stay strings
-    terms = spark.read.schema("dim int, collection string").parquet(f"{root}/terms")
+    terms = spark.read.schema("dim int, collection string, version int").parquet(f"{root}/terms")
     return terms.select(F.col("collection").alias("name")).distinct()
 
 
@@ -66,9 +86,16 @@ def delete_collection(spark: SparkSession, root: str, name: str) -> None:
         fs.delete(path, True)
 
 
-def _replace(df: DataFrame, root: str, table: str, name: str, *within: str) -> None:
-    writer = df.withColumn("collection", F.lit(name)).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("collection", *within).parquet(f"{root}/{table}")
+def _path(root: str, table: str, name: str, version: int) -> str:
+    return f"{root}/{table}/collection={name}/version={version}"
+
+
+def _drop_versions(spark: SparkSession, root: str, name: str, but: set[int]) -> None:
+    """Remove what replaced versions and failed replacements left, ``terms`` first."""
+    for table in reversed(TABLES):
+        fs, path = _folder(spark, root, table, name)
+        for version in set(_versions(spark, root, table, name)) - but:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, f"version={version}"), True)
 
 
 def _laid_out(spark: SparkSession, chunks: DataFrame, total: int) -> DataFrame:
@@ -85,11 +112,11 @@ def _laid_out(spark: SparkSession, chunks: DataFrame, total: int) -> DataFrame:
 
 
 def _scan(spark: SparkSession, root: str, table: str, name: str) -> DataFrame:
-    if not collection_exists(spark, root, name):
+    version = current_version(spark, root, _check_name(name))
+    if version is None:
         raise ValueError(f"collection {name!r} does not exist")
-    # names such as '123' must stay strings, whatever partition type inference makes of them
-    found = spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}/collection={name}")
-    return found.withColumn("collection", F.lit(name))
+    # names such as '123' must stay strings, whatever partition type inference would make of them
+    return spark.read.parquet(_path(root, table, name, version)).withColumn("collection", F.lit(name))
 
 
 def create_collection(
@@ -102,6 +129,7 @@ def create_collection(
 ) -> DataFrame:
     """Create or replace a collection from chunks; returns the stored chunks.
 
+    Until the new version is whole, the old one is what searches read. Replacements of one name must not overlap.
     The chunking result is written once before ids are given, so its plan runs once. Texts are then
     shuffled to meet the first id of their source (unless those ids are small enough to broadcast)
     and once more into files of consecutive ids. They are embedded in one more pass, map-only.
@@ -113,15 +141,17 @@ def create_collection(
     total = staged.count()
     if total == 0:
         raise ValueError("no texts were extracted: the collection cannot be created")
-    delete_collection(spark, root, name)
-    _replace(_laid_out(spark, assign_chunk_ids(staged), total), root, "chunks", name, "segment")
-    stored = spark.read.parquet(f"{root}/chunks/collection={name}")
+    old = current_version(spark, root, name)
+    version = 1 + max((v for table in TABLES for v in _versions(spark, root, table, name)), default=0)
+    chunk_path, vector_path, term_path = (_path(root, table, name, version) for table in TABLES)
+    _laid_out(spark, assign_chunk_ids(staged), total).write.partitionBy("segment").parquet(chunk_path)
+    stored = spark.read.parquet(chunk_path)
     if embedder.factory:
         vectors = embed_texts(stored, "chunk_id", embedder.factory, opts=embedder.opts)
     else:
         vectors = term_counts(stored, "chunk_id", dim=dim)
-    _replace(vectors, root, "vectors", name)
-    embedded = spark.read.parquet(f"{root}/vectors/collection={name}")
+    vectors.write.parquet(vector_path)
+    embedded = spark.read.parquet(vector_path)
     if embedder.factory:
         # the size that most vectors have; one of another size counts as an error of the model
         sizes = embedded.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
@@ -130,7 +160,8 @@ def create_collection(
         terms = sizes.agg(F.sum("n").alias("n_chunks"), F.coalesce(usual, F.lit(0)).alias("dim")).select("n_chunks", no_idf, "dim")
     else:
         terms = idf_table(embedded, dim).withColumn("dim", F.lit(dim))
-    _replace(terms.withColumn("embedder", F.lit(embedder.name)), root, "terms", name)
+    terms.withColumn("embedder", F.lit(embedder.name)).coalesce(1).write.parquet(term_path)
+    _drop_versions(spark, root, name, {version, old})
     return collection_chunks(spark, root, name)
 
 

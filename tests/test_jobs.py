@@ -143,6 +143,26 @@ def test_sources_that_arrive_again(spark, tmp_path):
     assert arrive(("a", 0, 2, "  "), ("d", 3, 1, "new d")) == [("b", 0, "second b"), ("c", 0, "same"), ("d", 0, "new d")]
 
 
+def test_failed_replacement_leaves_the_old_version(spark, monkeypatch):
+    root = new_table_path(spark, "collections")
+    old, new = jobs.chunk_documents(docs(spark)), jobs.chunk_documents(docs(spark, MANUAL[:1]))
+    collections.create_collection(spark, root, "v", old)
+    with monkeypatch.context() as broken:
+        broken.setattr(collections, "idf_table", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            collections.create_collection(spark, root, "v", new)
+    reading = collections.collection_chunks(spark, root, "v")
+    assert reading.count() == 3 and collections.current_version(spark, root, "v") == 1
+    collections.create_collection(spark, root, "v", new)
+    assert collections.current_version(spark, root, "v") == 3 and collections.collection_chunks(spark, root, "v").count() == 1
+    assert reading.count() == 3  # begun before the switch
+    collections.create_collection(spark, root, "v", old)
+    left = {v for t in collections.TABLES for v in collections._versions(spark, root, t, "v")}
+    assert left == {3, 4} and collections.collection_count(spark, root, "v").first()["n_chunks"] == 3
+    collections.delete_collection(spark, root, "v")
+    assert not collections.collection_exists(spark, root, "v") and collections.stored_names(spark, root).count() == 0
+
+
 def test_collections_replace_drop_and_guard(spark, built):
     root = new_table_path(spark, "collections")
     collections.create_collection(spark, root, "one", jobs.chunk_documents(docs(spark)))
