@@ -252,10 +252,10 @@ def divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataF
     Null text, language and source are read as empty; repeated rows count each; texts of any length are
     counted whole; an empty table gives no rows; other columns may have any name.
     """
-    spark = docs.sparkSession
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     size = read.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SLICE_BYTES))
+    # by the size of the texts alone: each pair of groups gives a row per slice
+    slices = max(1, -(-size // SLICE_BYTES))
     asked = read.mapInArrow(_count_terms(slices), ASKS)
     columns = materialize(asked.repartitionById(slices, F.col("p")).mapInArrow(_merge(least_documents), COLUMNS), "columns")
 
