@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 RANGES = 256
 
@@ -82,6 +85,43 @@ def assign_chunk_ids(chunks: DataFrame, block: int = CHUNK_BLOCK) -> DataFrame:
     )
 
 
+def _part_number(sources: np.ndarray, places: np.ndarray, share: int):
+    """Arrow UDF: the part of a chunk. Part k begins with chunk ``places[k]`` of source ``sources[k]``.
+
+    The cuts inside one source lie ``share`` chunks apart.
+    """
+
+    @arrow_udf("int")
+    def part(source_ord: pa.Array, chunk_ord: pa.Array) -> pa.Array:
+        s, c = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (source_ord, chunk_ord))
+        before = np.searchsorted(sources, s, "left")
+        at = np.minimum(before, len(sources) - 1)
+        inside = np.where((sources[at] == s) & (c >= places[at]), (c - places[at]) // share + 1, 0)
+        return pa.array(before + inside - 1, pa.int32())
+
+    return part
+
+
+def dense_layout(chunks: DataFrame, total: int, parts: int) -> DataFrame:
+    """Chunks with dense ``chunk_id`` in the order (source_ord, chunk_ord), in partitions of consecutive ids.
+
+    The texts are shuffled once. Where each part begins follows from the number of chunks per source
+    alone: one row per part reaches the driver. Within a part, ids follow from the sorted place.
+    """
+    share = -(-total // parts)
+    counts = chunks.groupBy("source_ord").agg(F.count("*").alias("n"))
+    first = exclusive_prefix(counts, "source_ord", "n", "first_id")
+    low, high = F.ceil(F.col("first_id") / share), F.floor((F.col("first_id") + F.col("n") - 1) / share)
+    cuts = first.select("source_ord", "first_id", F.explode_outer(F.when(low <= high, F.sequence(low, high))).alias("k"))
+    found = cuts.where("k IS NOT NULL").select("k", "source_ord", (F.col("k") * share - F.col("first_id")).alias("place")).toArrow()
+    order = np.argsort(found.column("k").to_numpy())
+    sources, places = (found.column(c).to_numpy()[order] for c in ("source_ord", "place"))
+    placed = chunks.withColumn("_part", _part_number(sources, places, share)("source_ord", "chunk_ord"))
+    spread = placed.repartitionById(parts, F.col("_part")).sortWithinPartitions("source_ord", "chunk_ord")
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spread.withColumn("chunk_id", F.col("_part").cast("bigint") * share + inside).drop("_part")
+
+
 def with_segments(df: DataFrame, key: str, order: str, size: int, before: int, after: int) -> DataFrame:
     """Cut the rows of each key into segments of ``size`` rows plus copies of the neighbours.
 

@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 from askloom.functions.vectors import HASH_DIM
 from askloom.operators.embedding import Embedder, embed_texts, hash_embed, idf_table, term_counts, weigh
-from askloom.operators.ordering import SEGMENT_ROWS, assign_chunk_ids, segment_of
+from askloom.operators.ordering import dense_layout, segment_of
 from askloom.operators.search import nearest
 from askloom.options import SearchOptions
 from askloom.session import materialize
 
 TABLES = ("chunks", "vectors", "terms")
 
-# Writing tasks: one per segment or core, but not for fewer chunks than this, nor more tasks than this.
+# Writing tasks: one for so many chunks or per core, but not for fewer chunks than this, nor more tasks than this.
+PART_ROWS = 131_072
 LEAST_ROWS = 4_096
 MOST_PARTS = 50_000
 # Bound of the idf array, which every scoring task holds.
@@ -99,16 +100,10 @@ def _drop_versions(spark: SparkSession, root: str, name: str, but: set[int]) ->
 
 
 def _laid_out(spark: SparkSession, chunks: DataFrame, total: int) -> DataFrame:
-    """Chunks in partitions of consecutive ids, so that looking up a few ids reads a few segments.
-
-    Ids are dense, so equal shares need neither hashing nor sampling.
-    """
-    wanted = max(spark.sparkContext.defaultParallelism, -(-total // SEGMENT_ROWS))
+    """Chunks with ids, in partitions of consecutive ones, so that looking up a few ids reads a few segments."""
+    wanted = max(spark.sparkContext.defaultParallelism, -(-total // PART_ROWS))
     parts = max(1, min(wanted, -(-total // LEAST_ROWS), MOST_PARTS))
-    share = -(-total // parts)
-    placed = chunks.withColumn("segment", segment_of(F.col("chunk_id")))
-    spread = placed.repartitionById(parts, F.floor(F.col("chunk_id") / share).cast("int"))
-    return spread.sortWithinPartitions("segment", "chunk_id")
+    return dense_layout(chunks, total, parts).withColumn("segment", segment_of(F.col("chunk_id")))
 
 
 def _scan(spark: SparkSession, root: str, table: str, name: str) -> DataFrame:
@@ -131,8 +126,7 @@ def create_collection(
 
     Until the new version is whole, the old one is what searches read. Replacements of one name must not overlap.
     The chunking result is written once before ids are given, so its plan runs once. Texts are then
-    shuffled to meet the first id of their source (unless those ids are small enough to broadcast)
-    and once more into files of consecutive ids. They are embedded in one more pass, map-only.
+    shuffled once, into files of consecutive ids. They are embedded in one more pass, map-only.
     """
     _check_name(name)
     if not 1 <= dim <= MOST_BUCKETS:
@@ -144,7 +138,7 @@ def create_collection(
     old = current_version(spark, root, name)
     version = 1 + max((v for table in TABLES for v in _versions(spark, root, table, name)), default=0)
     chunk_path, vector_path, term_path = (_path(root, table, name, version) for table in TABLES)
-    _laid_out(spark, assign_chunk_ids(staged), total).write.partitionBy("segment").parquet(chunk_path)
+    _laid_out(spark, staged, total).write.partitionBy("segment").parquet(chunk_path)
     stored = spark.read.parquet(chunk_path)
     if embedder.factory:
         vectors = embed_texts(stored, "chunk_id", embedder.factory, opts=embedder.opts)

@@ -143,6 +143,16 @@ def test_sources_that_arrive_again(spark, tmp_path):
     assert arrive(("a", 0, 2, "  "), ("d", 3, 1, "new d")) == [("b", 0, "second b"), ("c", 0, "same"), ("d", 0, "new d")]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 40, 200])
+def test_layout_gives_the_same_ids(spark, parts):
+    """One hot source, single chunks, gaps between orders, more parts than chunks."""
+    sizes = {-5: 1, 3: 90, 4: 1, 10: 2, 1000: 1, 2000: 30}
+    rows = [(s, c, f"{s}-{c}") for s, n in sizes.items() for c in range(n)]
+    chunks = spark.createDataFrame(rows, "source_ord bigint, chunk_ord bigint, text string").repartition(5)
+    got = ordering.dense_layout(chunks, len(rows), parts).select("source_ord", "chunk_ord", "text", "chunk_id").collect()
+    assert sorted(map(tuple, got)) == sorted((*r, i) for i, r in enumerate(sorted(rows)))
+
+
 def test_failed_replacement_leaves_the_old_version(spark, monkeypatch):
     root = new_table_path(spark, "collections")
     old, new = jobs.chunk_documents(docs(spark)), jobs.chunk_documents(docs(spark, MANUAL[:1]))
