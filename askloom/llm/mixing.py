@@ -90,8 +90,17 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, scale: float = SCALE,
 
     Rows that share an id are repeated alike; a null id is an id like any other. Texts take no part in
     the draw, so null, empty and very long ones are treated alike. An empty table gives no rows. The
-    result is sorted by ``_order`` within each partition and dealt over the partitions by it.
+    result is sorted by ``_order`` within each partition and dealt over the partitions by it. Other columns may
+    have any name but these two, which are refused.
     """
+    if {"_copy", "_order"} & set(docs.columns):
+        raise ValueError("_copy and _order are columns of the result")
+    return _mixed(docs, targets, scale, seed).select("_row.*", "_copy", "_order")
+
+
+def _mixed(docs: DataFrame, targets: DataFrame | None, scale: float, seed: int) -> DataFrame:
+    """The mixture with the rows as they came in the one column ``_row``, so that none of their names can clash."""
+    docs = docs.select("doc_id", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
     rates = repetition_rates(docs, natural_targets(docs) if targets is None else targets, scale)
     rates = with_distribution(rates).toDF("_source", "_rate", "_parts", "_below")
     if rates.count() <= BROADCAST_SOURCES:
@@ -114,5 +123,5 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replicate(docs: DataFrame) -> DataFrame:
-    """The mixture with the columns of ``docs`` only."""
-    return mix(docs).select(*docs.columns)
+    """The mixture with the columns of ``docs`` only, whatever their names; see :func:`mix`."""
+    return _mixed(docs, None, SCALE, SEED).select("_row.*")

@@ -315,7 +315,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its near-duplicate component.
 
-    Rows without an id are kept: they belong to no group.
+    Rows without an id are kept: they belong to no group. Repeated rows of one id stay or go together; null and
+    empty texts stay, long ones are compared whole; an empty table gives no rows; further columns may have any name.
     """
-    mine = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(mine, docs.doc_id == F.col("_gone"), "left_anti")
+    mine = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(mine, "doc_id", "left_anti").select(*docs.columns)

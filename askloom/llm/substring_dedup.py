@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askloom.llm.frames import binary_rows, packed, table
-from askloom.llm.words import BASES, FACTORS, U, Rolling, Words, mix, portions, powers
+from askloom.llm.words import BASES, FACTORS, U, Rolling, Spelling, Words, mix, portions, powers
 from askloom.session import materialize
 
 WINDOW = 50
@@ -61,14 +61,20 @@ def _ranges(words: Words, window: int) -> Iterator[tuple[int, int, int]]:
         yield int(i), int(words.bounds[i]), int(words.bounds[i + 1]) - window + 1
 
 
+def _digest(data: bytes) -> tuple[int, int]:
+    """128 bits of a whole word sequence, whatever its length."""
+    digest = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def _describe(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = Rolling(BASES[0])
-        whole = [Rolling(b) for b in BASES]
+        spelling = Spelling()
         for batch in portions(batches, "text"):
-            words = Words(batch.column("text"), rolling=roll)
+            words = Words(batch.column("text"), spelling=spelling)
             a, b = words.bounds[:-1], words.bounds[1:]
-            totals = [mix(r.stretch(r.prefix(words.hashes), a, b) + (b - a).astype(U)).view(np.int64) for r in whole]
+            raw = words.hashes.tobytes()
+            totals = np.array([_digest(raw[8 * i : 8 * j]) for i, j in zip(a.tolist(), b.tolist())], dtype=np.int64).reshape(-1, 2).T
             low = _anchors(words, window, gram)
             parts, sizes = [], np.zeros(batch.num_rows + 1, dtype=np.int64)
             for i, first, last in _ranges(words, window):
@@ -98,9 +104,9 @@ def _windows(window: int, gram: int):
     """Texts with their shared anchors to the hashes of the windows that have one of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, hashes = Rolling(BASES[0]), [Rolling(b) for b in BASES]
+        spelling, hashes = Spelling(), [Rolling(b) for b in BASES]
         for batch in portions(batches, "text"):
-            words = Words(batch.column("text"), rolling=roll)
+            words = Words(batch.column("text"), spelling=spelling)
             low = _anchors(words, window, gram)
             shared = batch.column("shared")
             doc, tag = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
@@ -157,9 +163,9 @@ def _cut(keep_rest: list[str]):
     """Texts with their intervals to ``n_words, n_removed, spans, text`` beside the columns ``keep_rest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = Rolling(BASES[0])
+        spelling = Spelling()
         for batch in portions(batches, "text"):
-            words = Words(batch.column("text"), rolling=roll)
+            words = Words(batch.column("text"), spelling=spelling)
             removed = np.zeros(len(words.hashes) + 1, dtype=np.int64)
             copied = batch.column("_copied").to_numpy(zero_copy_only=False).astype(bool)
             spans = batch.column("_gone").to_pylist()

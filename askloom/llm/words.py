@@ -6,6 +6,7 @@ about ``PIECE`` bytes, so working memory does not depend on the length of a text
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,48 @@ class Rolling:
         return (prefix[end] - prefix[start]) * self.down[start]
 
 
+# Two primes just below 2**31 and a base for each; longer words are known by a digest.
+PRIMES = (2147483647, 2147483629)
+LETTER_BASES = (1582147319, 1203549661)
+LONG = 1 << 20
+
+
+class Spelling:
+    """62-bit hashes of words by their letters: polynomials modulo two primes, from one prefix sum each.
+
+    Modulo a power of two, whole families of words (Thue-Morse sequences) share a hash whatever the base.
+    """
+
+    def __init__(self):
+        self.up = self.down = [np.empty(0, dtype=np.uint32)] * 2
+
+    @staticmethod
+    def _powers(base: int, prime: int, n: int) -> np.ndarray:
+        out = np.ones(n, dtype=np.uint32)
+        done, step = 1, base
+        while done < n:  # twice as many each time
+            more = min(done, n - done)
+            out[done : done + more] = out[:more].astype(U) * U(step) % U(prime)
+            done, step = 2 * done, step * step % prime
+        return out
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.up[0]) < len(data):
+            n = len(data) + 1024
+            self.up = [self._powers(b, p, n) for b, p in zip(LETTER_BASES, PRIMES)]
+            self.down = [self._powers(pow(b, -1, p), p, n) for b, p in zip(LETTER_BASES, PRIMES)]
+        letters, parts = data.astype(U) + U(1), []
+        for prime, up, down in zip(PRIMES, self.up, self.down):
+            # the sum may pass 2**64, the part of one word does not
+            prefix = np.zeros(len(data) + 1, dtype=U)
+            np.cumsum(letters * up[: len(data)], dtype=U, out=prefix[1:])
+            parts.append((prefix[end] - prefix[start]) % U(prime) * down[start] % U(prime))
+        out = mix(mix((parts[0] << U(31)) | parts[1]) + (end - start).astype(U))
+        for i in np.flatnonzero(end - start > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and ``n + 1`` offsets of a string column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -73,9 +116,9 @@ class Words:
     ``start`` and ``end`` give the place of each word in ``data``.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, rolling: Rolling | None = None):
+    def __init__(self, texts: pa.Array, lower: bool = False, spelling: Spelling | None = None):
         self.data, offsets = buffers(texts)
-        roll = rolling or Rolling(BASES[0])
+        spelling = spelling or Spelling()
         first, last = int(offsets[0]), int(offsets[-1])
         found, starts, ends = [], [], []
         while first < last:
@@ -102,8 +145,7 @@ class Words:
             before = edges[edges > 0] - 1
             over[before] = inside[before]
             a, b = np.flatnonzero(fresh), np.flatnonzero(over) + 1
-            prefix = roll.prefix(piece.astype(U) + U(1))
-            found.append(mix(roll.stretch(prefix, a, b) + (b - a).astype(U)))
+            found.append(spelling.hashes(piece, a, b))
             starts.append(a + first)
             ends.append(b + first)
             first = stop

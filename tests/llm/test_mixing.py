@@ -58,3 +58,14 @@ def test_order_is_not_the_input_order(spark):
     docs = frame(spark, [(i, "t", "en", "a", 1) for i in range(500)])
     ids = [r.doc_id for r in mixing.mix(docs).collect()]
     assert ids != sorted(ids)
+
+
+def test_names_of_the_operator_may_be_columns(spark):
+    names = ("_n", "_parts", "_rate", "_below", "_source", "_row")
+    docs = frame(spark, [(i, f"t{i}", "en", "ab"[i % 2], 1) for i in range(50)]).selectExpr("*", *[f"doc_id * 2 as {n}" for n in names])
+    got = mixing.replicate(docs)
+    rows = got.collect()
+    assert got.columns == docs.columns and rows and all(r[n] == 2 * r.doc_id for r in rows for n in names)
+    with pytest.raises(ValueError, match="_copy"):
+        mixing.mix(docs.withColumn("_copy", F.lit(1)))
+    assert sorted(map(tuple, mixing.replicate(docs.withColumn("_copy", F.lit(1))).drop("_copy").collect())) == sorted(map(tuple, rows))

@@ -76,3 +76,18 @@ def test_components(spark, kind):
     got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.node: r.component for r in got} == {n: t for n, t in top.items() if n != t}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_words_of_equal_polynomials_are_no_copies(spark):
+    from tests.llm.test_words import thue_morse
+
+    rows = [(1, thue_morse(1024), None, None, None), (2, thue_morse(1024, "b"), None, None, None)]
+    got = nd.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
+
+
+def test_representatives_under_clashing_names(spark):
+    docs = frame(spark, [(1, "a b c d e f", None, None, None), (2, "a b c d e f", None, None, None), (None, None, None, None, None)])
+    kept = nd.keep_representatives(docs.selectExpr("*", "7 as _gone", "8 as component_id"))
+    assert sorted((r.doc_id or 0, r._gone, r.component_id) for r in kept.collect()) == [(0, 7, 8), (1, 7, 8)]
+    assert kept.columns == [*docs.columns, "_gone", "component_id"]

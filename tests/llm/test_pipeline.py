@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from askloom.llm import mixing
@@ -54,11 +56,14 @@ def test_stages(spark, folder):
     want = Counter((r.doc_id, tuple(bpe.encode(r.text or ""))) for r in mixed.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in tokens) == want
     assert all(r.n_tokens == len(r.ids) for r in tokens)
+    for r in tokens[:50]:
+        said = bpe.decode(np.array(r.ids, dtype=np.int64), np.array([0, len(r.ids)]))[0]
+        assert r.decoded_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
 def test_run_and_empty_tables(spark, folder, tmp_path):
     done = pipeline.run(spark, folder)
-    assert done.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and done.count() > 0
+    assert done.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and done.count() > 0
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []

@@ -76,3 +76,17 @@ def test_groups_are_not_cut(cut):
     got = [t.column("k").to_pylist() for t in whole_groups(batches, ["k"])]
     assert sum(got, []) == keys
     assert all(not set(a) & set(b) for a, b in zip(got, got[1:]))
+
+
+def thue_morse(n: int, first: str = "a") -> str:
+    other = {"a": "b", "b": "a"}[first]
+    return "".join(other if bin(i).count("1") % 2 else first for i in range(n))
+
+
+def test_words_that_share_every_hash_modulo_powers_of_two():
+    """Also: a word's hash does not depend on its place, nor on longer words around it."""
+    a, b = thue_morse(4096), thue_morse(4096, "b")
+    long = "y" * (w.LONG + 5)
+    got = w.Words(pa.array([f"{a} {b}", a, f"x {b} {long} {a}", long])).hashes.tolist()
+    assert got[0] == got[2] == got[6] and got[1] == got[4] and got[5] == got[7]
+    assert len({*got}) == 4
