@@ -14,7 +14,10 @@ from askloom.session import new_table_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is fitted on the labels of those it is given."""
+    """Documents that the quality classifier accepts; it is fitted on the labels of those it is given.
+
+    Null, empty and long texts are scored like any other; repeated rows stay or go together; further columns stay.
+    """
     return accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -24,19 +27,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document holds."""
+    """Texts without the passages that an earlier document holds; see ``drop_repeated_passages`` for odd rows."""
     return drop_repeated_passages(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, in shuffled order."""
+    """Documents repeated to the target weights of their sources, in shuffled order; columns may have any name."""
     return replicate(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mixture."""
-    ids = F.col("_ids")
-    return encode(docs).select("doc_id", "lang", "source", F.size(ids).cast("bigint").alias("n_tokens"), ids.alias("ids"))
+    """Token ids of every document of the mixture, and a digest of the text that they decode to.
+
+    Repeated rows are encoded each, null and empty texts have no tokens, long ones are encoded whole; the text and
+    further columns are not carried on.
+    """
+    ids, text = F.col("_ids"), F.sha2(F.col("_decoded"), 256)
+    both = encode(docs.select("doc_id", "lang", "source", "text"), decoded=True)
+    return both.select("doc_id", "lang", "source", F.size(ids).cast("bigint").alias("n_tokens"), ids.alias("ids"), text.alias("decoded_sha256"))
 
 
 STAGES = [
