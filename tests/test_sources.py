@@ -73,8 +73,11 @@ def test_transcripts(spark):
     assert status == {"both": ("loaded", "manual"), "auto": ("loaded", "automatic"), "other": ("lang_missing", None), "none": ("no_subtitles", None)}
     lines = transcripts.transcript_elements(t, "ru").orderBy("source_id", "elem_ord").collect()
     assert [(r["source_id"], r["text"]) for r in lines] == [("auto", "a"), ("auto", "b"), ("both", "one"), ("both", "two")]
+    # any code is a language; a video without it has no text in it
+    assert transcripts.transcript_text(t, "de").collect() == []
+    assert [r["text"] for r in transcripts.transcript_text(t, "en").collect()] == ["e"]
     with pytest.raises(ValueError):
-        transcripts.transcript_text(t, "de")
+        transcripts.transcript_text(t, " ")
 
 
 def test_csv_records_are_numbered_across_splits(spark, tmp_path):
