@@ -82,6 +82,59 @@ def test_class_and_id_words_are_evidence_only(source, want):
     assert html.main_texts([source]) == [want]
 
 
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<section class='discussion'><p>We discuss results.</p></section>", "We discuss results."),
+        ("<div class='related-work'><p>Others</p></div>", "Others"),
+        ("<div class='widget-example'>A widget</div>", "A widget"),
+        ("<blockquote class='comment'>Quoted</blockquote>", "Quoted"),
+        ("<p class='social'>Society</p>", "Society"),
+        ("<pre><span class='hljs-comment'># why</span></pre>", "# why"),
+    ],
+)
+@pytest.mark.parametrize("n", [1, 12])
+def test_named_parts_of_an_article_stay_while_their_text_varies(part, text, n):
+    pages = [f"<article><h1>T{i}</h1><p>Intro {i} of some length</p>{part.replace(text, f'{text} {i}')}</article>" for i in range(n)]
+    assert html.main_texts(pages) == [f"T{i}\n\nIntro {i} of some length\n\n{text} {i}" for i in range(n)]
+
+
+def test_named_parts_of_an_article_go_if_their_text_is_constant():
+    parts = "<p class='social'>Follow us</p><section class='related-posts'><p>Read more</p></section><div class='ad'>Buy {}</div>"
+    pages = [f"<article><h1>T{i}</h1><p>Intro {i} of some length</p>{parts.format(i)}</article>" for i in range(12)]
+    assert html.main_texts(pages) == [f"T{i}\n\nIntro {i} of some length" for i in range(12)]
+
+
+def test_every_host_induces_a_template_and_article_tags_decide_nothing(monkeypatch):
+    """Tags and roles are priors: with other tags, alignment alone finds the same texts."""
+    calls = []
+    match = html.match
+    monkeypatch.setattr(html, "match", lambda *a: calls.append(1) or match(*a))
+    for n in (3, 15, 40):
+        pages = [(p.replace("<div class=body>", "<article>").replace("</div><div class=bottom", "</article><div class=bottom"), t) for p, t in site(random.Random(n), n)]
+        assert all("<article>" in p and "</article>" in p for p, _ in pages)
+        calls.clear()
+        assert html.main_texts([p for p, _ in pages]) == [t for _, t in pages]
+        assert len(calls) >= n - 1
+        assert html.main_texts([p.replace("article>", "div>") for p, _ in pages]) == [t for _, t in pages]
+
+
+def test_given_pages_are_the_same_without_article_tags(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    renamed = pages.withColumn("html", F.regexp_replace("html", "(</?)article\\b", "$1div"))
+    hosts = pages.groupBy(html.host_of(F.col("url")).alias("host")).agg(F.countDistinct("html").alias("n"))
+    large = {r.host for r in hosts.where("n >= 3").collect()}
+    host = html.host_of(F.col("url")).alias("host")
+    as_given = {(r.page_id, r.text) for r in html.main_text(pages).select("page_id", "text", host).collect() if r.host in large}
+    assert as_given == {(r.page_id, r.text) for r in html.main_text(renamed).select("page_id", "text", host).collect() if r.host in large}
+    assert as_given
+
+
+def test_a_constant_title_right_above_what_varies_stays():
+    pages = [(p.replace(p.split("<h1>")[1].split("</h1>")[0], "Daily report"), "Daily report\n\n" + t.split("\n\n", 1)[1]) for p, t in site(random.Random(13), 12)]
+    assert html.main_texts([p for p, _ in pages]) == [t for _, t in pages]
+
+
 def test_named_box_goes_and_named_main_text_stays():
     pages = site(random.Random(8), 12, "<div class='related-links'>Read on tomorrow</div>")
     pages = [(p.replace("class=body", "class='post social'"), t) for p, t in pages]
