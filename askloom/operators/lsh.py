@@ -13,7 +13,8 @@ from pyspark.sql.functions import arrow_udf
 from askloom.operators.search import CELL_ROWS, _cells, _present, _top
 from askloom.options import SearchOptions
 
-BANDS, BITS = 16, 6
+# Measured recall of the five nearest of vectors at cosine distances of about 0.6: 0.96 to 1.0 (a test asks for 0.95).
+BANDS, BITS = 24, 4
 BUCKET = ["_band", "_code"]
 # Bound of bands * 2**bits: folders of an index, and bucket numbers that may reach the driver.
 MOST_BUCKETS = 65_536

@@ -78,11 +78,15 @@ class EmbedOptions:
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """``n_results`` is a positive number, ``'max'`` (all within the limit) or ``'all'`` (every chunk, no limit)."""
+    """``n_results`` is a positive number, ``'max'`` (all within the limit) or ``'all'`` (every chunk, no limit).
+
+    ``approximate``, for a collection with an index: look only in that many cells per question.
+    """
 
     n_results: int | str = 2
     max_distance: float = 0.5
     space: str = "cosine"
+    approximate: int | None = None
 
     def __post_init__(self) -> None:
         if isinstance(self.n_results, str):
@@ -91,6 +95,8 @@ class SearchOptions:
             _at_least("n_results", self.n_results, 1)
         _at_least("max_distance", self.max_distance, float("-inf"))
         _one_of("space", self.space, METRICS)
+        if self.approximate is not None:
+            _at_least("approximate", self.approximate, 1)
 
     @property
     def k(self) -> int | None:

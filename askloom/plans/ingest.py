@@ -126,6 +126,7 @@ def ingest_sources(
     chunk: ChunkOptions = ChunkOptions(),
     embedder: Embedder | None = Embedder(),
     sep: str = BLANK_LINE,
+    index: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Read, clean, chunk, embed and store all sources as one collection: ``(chunks, ingest log)``.
 
@@ -156,7 +157,7 @@ def ingest_sources(
     numbered = number_within(cleaned, ["source_id", "source_ord"], "elem_ord")
     packed = whole.withColumn("elements", clean_elements(F.col("elements"), clean_opts))
     chunks = chunk_documents(packed, chunk).unionByName(chunk_elements(numbered, chunk))
-    stored = collections.create_collection(spark, root, name, chunks, embedder)
+    stored = collections.create_collection(spark, root, name, chunks, embedder, index=index)
 
     found = problems.groupBy("source_id").agg(F.min("detail").alias("_problem"))
     states = tracks.select("source_id", F.col("status").alias("_state"), F.col("detail").alias("_track"))

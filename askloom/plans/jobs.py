@@ -47,11 +47,12 @@ def build_collection(
     chunk: ChunkOptions = ChunkOptions(),
     sources: DataFrame | None = None,
     embedder: Embedder | None = Embedder(),
+    index: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Index sources with cleaned ``elements`` and report on each: ``(chunks, ingest log)``."""
     if embedder is None:
         raise ValueError("no embedder: the collection cannot be created")
-    stored = collections.create_collection(spark, root, name, chunk_documents(docs, chunk), embedder)
+    stored = collections.create_collection(spark, root, name, chunk_documents(docs, chunk), embedder, index=index)
     if sources is None:
         sources = docs.select(
             "source_id",

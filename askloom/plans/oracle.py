@@ -388,8 +388,10 @@ ORACLE.update(
       from (select vec_id, list_transform(embedding, lambda y: y::double + 0.25) as e from embeddings))""",
     topk_single=f"select chunk_id, distance from ({dense_hits('cosine', 0.9, 5, key='0')})",
     knn_join=dense_hits("cosine", None, 5),
-    knn_lsh=lsh_hits(DIM, 8, 4, 5),
-    knn_indexed=lsh_hits(DIM, 8, 4, 5),
+    knn_lsh=lsh_hits(DIM, 24, 4, 5),
+    knn_cells=dense_hits("cosine", None, 5),
+    knn_cells_l2=dense_hits("l2", 2, 3),
+    knn_indexed=lsh_hits(DIM, 24, 4, 5),
     knn_l2=dense_hits("l2", 2, 3),
     knn_ip=dense_hits("ip", 2, 3),
     knn_threshold=dense_hits("cosine", None, 5, above=0.65),
@@ -498,6 +500,7 @@ _SOURCE_TEXTS = f"""
           and is_generated = (select min(is_generated) from {_TRACKS} u where u.video_id = t.video_id and u.lang = 'ru')),
     said as (select id, row_number() over (partition by id order by o1, o2) - 1 as ord, 'NarrativeText' as category, t as text
              from (select id, o1, o2, {clean('t')} as t from raw) where t <> '')"""
+ORACLE["rag_prompts_indexed"] = ORACLE["rag_prompts_model"]
 ORACLE["ingest_sources"] = f"""with recursive {_SOURCE_TEXTS}, {chunk_ctes('select * from said')}, {WITH_IDS}
   select chunk_id, id as source_ord, chunk_ord, text from ids"""
 ORACLE["ingest_sources_log"] = f"""with recursive {_SOURCE_TEXTS}, {chunk_ctes('select * from said')},

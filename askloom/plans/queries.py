@@ -16,6 +16,7 @@ from askloom.functions import text as T
 from askloom.functions import vectors as V
 from askloom.operators import conversation as C
 from askloom.operators import prompting as P
+from askloom.operators.cells import nearest_in_cells, write_cells
 from askloom.operators.chunking import chunk_documents, chunk_elements
 from askloom.operators.embedding import Embedder, embed_texts, hash_embed, idf_table, term_counts, weigh
 from askloom.operators.generation import batch_generate
@@ -645,16 +646,33 @@ def range_search(spark, sf_dir):
 @query
 def knn_lsh(spark, sf_dir):
     opts = SearchOptions(n_results=5, max_distance=2)
-    return nearest_approx(vectors(spark, sf_dir), label_centres(spark, sf_dir), opts, dim=DIM, bands=8, bits=4)
+    return nearest_approx(vectors(spark, sf_dir), label_centres(spark, sf_dir), opts, dim=DIM)
 
 
 @query
 def knn_indexed(spark, sf_dir):
     """The same from a stored index, of which only the buckets of the questions are read."""
     path = new_table_path(spark, "index")
-    write_index(vectors(spark, sf_dir), path, dim=DIM, bands=8, bits=4)
+    write_index(vectors(spark, sf_dir), path, dim=DIM)
     opts = SearchOptions(n_results=5, max_distance=2)
-    return nearest_indexed(spark, path, label_centres(spark, sf_dir), opts, dim=DIM, bands=8, bits=4)
+    return nearest_indexed(spark, path, label_centres(spark, sf_dir), opts, dim=DIM)
+
+
+def _cells_of_vectors(spark, sf_dir, opts: SearchOptions) -> DataFrame:
+    path, cells = new_table_path(spark, "index"), new_table_path(spark, "cells")
+    write_cells(vectors(spark, sf_dir), path, cells, dim=DIM, space=opts.space)
+    return nearest_in_cells(spark, path, cells, label_centres(spark, sf_dir), opts, dim=DIM)
+
+
+@query
+def knn_cells(spark, sf_dir):
+    """Exact top-k from an index of cells."""
+    return _cells_of_vectors(spark, sf_dir, SearchOptions(n_results=5, max_distance=2))
+
+
+@query
+def knn_cells_l2(spark, sf_dir):
+    return _cells_of_vectors(spark, sf_dir, SearchOptions(n_results=3, max_distance=2, space="l2"))
 
 
 @query
@@ -723,6 +741,15 @@ def rag_prompts_model(spark, sf_dir):
     return jobs.rag_prompts(spark, root, "123", questions(spark, sf_dir), opts, embedder=model)
 
 
+@query
+def rag_prompts_indexed(spark, sf_dir):
+    """The same from a collection whose vectors are stored by cell."""
+    root, model = new_table_path(spark, "collections"), Embedder("letters", _letter_model)
+    jobs.build_collection(spark, root, "123", document_elements(spark, sf_dir), embedder=model, index="cosine")
+    opts = SearchOptions(n_results=2, max_distance=0.01)
+    return jobs.rag_prompts(spark, root, "123", questions(spark, sf_dir), opts, embedder=model)
+
+
 @query
 def rag_prompts_max(spark, sf_dir):
     """All chunks within the limit go into the context, nearest first."""

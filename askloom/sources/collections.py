@@ -1,7 +1,8 @@
 """Named collections as partitioned parquet tables under one root folder.
 
 ``chunks``   collection, version, segment, chunk_id, source_id, source_ord, chunk_ord, text, n_chars
-``vectors``  collection, version, chunk_id, buckets, tf      or, with a model: embedding, error
+``vectors``  collection, version, chunk_id, buckets, tf      or, with a model: embedding, error; with an index by cell
+``cells``    collection, version, cell, n, radius, centre, space   (only with an index)
 ``terms``    collection, version, embedder, dim, n_chunks, idf   (one row per version; no idf with a model)
 
 A collection is replaced by writing a new version beside the old one. Its row in ``terms`` is written last and makes it
@@ -15,13 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions.vectors import HASH_DIM
+from askloom.operators.cells import nearest_in_cells, write_cells
 from askloom.operators.embedding import Embedder, embed_texts, hash_embed, idf_table, term_counts, weigh
 from askloom.operators.ordering import dense_layout, segment_of
 from askloom.operators.search import nearest
 from askloom.options import SearchOptions
 from askloom.session import materialize
 
-TABLES = ("chunks", "vectors", "terms")
+TABLES = ("chunks", "vectors", "cells", "terms")
 
 # Writing tasks: one for so many chunks or per core, but not for fewer chunks than this, nor more tasks than this.
 PART_ROWS = 131_072
@@ -121,9 +123,12 @@ def create_collection(
     chunks: DataFrame,
     embedder: Embedder = Embedder(),
     dim: int = HASH_DIM,
+    index: str | None = None,
 ) -> DataFrame:
     """Create or replace a collection from chunks; returns the stored chunks.
 
+    ``index``: a distance (``cosine`` or ``l2``) for which the model's vectors are stored by cell (see ``operators.cells``).
+
     Until the new version is whole, the old one is what searches read. Replacements of one name must not overlap.
     The chunking result is written once before ids are given, so its plan runs once. Texts are then
     shuffled once, into files of consecutive ids. They are embedded in one more pass, map-only.
@@ -131,27 +136,34 @@ def create_collection(
     _check_name(name)
     if not 1 <= dim <= MOST_BUCKETS:
         raise ValueError(f"dim must lie between 1 and {MOST_BUCKETS}")
+    if index and not embedder.factory:
+        raise ValueError("an index needs the dense vectors of a model")
     staged = materialize(chunks, "chunks")
     total = staged.count()
     if total == 0:
         raise ValueError("no texts were extracted: the collection cannot be created")
     old = current_version(spark, root, name)
     version = 1 + max((v for table in TABLES for v in _versions(spark, root, table, name)), default=0)
-    chunk_path, vector_path, term_path = (_path(root, table, name, version) for table in TABLES)
+    chunk_path, vector_path, cell_path, term_path = (_path(root, table, name, version) for table in TABLES)
     _laid_out(spark, staged, total).write.partitionBy("segment").parquet(chunk_path)
     stored = spark.read.parquet(chunk_path)
     if embedder.factory:
         vectors = embed_texts(stored, "chunk_id", embedder.factory, opts=embedder.opts)
     else:
         vectors = term_counts(stored, "chunk_id", dim=dim)
-    vectors.write.parquet(vector_path)
-    embedded = spark.read.parquet(vector_path)
+    if index:
+        embedded = materialize(vectors, "vectors")
+    else:
+        vectors.write.parquet(vector_path)
+        embedded = spark.read.parquet(vector_path)
     if embedder.factory:
         # the size that most vectors have; one of another size counts as an error of the model
         sizes = embedded.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
         usual = F.max_by(F.when(F.col("size") > 0, F.col("size")), F.when(F.col("size") > 0, F.struct("n", "size")))
         no_idf = F.lit(None).cast("array<double>").alias("idf")
         terms = sizes.agg(F.sum("n").alias("n_chunks"), F.coalesce(usual, F.lit(0)).alias("dim")).select("n_chunks", no_idf, "dim")
+        if index:
+            write_cells(embedded, vector_path, cell_path, dim=max(1, terms.select("dim").first()["dim"]), space=index)
     else:
         terms = idf_table(embedded, dim).withColumn("dim", F.lit(dim))
     terms.withColumn("embedder", F.lit(embedder.name)).coalesce(1).write.parquet(term_path)
@@ -204,6 +216,15 @@ def embed_questions(spark: SparkSession, root: str, name: str, questions: DataFr
     return asked.withColumn("error", _vector_error(dim))
 
 
+def index_space(spark: SparkSession, root: str, name: str) -> str | None:
+    """The distance of the collection's index, if there is one with any cell."""
+    version = current_version(spark, root, name)
+    if version not in _versions(spark, root, "cells", name, whole=True):
+        return None
+    row = _scan(spark, root, "cells", name).select("space").first()
+    return row and row["space"]
+
+
 def search_collection(
     spark: SparkSession,
     root: str,
@@ -214,12 +235,19 @@ def search_collection(
 ) -> DataFrame:
     """Hits of many questions ``(query_id, text)`` in one collection, embedded as the chunks were.
 
-    Questions that already have vectors (``embedding``, see :func:`embed_questions`) are not embedded again.
+    Questions that already have vectors (``embedding``, see :func:`embed_questions`) are not embedded again. A collection
+    with an index for the distance asked for is searched through it, with equal results unless ``opts.approximate`` is set.
     """
     terms, dim = collection_terms(spark, root, name, embedder)
+    version = current_version(spark, root, name)
+    indexed = index_space(spark, root, name) == opts.space
+    if opts.approximate and not indexed:
+        raise ValueError(f"collection {name!r} has no index for {opts.space!r}")
     stored = _scan(spark, root, "vectors", name)
     if embedder.factory:
         asked = questions if "embedding" in questions.columns else embed_questions(spark, root, name, questions, embedder)
+        if indexed:
+            return nearest_in_cells(spark, _path(root, "vectors", name, version), _path(root, "cells", name, version), asked, opts, dim=dim)
         return nearest(stored, asked, opts, dim=dim)
     idf_values = terms.select("idf").scalar()
     vectors = weigh(stored.select("chunk_id", "buckets", "tf"), "chunk_id", idf_values)

@@ -86,6 +86,28 @@ def test_collection_of_a_user_model(spark):
         jobs.rag_prompts(spark, root, "m", ask(spark, "масло"))
 
 
+def test_collection_with_an_index(spark):
+    """Searched by cell, exact unless few cells are asked for; other distances and replaced collections go without."""
+    root, model = new_table_path(spark, "collections"), Embedder("flags", _lengths_model)
+    asked = ask(spark, "масло", "Гарантия", "курите")
+    jobs.build_collection(spark, root, "plain", docs(spark), embedder=model)
+    with pytest.raises(ValueError, match="no index"):
+        collections.search_collection(spark, root, "plain", asked, SearchOptions(approximate=1), model)
+    for _ in range(2):
+        _, log = jobs.build_collection(spark, root, "m", docs(spark), embedder=model, index="cosine")
+    assert sorted(r.status for r in log.collect()) == ["error", "loaded", "loaded", "no_text"]
+    assert collections.index_space(spark, root, "m") == "cosine"
+    for opts in (SearchOptions(1, 0.2), SearchOptions("max", 2), SearchOptions(2, 3, space="l2")):
+        rows = [sorted(map(tuple, collections.search_collection(spark, root, n, asked, opts, model).collect())) for n in ("plain", "m")]
+        assert rows[0] == rows[1] != []
+    near = collections.search_collection(spark, root, "m", asked, SearchOptions(1, 2, approximate=1), model)
+    assert {r["query_id"] for r in near.collect()} == {0, 1}
+    jobs.build_collection(spark, root, "m", docs(spark), embedder=model)
+    assert collections.index_space(spark, root, "m") is None
+    with pytest.raises(ValueError, match="dense"):
+        collections.create_collection(spark, root, "x", jobs.chunk_documents(docs(spark)), index="cosine")
+
+
 def test_only_segments_of_hits_are_read(spark, monkeypatch):
     monkeypatch.setattr(ordering, "SEGMENT_ROWS", 2)
     root = new_table_path(spark, "collections")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from askloom.functions import vectors as V
+from askloom.operators.cells import nearest_in_cells, write_cells
 from askloom.operators.embedding import embed_texts, hash_embed, idf_table, term_counts
 from askloom.operators.lsh import nearest_approx, nearest_indexed, write_index
 from askloom.operators.search import filter_by_distance, nearest, nearest_to_one, rank_hits
@@ -143,6 +144,90 @@ def test_lsh_recall_with_a_hot_bucket(spark):
     assert scans and all("PartitionFilters: [(" in line for line in scans)
 
 
+@pytest.mark.parametrize("space", ["cosine", "l2"])
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("n", [1, 5, "max"])
+def test_cells_are_exact(spark, data, space, small, n):
+    """Copies, zero vectors, unusable ones, and both ways for questions: the brute-force result."""
+    chunks, questions = data
+    limit = 0.6 if space == "cosine" else 3.0
+    c, q = frames(spark, chunks, questions)
+    odd = [(9001, None), (9002, [1.0] * 7), (9003, [float("nan")] * 8), (9004, [])]
+    c = c.unionByName(spark.createDataFrame(odd, c.schema))
+    q = q.unionByName(spark.createDataFrame([(901, None), (902, [1.0] * 9), (903, [float("inf")] + [0.0] * 7)], q.schema))
+    path, cells = new_table_path(spark, "index"), new_table_path(spark, "cells")
+    write_cells(c, path, cells, dim=8, space=space, file_rows=50)
+    opts = SearchOptions(n_results=n, max_distance=limit, space=space)
+    got = nearest_in_cells(spark, path, cells, q, opts, dim=8, **({"cell_rows": 16, "most_pairs": 0} if small else {}))
+    assert found(got) == expected(chunks, questions, space, None if n == "max" else n, limit)
+    assert spark.read.parquet(path).count() == len(chunks) + len(odd)
+    assert sorted(r.chunk_id for r in spark.read.parquet(path).where("cell = -1").collect()) == [*([5] if space == "cosine" else []), 9001, 9002, 9003, 9004]
+
+
+def test_cells_prune_folders_and_refuse_other_spaces(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 16)) * 3
+    chunks = np.repeat(centres, 50, axis=0) + 0.05 * rng.standard_normal((2000, 16))
+    c, q = frames(spark, chunks, centres[:2])
+    path, cells = new_table_path(spark, "index"), new_table_path(spark, "cells")
+    write_cells(c, path, cells, dim=16)
+    opts = SearchOptions(n_results=5, max_distance=0.2)
+    got = nearest_in_cells(spark, path, cells, q, opts, dim=16)
+    assert found(got) == expected(chunks, centres[:2], "cosine", 5, 0.2)
+    some = nearest_in_cells(spark, path, cells, q, SearchOptions("max", 0.2), dim=16)
+    scans = [line for line in some._jdf.queryExecution().toString().split("\n") if "FileScan" in line and "embedding" in line]
+    assert scans and all("PartitionFilters: [cell" in line for line in scans)
+    read = {int(f.split("cell=")[1].split("/")[0]) for f in spark.read.parquet(path).where("chunk_id < 100").select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert len(read) < 10 < spark.read.parquet(cells).count()
+    with pytest.raises(ValueError, match="cosine"):
+        nearest_in_cells(spark, path, cells, q, SearchOptions(space="l2"), dim=16)
+    with pytest.raises(ValueError):
+        write_cells(c, path, cells, dim=16, space="ip")
+    nothing, none = new_table_path(spark, "index"), new_table_path(spark, "cells")
+    write_cells(c.where("false"), nothing, none, dim=16)
+    assert found(nearest_in_cells(spark, path, cells, q.where("false"), opts, dim=16)) == []
+
+
+def test_recall_of_few_cells_on_the_given_vectors(spark, sf_dir):
+    """Every 50th vector asks all the others: a few cells find at least 0.95 of the ten nearest."""
+    rows = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/embeddings.parquet")
+    chunks = rows.selectExpr("vec_id as chunk_id", "embedding")
+    asked = rows.where("vec_id % 50 = 0").selectExpr("vec_id as query_id", "embedding")
+    path, cells = new_table_path(spark, "index"), new_table_path(spark, "cells")
+    write_cells(chunks, path, cells, dim=64)
+    n = spark.read.parquet(cells).count()
+    exact = found(nearest(chunks, asked, SearchOptions(10, 2), dim=64))
+    assert found(nearest_in_cells(spark, path, cells, asked, SearchOptions(10, 2), dim=64)) == exact
+    recall = []
+    for probes in (1, n // 2, n - 2, n):  # these vectors have no near neighbours, so hardly any cell can be left out
+        near = found(nearest_in_cells(spark, path, cells, asked, SearchOptions(10, 2, approximate=probes), dim=64))
+        recall.append(len(set(exact) & set(near)) / len(exact))
+    assert recall == sorted(recall) and recall[2] >= 0.95 and recall[3] == 1.0
+
+
+def test_few_cells_find_near_neighbours(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 32))
+    chunks = np.repeat(centres, 30, axis=0) + 0.3 * rng.standard_normal((1800, 32))
+    c, q = frames(spark, chunks, centres)
+    path, cells = new_table_path(spark, "index"), new_table_path(spark, "cells")
+    write_cells(c, path, cells, dim=32)
+    exact = set(found(nearest(c, q, SearchOptions(10, 2), dim=32)))
+    near = set(found(nearest_in_cells(spark, path, cells, q, SearchOptions(10, 2, approximate=3), dim=32)))
+    assert len(exact & near) / len(exact) >= 0.95 and spark.read.parquet(cells).count() > 30
+
+
+def test_lsh_recall_on_the_given_vectors(spark, sf_dir):
+    """Every 50th vector and the mean of each label ask all vectors, with the default bands."""
+    rows = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/embeddings.parquet")
+    chunks = rows.selectExpr("vec_id as chunk_id", "embedding")
+    asked = rows.where("vec_id % 50 = 0").selectExpr("vec_id as query_id", "embedding")
+    opts = SearchOptions(5, 2)
+    exact = set(found(nearest(chunks, asked, opts, dim=64)))
+    near = set(found(nearest_approx(chunks, asked, opts, dim=64)))
+    assert len(exact & near) / len(exact) >= 0.95
+
+
 def test_vector_columns(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 0.0], [-3.0, 0.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     a, b = F.col("a"), F.col("b")
