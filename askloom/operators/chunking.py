@@ -9,6 +9,7 @@ from askloom.functions.packing import SEPARATOR, block_exits, chunk_starts, reac
 from askloom.functions.text import split_oversized
 from askloom.options import ChunkOptions
 from askloom.schemas import CHUNK_COLUMNS, TITLE
+from askloom.session import materialize
 
 # Elements of one source packed in one row; longer sources are cut into blocks of this size.
 BLOCK = 4096
@@ -89,8 +90,8 @@ def _block_entries(elements: DataFrame, opts: ChunkOptions, block: int) -> DataF
     """First chunk start within each block of the sources that have more than one.
 
     Where a block is entered decides where it is left, so each block becomes a small table
-    entry -> exit. The tables are combined first within groups of ``SUPER`` blocks, then over the
-    groups of a source; no task sees more than one group.
+    entry -> exit. Tables of ``SUPER`` blocks are combined into one, and so on level by level until one
+    group per source is left; entries then go down the same tree. No task sees more than one group.
     """
     slim = elements.withColumn("n", F.length("text"))
     many = _blocks(slim, opts, block, "category", "n").where(
@@ -98,41 +99,41 @@ def _block_entries(elements: DataFrame, opts: ChunkOptions, block: int) -> DataF
     )
     lens = F.transform("elements", lambda e: e["n"])
     exits = block_exits(opts)(lens, _breaks(F.col("elements"), opts), F.lit(block))
-    tables = many.select("source_id", "source_ord", "_block", exits.alias("exits")).withColumn(
-        "_super", F.floor(F.col("_block") / SUPER)
-    )
+    source = ["source_id", "source_ord"]
+    # written once: every level reads it or what is made of it, and its last block tells how many levels there are
+    tables = materialize(many.select(*source, F.col("_block").cast("bigint").alias("_block"), exits.alias("exits")), "exits")
     width = reach(opts.max_characters)
     identity = F.sequence(F.lit(0), F.lit(width - 1))
 
-    def combine(all_exits: Column) -> Column:
-        return F.aggregate(
-            all_exits, identity, lambda acc, x: F.transform(acc, lambda e: F.element_at(x, e + 1))
+    def grouped(level: DataFrame) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct("_block", "exits")))
+        up = F.floor(F.col("_block") / SUPER).alias("_up")
+        return level.groupBy(*source, up).agg(F.transform(rows, lambda s: s["exits"]).alias("all_exits"))
+
+    def combined(groups: DataFrame) -> DataFrame:
+        follow = F.aggregate("all_exits", identity, lambda acc, x: F.transform(acc, lambda e: F.element_at(x, e + 1)))
+        return groups.select(*source, F.col("_up").alias("_block"), follow.alias("exits"))
+
+    def spread(groups: DataFrame) -> DataFrame:
+        """Entries of the members of groups: follow the exits from the group's own entry."""
+        path = F.aggregate(
+            F.col("all_exits"),
+            F.array(F.col("entry")),
+            lambda p, x: F.array_append(p, F.element_at(x, F.element_at(p, -1) + 1)),
         )
-
-    supers = tables.groupBy("source_id", "source_ord", "_super").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_block", "exits"))), lambda s: s["exits"]
-        ).alias("all_exits")
-    )
-    earlier = Window.partitionBy("source_id").orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
-    entered = (
-        supers.withColumn("combined", combine(F.col("all_exits")))
-        .withColumn("earlier", F.collect_list("combined").over(earlier))
-        .withColumn(
-            "entry",
-            F.aggregate("earlier", F.lit(0), lambda at, x: F.element_at(x, at + 1)),
-        )
-    )
-    # entries of the blocks inside a group: follow the exits from the group's own entry
-    path = F.aggregate(
-        F.col("all_exits"),
-        F.array(F.col("entry")),
-        lambda p, x: F.array_append(p, F.element_at(x, F.element_at(p, -1) + 1)),
-    )
-    inner = F.slice(path, F.lit(1), F.size("all_exits"))
-    return entered.select(
-        "source_id", "source_ord", "_super", F.posexplode_outer(inner).alias("_i", "entry")
-    ).select("source_id", "source_ord", (F.col("_super") * SUPER + F.col("_i")).alias("_block"), "entry")
+        inner = F.slice(path, F.lit(1), F.size("all_exits"))
+        members = groups.select(*source, "_up", F.posexplode_outer(inner).alias("_i", "entry"))
+        return members.select(*source, (F.col("_up") * SUPER + F.col("_i")).alias("_block"), "entry")
+
+    levels = [grouped(tables)]
+    last = (tables.agg(F.max("_block")).first()[0] or 0) // SUPER
+    while last:
+        levels.append(grouped(combined(levels[-1])))
+        last //= SUPER
+    entries = spread(levels[-1].withColumn("entry", F.lit(0)))
+    for lower in reversed(levels[:-1]):
+        entries = spread(lower.join(entries.withColumnRenamed("_block", "_up"), [*source, "_up"]))
+    return entries
 
 
 def chunk_elements(

@@ -79,7 +79,7 @@ def test_in_row_and_per_row_packing_follow_the_rule(spark, opts):
 
 @pytest.mark.parametrize("uniform", [True, False])
 def test_one_huge_source_is_cut_into_blocks(spark, uniform, monkeypatch):
-    """A source with most of all rows, over several groups of blocks, packs as if it were whole."""
+    """A source with most of all rows, over four levels of groups of blocks, packs as if it were whole."""
     monkeypatch.setattr(chunking, "SUPER", 3)
     rng = random.Random(11)
     sources = {0: random_source(rng, 3000, uniform), 1: random_source(rng, 64, uniform), 2: random_source(rng, 7)}
