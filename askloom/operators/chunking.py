@@ -13,6 +13,8 @@ from askloom.session import materialize
 
 # Elements of one source packed in one row; longer sources are cut into blocks of this size.
 BLOCK = 4096
+# Rows of one block each that may be broadcast.
+BROADCAST_BLOCKS = 100_000
 # Blocks whose exits are combined in one group.
 SUPER = 512
 
@@ -136,6 +138,12 @@ def _block_entries(elements: DataFrame, opts: ChunkOptions, block: int) -> DataF
     return entries
 
 
+def _beside_texts(places: DataFrame, label: str) -> DataFrame:
+    """A small row per block, written, to be joined with texts: broadcast if it is counted few, so that no text moves."""
+    stored = materialize(places, label)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_BLOCKS else stored
+
+
 def chunk_elements(
     elements: DataFrame, opts: ChunkOptions = ChunkOptions(), block: int = BLOCK
 ) -> DataFrame:
@@ -146,7 +154,7 @@ def chunk_elements(
     """
     if block < reach(opts.max_characters):
         raise ValueError("a block must hold at least one full chunk")
-    entries = _block_entries(elements, opts, block)
+    entries = _beside_texts(_block_entries(elements, opts, block), "entries")
     place = ["source_id", "source_ord", "_block"]
     # joins on the grouping keys: the texts stay where their one shuffle put them
     blocks = _blocks(elements, opts, block, "category", "text").join(entries, place, "left")
@@ -158,10 +166,12 @@ def chunk_elements(
     )
     # only sources of several blocks need a chunk number to start from
     several = (F.col("_block") > 0) | (F.size("elements") > block)
-    sizes = packed.where(several).select(*place, F.size("_chunks").alias("n"))
+    # written once: numbers of chunks are asked for before the texts
+    packed = materialize(packed.select(*place, several.alias("_several"), F.size("_chunks").alias("n"), "_chunks"), "packed")
+    sizes = packed.where("_several").select(*place, "n")
     earlier = Window.partitionBy("source_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*place, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
-    pieces = packed.join(bases, place, "left").select(
+    pieces = packed.join(_beside_texts(bases, "bases"), place, "left").select(
         "source_id",
         "source_ord",
         F.coalesce("_base", F.lit(0)).alias("_base"),
