@@ -256,15 +256,19 @@ def remainder(doc_id):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def train(features: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Forest:
-    """Fit on the labelled rows that are not held out, at most ``rows``, chosen by a hash of their id.
+def training_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, y`` of the labelled rows that are not held out, at most ``rows``, chosen by a hash of their id.
 
-    Labels other than 0 and 1, null ids and rows without a document take no part; repeated labels of
-    one document count once, the smallest label.
+    Labels other than 0 and 1 and null ids take no part; repeated labels of one document count once, the smallest label.
     """
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     usable = usable.where((remainder("doc_id") != 0) & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.min("y").alias("y"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def train(features: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Forest:
+    """Fit on the rows of :func:`training_labels`; those without a document take no part."""
+    sample = training_labels(labels, rows)
     found = features.join(sample, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     got = found.select("x", "y").toArrow()
     x, _ = binary_rows(got.column("x"), np.float32)
@@ -298,8 +302,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier, fitted on their labels, gives a score of 0.3 or more."""
-    forest = train(described(docs), labels)
+    """The rows of ``docs`` that the classifier, fitted on their labels, gives a score of 0.3 or more.
+
+    Statistics for the fit are computed of the texts in its bounded sample alone. Null and empty texts are scored like
+    any other, repeated rows stay or go together, all columns stay as they are, whatever their names.
+    """
+    # at most SAMPLE_ROWS ids
+    sampled = F.broadcast(training_labels(labels).select(F.col("doc_id").alias("_sampled")))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    forest = train(described(texts.join(sampled, F.col("doc_id") == F.col("_sampled"), "left_semi")), labels)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
