@@ -1,8 +1,9 @@
 """Nearest-neighbour joins of questions with a collection, scored in blocks.
 
-Vectors are dense (``embedding``) or sparse (``buckets``, ``weights``). A block of chunk vectors is
-multiplied with a block of question vectors in one matrix product, and only rows that can still be
-a result leave the task, never all pairs.
+Vectors are dense (``embedding``) or sparse (``buckets``, ``weights``). A block of dense chunk vectors
+is multiplied with a block of question vectors in one matrix product; a block of sparse ones is read
+by the terms of each question (``postings``). Only rows that can still be a result leave the task,
+never all pairs.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.functions.vectors import DECIMALS, DISTANCES, HASH_DIM, rounded
+from askloom.operators.postings import Question, Vectors, blocks_of, questions_of
 from askloom.options import SearchOptions
 from askloom.schemas import HITS
+from askloom.session import materialize
 
 # Question blocks up to this size are broadcast; larger question sets go through the grid.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -25,6 +28,10 @@ SCORES = 4_000_000
 # Rows and bytes of one side in one grid cell.
 CELL_ROWS = 32_768
 CELL_BYTES = 64 * 1024 * 1024
+# An entry of a sparse vector and what its row takes besides.
+ENTRY_BYTES = 16
+# Hits without a number of results leave a task in parts of about so many rows.
+HIT_ROWS = 500_000
 
 
 def _vector_columns(df: DataFrame) -> list[str]:
@@ -39,18 +46,10 @@ def _present(df: DataFrame, dim: int) -> DataFrame:
 
 
 def _matrix(batch: pa.RecordBatch | pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (first column) and the dense double matrix of a batch."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(0).to_numpy()
-    columns = [
-        c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in batch.columns[1:]
-    ]
-    values = columns[-1].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(columns) == 1:
-        return ids, values.reshape(len(ids), dim)
-    rows = np.repeat(np.arange(len(ids)), np.diff(columns[0].offsets.to_numpy()))
-    matrix = np.zeros((len(ids), dim))
-    matrix[rows, columns[0].flatten().to_numpy(zero_copy_only=False)] = values
-    return ids, matrix
+    """Ids (first column) and the double matrix of a batch of dense vectors."""
+    ids, vectors = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in batch.columns)
+    ids = ids.to_numpy(zero_copy_only=False)
+    return ids, vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)
 
 
 def _distances(chunks: np.ndarray, questions: np.ndarray, metric: str) -> np.ndarray:
@@ -85,9 +84,12 @@ class _Best:
         at, q = np.nonzero(d <= bound)
         if not len(at):
             return
+        self.merge(q, ids[at], d[at, q])
+
+    def merge(self, q: np.ndarray, chunk: np.ndarray, dist: np.ndarray) -> None:
         q = np.concatenate([self.rows[0], q])
-        dist = np.concatenate([self.rows[1], d[at, q[len(self.rows[0]) :]]])
-        chunk = np.concatenate([self.rows[2], ids[at]])
+        dist = np.concatenate([self.rows[1], dist])
+        chunk = np.concatenate([self.rows[2], chunk])
         order = np.lexsort((chunk, dist, q))
         q, dist, chunk = q[order], dist[order], chunk[order]
         first = np.searchsorted(q, q)
@@ -126,17 +128,52 @@ def _score(
         yield _hits(query_ids, best.rows[0], best.rows[2], best.rows[1])
 
 
+def _score_sparse(
+    batches: Iterator, query_ids: np.ndarray, questions: list[Question], k: int | None, limit: float | None, metric: str, dim: int
+) -> Iterator[pa.RecordBatch]:
+    if not len(query_ids):
+        return
+    best = _Best(len(query_ids), k, limit)
+    for block in blocks_of(batches, metric, dim):
+        found, n = [], 0
+        for at, (question, bound) in enumerate(zip(questions, best.bound.tolist())):
+            rows, d = block.near(question, bound, k)
+            if len(rows):
+                found.append((np.full(len(rows), at), block.ids[rows], d))
+                n += len(rows)
+            if found and (n >= HIT_ROWS or at == len(questions) - 1):
+                q, chunk, d = (np.concatenate(part) for part in zip(*found))
+                found, n = [], 0
+                if k:
+                    best.merge(q, chunk, d)
+                else:
+                    yield _hits(query_ids, q, chunk, d)
+    if len(best.rows[0]):
+        yield _hits(query_ids, best.rows[0], best.rows[2], best.rows[1])
+
+
 def _top(hits: DataFrame, k: int) -> DataFrame:
     """Global rank over the few candidates each task kept."""
     nearest = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
+def _sparse_bytes(df: DataFrame) -> int:
+    return df.agg(F.sum((F.size("buckets").cast("bigint") + 1) * ENTRY_BYTES)).first()[0] or 0
+
+
 def _grid(chunks: DataFrame, questions: DataFrame, k: int | None, limit: float | None, metric: str, dim: int, cell_rows: int) -> DataFrame:
-    """Both sides cut into blocks by id hash; each (question block, chunk block) is one bounded cell."""
-    cell_rows = max(1, min(cell_rows, CELL_BYTES // (8 * dim)))
-    q_blocks = -(-questions.count() // cell_rows) or 1
-    c_blocks = -(-chunks.count() // cell_rows) or 1
+    """Both sides cut into blocks by id hash; each (question block, chunk block) is one bounded cell.
+
+    Blocks follow from what the vectors take, so sparse ones, which are short, are copied to few cells.
+    """
+
+    def blocks(df: DataFrame) -> int:
+        if "embedding" in df.columns:
+            return -(-df.count() // max(1, min(cell_rows, CELL_BYTES // (8 * dim)))) or 1
+        return -(-_sparse_bytes(df) // max(1, CELL_BYTES * cell_rows // CELL_ROWS)) or 1
+
+    q_blocks, c_blocks = blocks(questions), blocks(chunks)
 
     def placed(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int")).withColumn(
@@ -150,6 +187,14 @@ def _grid(chunks: DataFrame, questions: DataFrame, k: int | None, limit: float |
     )
 
 
+def _prepared(questions: pa.Table, metric: str, dim: int):
+    """The way to score these questions, and their ids and vectors as it takes them."""
+    if questions.num_columns == 2:
+        return _score, _matrix(questions, dim)
+    vectors = Vectors(questions)
+    return _score_sparse, (vectors.ids, questions_of(vectors, metric))
+
+
 def _cells(chunks: DataFrame, questions: DataFrame, cell: list[str], k, limit, metric: str, dim: int) -> DataFrame:
     """Score the chunks and questions that share a cell."""
     vector = _vector_columns(chunks)
@@ -158,9 +203,9 @@ def _cells(chunks: DataFrame, questions: DataFrame, cell: list[str], k, limit, m
     questions = questions.select(*[F.col(c).alias(c) for c in (*cell, "query_id", *vector)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        query_ids, matrix = _matrix(right.select(["query_id", *vector]), dim)
+        score, asked = _prepared(right.select(["query_id", *vector]), metric, dim)
         table = left.select(["chunk_id", *vector])
-        found = list(_score(table.to_batches(), query_ids, matrix, k, limit, metric, dim))
+        found = list(score(table.to_batches(), *asked, k, limit, metric, dim))
         return pa.Table.from_batches(found, schema=_hits(np.empty(0, np.int64), *[np.empty(0, np.int64)] * 2, np.empty(0)).schema)
 
     return chunks.groupBy(*cell).cogroup(questions.groupBy(*cell)).applyInArrow(run, HITS)
@@ -190,17 +235,23 @@ def nearest(
     vector = _vector_columns(chunks)
     chunks = _present(chunks.select("chunk_id", *vector), dim)
     questions = _present(questions.select("query_id", *vector), dim)
-    most = max(1, broadcast_bytes // (8 * dim))
+    sparse = len(vector) > 1
+    most = max(1, broadcast_bytes // ((ENTRY_BYTES if sparse else 8) * dim))
     # never more than the bound plus one row reaches the driver
     head = questions.limit(most + 1).toArrow()
+    if head.num_rows > most and sparse:
+        # so many are few bytes all the same if they are short
+        questions = materialize(questions, "asked")
+        if _sparse_bytes(questions) <= broadcast_bytes:
+            head, most = questions.toArrow(), questions.count()
     if head.num_rows > most:
         hits = _grid(chunks, questions, k, limit, metric, dim, cell_rows)
     else:
-        shared = chunks.sparkSession.sparkContext.broadcast(_matrix(head, dim))
+        shared = chunks.sparkSession.sparkContext.broadcast(head)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, matrix = shared.value
-            yield from _score(batches, query_ids, matrix, k, limit, metric, dim)
+            score, asked = _prepared(shared.value, metric, dim)
+            yield from score(batches, *asked, k, limit, metric, dim)
 
         hits = chunks.mapInArrow(run, HITS)
     return _top(hits, k) if k else hits
