@@ -75,9 +75,10 @@ class Block:
             weights = weights / np.where(self.usable, lengths, 1.0)[rows]
         self.terms, self.weights = vectors.terms, weights
         self.longest = 1.0 if metric == "cosine" else lengths.max(initial=0.0)
-        order = np.argsort(vectors.terms, kind="stable")
+        # two bytes are sorted by counting
+        order = np.argsort(vectors.terms.astype(np.uint16) if dim <= 1 << 16 else vectors.terms, kind="stable")
         self.listed, self.given = rows[order], weights[order]
-        self.first = np.searchsorted(vectors.terms[order], np.arange(dim + 1))
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(vectors.terms, minlength=dim))))
         self.asked = np.zeros(dim)
 
     def _add(self, sums: np.ndarray, q: Question, begin: int, end: int) -> None:
