@@ -12,7 +12,7 @@ from askloom.operators import ordering
 from askloom.operators.embedding import Embedder
 from askloom.options import SearchOptions
 from askloom.plans import jobs
-from askloom.plans.queries import in_ranges, numbered_over_files
+from askloom.plans.queries import QUERIES, in_ranges, numbered_over_files
 from askloom.session import new_table_path
 from askloom.sources import collections, files
 from askloom.streaming.ingest import ingest_stream, latest_versions, prompt_stream, search_ingested
@@ -318,3 +318,21 @@ def test_tables_are_written_to_many_files_and_numbered_through(spark, tmp_path):
     assert found.select("source_id").distinct().count() > 1
     got = numbered_over_files(found, F.lit("")).select("elem_ord", "text").collect()
     assert sorted(map(tuple, got)) == [(k, f"{k} x") for k in range(500)]
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_tables_of_one_or_many_files_stream_alike(spark, tmp_path, folder):
+    long = " ".join(["oil"] * 30)
+    docs_ = spark.createDataFrame([(k, f"{long} {k}\n{long}") for k in range(6)], "doc_id bigint, text string")
+    turns = spark.createDataFrame([(c, t, "user", f"{c} {t}") for c in range(3) for t in range(2)], "conv_id bigint, turn bigint, role string, text string")
+    asked = spark.createDataFrame([(0, long)], "item_id bigint, text string")
+    for name, df in {"documents": docs_, "conversations": turns, "benchmark": asked}.items():
+        if folder:
+            df.repartition(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+        else:
+            df.toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    stored = QUERIES["stream_ingest"](spark, str(tmp_path)).collect()
+    assert sorted((r["source_ord"], r["chunk_ord"]) for r in stored) == [(k, 0) for k in range(6)]
+    assert [r["rank"] for r in QUERIES["stream_search"](spark, str(tmp_path)).orderBy("rank").collect()] == [1, 2, 3]
+    latest = QUERIES["stream_latest_turn"](spark, str(tmp_path)).collect()
+    assert sorted((r["conv_id"], r["turn"], r["text"]) for r in latest) == [(c, 1, f"{c} 1") for c in range(3)]
