@@ -14,9 +14,10 @@ name the subject of a text count, or places without a passage.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Container, Iterator
 from html import unescape
 
 import numpy as np
@@ -36,10 +37,10 @@ LEAST_PAGES = 3
 COPY_SHARE = 0.5
 # Within a run of varying paragraphs, a text is template only if it stays the same on so many of the pages; headings never are.
 RUN_SHARE = 0.9
-# Lists of children with more pairs than this are only paired from both ends; with more unlike pairs than the second
-# number, the smaller subtree counts as what two elements have in common.
+# Sums and weights of this many pairs of children are held while they are aligned, and weights of this many pairs of unlike
+# subtrees from page to page; what is beyond is worked out again when it is wanted.
 MOST_CELLS = 4_000_000
-MOST_UNLIKE = 10_000
+MOST_KNOWN = 1_000_000
 BROADCAST_HOSTS = 100_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)(?:>|\Z)""", re.S)
@@ -372,22 +373,23 @@ class Shapes:
 
     def learn(self, a: Node, b: Node) -> None:
         """Weights of all pairs of unlike subtrees below two elements, from the leaves up."""
-        stack = [(a, b, False)]
+        if len(self.weights) > MOST_KNOWN:
+            self.weights.clear()
+            self.pairs.clear()
+        stack = [(a, b, None)]
         while stack:
-            x, y, ready = stack.pop()
-            key = (x.shape, y.shape)
-            if x.kind != y.kind or x.shape == y.shape or key in self.weights:
-                continue
-            if ready:
-                p, q, pairs = self.align(x, y)
-                self.weights[key], self.pairs[key] = 1 + sum(self.weight(p[i], q[j]) for i, j in pairs), pairs
+            x, y, below = stack.pop()
+            if below is None:
+                if x.kind != y.kind or x.shape == y.shape or (x.shape, y.shape) in self.weights:
+                    continue
+                below = _unlike(x, y)
+            inner = next(below, None)
+            if inner:
+                stack += [(x, y, below), (*inner, None)]
                 continue
-            stack.append((x, y, True))
-            p, q, lo, hi = _inner(x, y)
-            ps = {c.shape: c for c in p[lo : len(p) - hi]}
-            qs = {c.shape: c for c in q[lo : len(q) - hi]}
-            if len(ps) * len(qs) <= MOST_UNLIKE:
-                stack.extend((c, d, False) for c in ps.values() for d in qs.values())
+            p, q, pairs = self.align(x, y)
+            key = (x.shape, y.shape)
+            self.weights[key], self.pairs[key] = 1 + sum(self.weight(p[i], q[j]) for i, j in pairs), pairs
 
     def align(self, x: Node, y: Node) -> tuple[list[Node], list[Node], list[tuple[int, int]]]:
         """Children of two elements and the pairs of them, in order, that have most elements in common."""
@@ -396,33 +398,76 @@ class Shapes:
             return p, q, self.pairs[x.shape, y.shape]
         n, m = len(p) - lo - hi, len(q) - lo - hi
         found = [(i, i) for i in range(lo)]
-        if n * m > MOST_CELLS:
-            k = 0
-            while k < min(n, m) and p[lo + k].kind == q[lo + k].kind:
-                found.append((lo + k, lo + k))
-                k += 1
-        elif n and m:
-            ps, qs = ({c.shape: c for c in part} for part in (p[lo : lo + n], q[lo : lo + m]))
-            table = np.array([[self.weight(c, d) for d in qs.values()] for c in ps.values()], dtype=np.int64)
-            rows, columns = ({shape: k for k, shape in enumerate(side)} for side in (ps, qs))
-            rows, columns = (np.array([of[c.shape] for c in part]) for of, part in ((rows, p[lo : lo + n]), (columns, q[lo : lo + m])))
-            best = np.zeros((n + 1, m + 1), dtype=np.int64)
-            for i in range(n - 1, -1, -1):
-                row = np.maximum(best[i + 1, :-1], table[rows[i]][columns] + best[i + 1, 1:])
-                best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-            i = j = 0
-            while i < n and j < m:
-                common = table[rows[i], columns[j]]
-                if common and best[i, j] == common + best[i + 1, j + 1]:
-                    found.append((lo + i, lo + j))
-                    i, j = i + 1, j + 1
-                elif best[i, j] == best[i + 1, j]:
-                    i += 1
-                else:
-                    j += 1
+        if n and m:
+            qs = {c.shape: c for c in q[lo : lo + m]}
+            at = {shape: k for k, shape in enumerate(qs)}
+            columns = np.array([at[c.shape] for c in q[lo : lo + m]])
+            rows: dict[int, np.ndarray] = {}
+
+            def common(i: int) -> np.ndarray:
+                c = p[lo + i]
+                if c.shape not in rows:
+                    if len(rows) * len(qs) > MOST_CELLS:
+                        rows.clear()
+                    rows[c.shape] = np.array([self.weight(c, d) for d in qs.values()], dtype=np.int64)
+                return rows[c.shape][columns]
+
+            found += [(lo + i, lo + j) for i, j in _heaviest(n, m, common, lambda i, j: self.weight(p[lo + i], q[lo + j]))]
         return p, q, found + [(len(p) - k, len(q) - k) for k in range(hi, 0, -1)]
 
 
+def _heaviest(n: int, m: int, common: Callable[[int], np.ndarray], weight: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """Pairs, in order, of ``n`` and ``m`` things with the largest sum of weights; ``common`` gives a row of these, ``weight`` one.
+
+    Of a large table of best sums only some rows are held; those between are made again on the way back.
+    """
+    step = 1 if n * m <= MOST_CELLS else math.isqrt(n)
+    best = {n: np.zeros(m + 1, dtype=np.int64)}
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        row = np.zeros(m + 1, dtype=np.int64)
+        row[:-1] = np.maximum.accumulate(np.maximum(below[:-1], common(i) + below[1:])[::-1])[::-1]
+        return row
+
+    def row_at(i: int) -> np.ndarray:
+        if i not in best:
+            for k in [k for k in best if k < i - 1]:
+                del best[k]
+            for k in range(min(n, (i // step + 1) * step) - 1, i - 1, -1):
+                best[k] = above(k, best[k + 1])
+        return best[i]
+
+    row = best[n]
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            best[i] = row
+    found: list[tuple[int, int]] = []
+    i = j = 0
+    while i < n and j < m:
+        here, after, both = row_at(i)[j], row_at(i + 1), weight(i, j)
+        if both and here == both + after[j + 1]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        elif here == after[j]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
+def _unlike(x: Node, y: Node) -> Iterator[tuple[Node, Node]]:
+    """Pairs of one kind among the distinct subtrees below two elements that are not paired as equal."""
+    p, q, lo, hi = _inner(x, y)
+    kinds: dict[str, dict[int, Node]] = {}
+    for d in q[lo : len(q) - hi]:
+        kinds.setdefault(d.kind, {})[d.shape] = d
+    for c in {c.shape: c for c in p[lo : len(p) - hi]}.values():
+        for d in kinds.get(c.kind, {}).values():
+            if c.shape != d.shape:
+                yield c, d
+
+
 def _inner(x: Node, y: Node) -> tuple[list[Node], list[Node], int, int]:
     """Children of two elements, and how many at the start and end are equal subtrees; pairing those is never worse."""
     p, q = x.elements(), y.elements()
@@ -608,7 +653,7 @@ def main_text(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
         "block", F.pmod(F.xxhash64("page_id", "url"), F.col("blocks")).cast("int")
     )
     dealt = dealt.select("host", "block", "page_id", "url", "html")
-    ordered = dealt.repartition("host", "block").sortWithinPartitions("host", "block", "page_id")
+    ordered = dealt.repartition("host", "block").sortWithinPartitions("host", "block", "page_id", "url", "html")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select("page_id", "url").schema)
     return ordered.mapInArrow(_extract, f"{schema}, text string")
 

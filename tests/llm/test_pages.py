@@ -186,6 +186,21 @@ def test_tree_matching_equals_plain_recursion(seed):
     assert html.match(a, b, {}) == best(a, b)
 
 
+def test_long_lists_are_matched_like_short_ones(monkeypatch):
+    rng = random.Random(5)
+    tags = rng.choices(("div", "section"), k=2100)
+    rows = ["".join(f"<{t}></{t}>" for t in (*tags, "ol")), "".join(f"<{t}></{t}>" for t in ("ul", *tags))]
+    assert html.match(*(html.parse(f"<main>{r}</main>") for r in rows), {}) == 2 + len(tags)
+    items = [f"<li>{''.join('<div></div>' if k >> i & 1 else '<section></section>' for i in range(7))}</li>" for k in range(120)]
+    lists = ["".join(items), "".join(items[1:] + items[:1])]
+    assert html.match(*(html.parse(f"<ul>{x}</ul>") for x in lists), {}) == 2 + 119 * 8
+    short = [html.parse("".join(f"<{t}></{t}>" for t in part)) for part in (tags[:300], tags[100:350])]
+    whole = html.match(*short, {})
+    monkeypatch.setattr(html, "MOST_CELLS", 100)
+    monkeypatch.setattr(html, "MOST_KNOWN", 0)
+    assert html.match(*short, {}) == whole
+
+
 def test_each_layout_of_a_host_has_its_own_template():
     rng = random.Random(10)
     want, pages = [], []
