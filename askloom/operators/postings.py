@@ -14,7 +14,7 @@ from askloom.functions.vectors import DECIMALS
 
 # Rows and entries of one block: a task holds one at a time, and its running sums stay in a processor's cache.
 BLOCK_ROWS = 32_768
-BLOCK_ENTRIES = 4_000_000
+BLOCK_ENTRIES = 2_000_000
 # Covers the rounding of distances and of sums.
 SLACK = 1e-6
 # Of this share of a block's rows on, the lists left are read after all.
@@ -29,8 +29,8 @@ class Vectors:
         self.ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
         self.offsets = np.asarray(terms.offsets).astype(np.int64)
         self.offsets -= self.offsets[0]
-        self.terms = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self.weights = weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.terms = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+        self.weights = weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -136,17 +136,23 @@ class Block:
 
 
 def blocks_of(batches, metric: str, dim: int):
-    """Batches ``id, terms, weights`` gathered into blocks."""
+    """Batches ``id, terms, weights`` gathered into blocks; what a block is made from is let go before it is given out."""
     held, rows, entries = [], 0, 0
     step = max(1, min(BLOCK_ROWS, BLOCK_ENTRIES // dim))
+
+    def made() -> Block:
+        vectors = Vectors(pa.Table.from_batches(held))
+        held.clear()
+        return Block(vectors, metric, dim)
+
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             size = len(part.column(1).flatten())
             if held and (rows + part.num_rows > BLOCK_ROWS or entries + size > BLOCK_ENTRIES):
-                yield Block(Vectors(pa.Table.from_batches(held)), metric, dim)
-                held, rows, entries = [], 0, 0
+                yield made()
+                rows, entries = 0, 0
             held.append(part)
             rows, entries = rows + part.num_rows, entries + size
     if held:
-        yield Block(Vectors(pa.Table.from_batches(held)), metric, dim)
+        yield made()

@@ -148,6 +148,7 @@ def _score_sparse(
                     best.merge(q, chunk, d)
                 else:
                     yield _hits(query_ids, q, chunk, d)
+        del block  # before the next one is made
     if len(best.rows[0]):
         yield _hits(query_ids, best.rows[0], best.rows[2], best.rows[1])
 

@@ -1,12 +1,17 @@
 from __future__ import annotations
 
+import weakref
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from askloom.operators import postings
+from askloom.functions import vectors
+from askloom.operators import embedding, postings, search
 from askloom.operators.search import nearest
 from askloom.options import SearchOptions
+from askloom.plans import queries
+from askloom.sources import files
 from tests.test_search import found
 
 DIM = 64
@@ -105,3 +110,39 @@ def test_batches_become_blocks(monkeypatch, data):
     blocks = list(postings.blocks_of([batch, batch.slice(20, 5), batch.slice(0, 0)], "ip", 4))
     assert [len(b.ids) for b in blocks] == [10, 10, 10] and blocks[-1].ids.tolist() == [*range(20, 25), *range(20, 25)]
     assert all(b.lengths[0] == pytest.approx(5**0.5) for b in blocks)
+
+
+def test_one_block_is_held_at_a_time(monkeypatch):
+    live, most = weakref.WeakSet(), []
+
+    class Seen(postings.Block):
+        def __init__(self, *args):
+            most.append(len(live))
+            live.add(self)
+            super().__init__(*args)
+
+    monkeypatch.setattr(postings, "Block", Seen)
+    monkeypatch.setattr(postings, "BLOCK_ROWS", 2)
+    lists = [pa.array([[1]] * 5, pa.list_(pa.int32())), pa.array([[1.0]] * 5, pa.list_(pa.float64()))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), *lists], names=["chunk_id", "buckets", "weights"])
+    asked = search._prepared(pa.Table.from_batches([batch.slice(0, 1)]), "cosine", 4)[1]
+    found = list(search._score_sparse(iter([batch]), *asked, 5, 1.0, "cosine", 4))
+    assert sum(f.num_rows for f in found) == 5
+    assert most == [0, 0, 0]
+
+
+def test_counts_of_rows_cut_into_several_sorts(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{i % 5}" for i in range(n))) for k, n in enumerate((0, 3, 40, 1, 7, 0))] + [(6, None)]
+    texts = spark.createDataFrame(rows, "k bigint, text string").coalesce(1)
+    whole = embedding.term_counts(texts, "k").orderBy("k").collect()
+    monkeypatch.setattr(vectors, "COUNT_TOKENS", 4)
+    assert embedding.term_counts(texts, "k").orderBy("k").collect() == whole
+    assert [sum(r["tf"] or []) for r in whole] == [0, 3, 40, 1, 7, 0, 0]
+
+
+def test_office_files_are_made_one_at_a_time():
+    lines = pa.array([["a"], ["b", "c"], []], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(["0.docx", "1.pptx", "2.xlsx"]), lines], names=["source_id", "lines"])
+    made = list(queries._office_files(iter([batch])))
+    assert [m.num_rows for m in made] == [1, 1, 1]
+    assert [t for m in made for _, _, _, t, _ in files._read_office(*m.to_pylist()[0].values())] == ["a", "b", "c"]
