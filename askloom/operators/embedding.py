@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloom.functions.vectors import HASH_DIM, count_buckets, idf, token_buckets
+from askloom.functions.vectors import HASH_DIM, count_buckets, idf, tokens
 from askloom.options import EmbedOptions
 
 HASHED = "hashed-tfidf"
@@ -18,7 +18,7 @@ HASHED = "hashed-tfidf"
 
 def term_counts(texts: DataFrame, key: str, text: str = "text", dim: int = HASH_DIM) -> DataFrame:
     """``(key, buckets, tf)`` per text: map-only, no row per token."""
-    counted = count_buckets(dim)(token_buckets(F.col(text), dim))
+    counted = count_buckets(dim)(tokens(F.col(text)))
     return texts.select(key, counted.alias("_c")).select(key, "_c.buckets", "_c.tf")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from askloom.functions.text import clean_elements
-from askloom.functions.vectors import count_buckets, token_buckets
+from askloom.functions.vectors import count_buckets, tokens
 from askloom.operators.chunking import chunk_documents
 from askloom.operators.embedding import hash_embed, idf_table, weigh
 from askloom.operators.ordering import assign_chunk_ids
@@ -42,7 +42,7 @@ def stream_chunks(docs: DataFrame, elements: Column, clean: CleanOptions, chunk:
     """
     rows = docs.select("source_id", "source_ord", clean_elements(elements, clean).alias("elements"))
     chunks = chunk_documents(rows, chunk)
-    counted = chunks.withColumn("_c", count_buckets()(token_buckets(F.col("text"))))
+    counted = chunks.withColumn("_c", count_buckets()(tokens(F.col("text"))))
     return counted.select(*chunks.columns, "_c.buckets", "_c.tf")
 
 

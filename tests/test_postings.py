@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import weakref
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from askloom.functions import vectors
 from askloom.operators import embedding, postings, search
@@ -146,3 +148,12 @@ def test_office_files_are_made_one_at_a_time():
     made = list(queries._office_files(iter([batch])))
     assert [m.num_rows for m in made] == [1, 1, 1]
     assert [t for m in made for _, _, _, t, _ in files._read_office(*m.to_pylist()[0].values())] == ["a", "b", "c"]
+
+
+def test_buckets_of_tokens_are_those_of_the_formula(spark):
+    texts = spark.createDataFrame([(0, "Öl, oil OIL 7"), (1, ""), (2, None), (3, "a b a " * 50)], "k bigint, text string")
+    words = vectors.tokens(F.col("text"))
+    rows = texts.select("k", vectors.count_buckets(100)(words).alias("c"), F.transform(words, lambda w: vectors.token_bucket(w, 100)).alias("b"))
+    for r in rows.collect():
+        want = sorted(Counter(r["b"] or []).items())
+        assert (r["c"]["buckets"], r["c"]["tf"]) == ([b for b, _ in want], [n for _, n in want])
