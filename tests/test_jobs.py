@@ -97,6 +97,8 @@ def test_collection_with_an_index(spark):
         _, log = jobs.build_collection(spark, root, "m", docs(spark), embedder=model, index="cosine")
     assert sorted(r.status for r in log.collect()) == ["error", "loaded", "loaded", "no_text"]
     assert collections.index_space(spark, root, "m") == "cosine"
+    failed = collections.chunks_without_vector(spark, root, "m")
+    assert failed.count() == 1 and {f.split("/")[-2] for f in failed.inputFiles() if "/vectors/" in f} == {"cell=-1"}
     for opts in (SearchOptions(1, 0.2), SearchOptions("max", 2), SearchOptions(2, 3, space="l2")):
         rows = [sorted(map(tuple, collections.search_collection(spark, root, n, asked, opts, model).collect())) for n in ("plain", "m")]
         assert rows[0] == rows[1] != []

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from askloom.functions import vectors as V
+from askloom.operators import cells as cells_module
 from askloom.operators.cells import nearest_in_cells, write_cells
 from askloom.operators.embedding import embed_texts, hash_embed, idf_table, term_counts
 from askloom.operators.lsh import nearest_approx, nearest_indexed, write_index
@@ -188,6 +189,39 @@ def test_cells_prune_folders_and_refuse_other_spaces(spark):
     assert found(nearest_in_cells(spark, path, cells, q.where("false"), opts, dim=16)) == []
 
 
+@pytest.mark.parametrize("space", ["cosine", "l2"])
+def test_nearest_centre_takes_no_angle_of_the_others(space, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = rng.standard_normal((3000, 16))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    taken = []
+    for name in ("arccos", "sqrt"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda x, plain=plain: (taken.append(np.size(x)), plain(x))[1])
+    centres = cells_module._centres(points, 50, space)
+    assert sum(taken) <= len(points) * cells_module.ROUNDS
+    monkeypatch.undo()
+    monkeypatch.setattr(cells_module, "CACHED_SCORES", 50 * 64)
+    cell, apart = cells_module._nearest(points, centres, space)
+    all_apart = cells_module._apart(points, centres, space)
+    assert np.allclose(apart, all_apart.min(axis=1), atol=1e-7) and (cell == all_apart.argmin(axis=1)).all()
+
+
+def test_a_large_cell_gets_several_files(spark):
+    rng = np.random.default_rng(9)
+    chunks, _ = frames(spark, np.vstack([rng.random((900, 4)) + [9, 0, 0, 0], rng.random((30, 4)) - [9, 0, 0, 0], np.zeros((300, 4))]), np.zeros((1, 4)))
+    path, cells = new_table_path(spark, "index"), new_table_path(spark, "cells")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_cells(chunks, path, cells, dim=4, cells=2, file_rows=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(path).select("cell", F.input_file_name().alias("f")).groupBy("cell").agg(F.count("*").alias("n"), F.countDistinct("f").alias("f"))
+    got = {r["cell"]: (r["n"], r["f"]) for r in files.collect()}
+    assert got[-1][0] == 300 and sum(n for n, _ in got.values()) == 1230
+    assert all(1 < f <= -(-n // 100) if n > 100 else f == 1 for n, f in got.values())
+
+
 def test_recall_of_few_cells_on_the_given_vectors(spark, sf_dir):
     """Every 50th vector asks all the others: a few cells find at least 0.95 of the ten nearest."""
     rows = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/embeddings.parquet")
