@@ -12,7 +12,7 @@ from askloom.operators.chunking import chunk_documents, chunk_elements
 from askloom.operators.embedding import Embedder
 from askloom.operators.ordering import number_within
 from askloom.options import ChunkOptions, CleanOptions
-from askloom.session import materialize
+from askloom.session import few_listing_tasks, materialize
 from askloom.sources import collections, files, routing, transcripts
 
 ELEMENTS = "array<struct<category:string,text:string>>"
@@ -66,11 +66,17 @@ def listed(spark: SparkSession, sources: Sources) -> DataFrame:
     return gated.withColumn("status", status)
 
 
-def _files_below(spark: SparkSession, folder: str, kinds: tuple[str, ...]) -> DataFrame:
-    """``uri, length, content`` of the files with one of the extensions, at any depth."""
+def _listed_files(spark: SparkSession, folder: str, kinds: tuple[str, ...], form: str) -> DataFrame:
+    """Files with one of the extensions, at any depth, in a form of reader. The folder is listed here, once for all that is read."""
     each = ["*." + "".join(f"[{c}{c.upper()}]" for c in kind) for kind in kinds]
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(each) + "}")
-    return found.load(folder).select(_below(spark, folder, F.col("path")).alias("uri"), "length", "content")
+    reader = spark.read.format(form).option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(each) + "}")
+    with few_listing_tasks(spark):
+        return reader.load(folder)
+
+
+def _of_kind(found: DataFrame, *kinds: str) -> DataFrame:
+    """Those of the listed files with one of the extensions: Spark leaves out the others by their names, unread."""
+    return found.where(F.col("_metadata.file_name").rlike(rf"(?i)\.({'|'.join(kinds)})\z"))
 
 
 def _below(spark: SparkSession, folder: str, path: Column) -> Column:
@@ -89,24 +95,25 @@ def read_files(spark: SparkSession, sources: Sources, wanted: DataFrame, sep: st
     folder, place = sources.folder, wanted.select("uri", "source_id", "source_ord")
     small = F.col("length") <= MOST_BYTES
     text = F.ltrim(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufeff"))
-    plain = _files_below(spark, folder, ("txt", "md", "org")).where(small).select("uri", text.alias("text"))
+    there = _listed_files(spark, folder, routing.SUPPORTED_EXTENSIONS, "binaryFile")
+    uri = _below(spark, folder, F.col("path")).alias("uri")
+    plain = _of_kind(there, "txt", "md", "org").where(small).select(uri, text.alias("text"))
     ext = routing.extension(F.col("uri"))
     by_type = F.when(ext == "txt", text_elements(F.col("text"), sep))
     for kind in ("md", "org"):
         by_type = by_type.when(ext == kind, files.elements_of(kind, F.col("text")))
-    html = _files_below(spark, folder, ("html",)).where(small).select("uri", html_elements(text).alias("elements"))
-    content = _files_below(spark, folder, tuple(files.OFFICE_READERS)).where(small)
+    html = _of_kind(there, "html").where(small).select(uri, html_elements(text).alias("elements"))
+    content = _of_kind(there, *files.OFFICE_READERS).where(small).select(uri, "content")
     # parsed once: both its elements and its errors are asked for
     office = materialize(files.office_documents(content.select(F.col("uri").alias("source_id"), "content")).withColumnRenamed("source_id", "uri"), "office")
     whole = plain.select("uri", by_type.alias("elements")).unionByName(html).unionByName(office.where("error IS NULL").select("uri", "elements"))
-    records = None
+    records, tables = None, _listed_files(spark, folder, ("csv", "tsv"), "text")
     for kind, cell in (("csv", ","), ("tsv", "\t")):
-        found = files.csv_elements(spark, folder, cell, glob=f"*.[{kind[0]}{kind[0].upper()}][{kind[1]}{kind[1].upper()}][{kind[2]}{kind[2].upper()}]")
+        found = files.record_elements(files.record_lines(_of_kind(tables, kind)), cell)
         found = found.withColumn("uri", _below(spark, folder, F.try_url_decode(F.replace(F.col("source_id"), F.lit("+"), F.lit("%2B"))))).drop("source_id")
         records = found if records is None else records.unionByName(found)
-    there = _files_below(spark, folder, routing.SUPPORTED_EXTENSIONS).select("uri", "length")
     large = ~ext.isin("csv", "tsv") & (F.col("length") > MOST_BYTES)
-    lost = place.join(there, "uri", "left").select(
+    lost = place.join(there.select(uri, "length"), "uri", "left").select(
         "source_id", F.when(F.col("length").isNull(), "no such file").when(large, "file is too large").alias("detail")
     )
     damaged = office.where("error IS NOT NULL").join(place, "uri").select("source_id", F.col("error").alias("detail"))
@@ -154,7 +161,8 @@ def ingest_sources(
         documents, records, damaged = read_files(spark, sources, good.where("kind = 'file'"), sep)
         whole, rows, problems = documents.unionByName(whole), records.unionByName(rows), problems.unionByName(damaged)
     cleaned = rows.withColumn("text", clean(F.col("text"), clean_opts)).where(F.length("text") > 0)
-    numbered = number_within(cleaned, ["source_id", "source_ord"], "elem_ord")
+    # written once: both the lengths and the texts of blocks are asked for
+    numbered = materialize(number_within(cleaned, ["source_id", "source_ord"], "elem_ord"), "records")
     packed = whole.withColumn("elements", clean_elements(F.col("elements"), clean_opts))
     chunks = chunk_documents(packed, chunk).unionByName(chunk_elements(numbered, chunk))
     stored = collections.create_collection(spark, root, name, chunks, embedder, index=index)

@@ -159,3 +159,26 @@ def test_answers_from_a_collection(spark, calls):
         chat.chat_answers(spark, turns, _counting(calls), "m", "x", rag)
     with pytest.raises(ValueError, match="template"):
         chat.chat_answers(spark, turns, _counting(calls), "m", "x", ChatOptions(rag_mode=True, context_template="{context}"), collection=(root, "c"))
+
+
+def test_a_folder_is_listed_once_for_each_reader(spark, tmp_path):
+    for n in range(40):  # more than Spark lists without a job
+        (tmp_path / f"k{n}").mkdir()
+        for name, text in (("a.txt", f"plain {n}"), ("b.HTML", f"<p>page {n}"), ("c.csv", f"row,{n}\n"), ("d.md.pdf", "none")):
+            (tmp_path / f"k{n}" / name).write_text(text)
+    uris = [f"k{n}/{name}" for n in range(40) for name in ("a.txt", "b.HTML", "c.csv")]
+    wanted = spark.createDataFrame([(u, str(i), i) for i, u in enumerate(uris)], "uri string, source_id string, source_ord bigint")
+    context, key = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    context.setJobGroup("listing", "")
+    try:
+        whole, records, lost = ingest.read_files(spark, ingest.Sources(str(tmp_path)), wanted, "\n")
+    finally:
+        context._jsc.sc().clearJobGroup()
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.name.startswith(("load at", "text at")) for s in stages) == 2
+    assert spark.conf.get(key) == before
+    assert {r["source_ord"]: r["elements"][0]["text"] for r in whole.collect()} == {3 * n + k: f"{said} {n}" for n in range(40) for k, said in enumerate(("plain", "page"))}
+    assert sorted((r["source_ord"], r["elem_ord"], r["text"]) for r in records.collect()) == [(3 * n + 2, 0, f"row {n}") for n in range(40)]
+    assert not lost.count()
