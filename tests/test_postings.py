@@ -157,3 +157,13 @@ def test_buckets_of_tokens_are_those_of_the_formula(spark):
     for r in rows.collect():
         want = sorted(Counter(r["b"] or []).items())
         assert (r["c"]["buckets"], r["c"]["tf"]) == ([b for b, _ in want], [n for _, n in want])
+
+
+def test_words_are_hashed_like_tokens(spark):
+    """All at once, without a value of Arrow for each word; tokens have no empty ones at the ends."""
+    words = ["", "a", "é", "я" * 40, "x" * 200, "12", "straße"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(vectors.token_bucket(F.col("w"), 1000).alias("b")).collect()
+    assert vectors.word_buckets(pa.array([w.encode() for w in words], pa.binary()), 1000).tolist() == [r["b"] for r in rows]
+    assert vectors.word_buckets(pa.array([], pa.binary())).tolist() == []
+    texts = spark.createDataFrame([("..One, zwei 3!",), (" -",), ("",), (None,)], "t string")
+    assert [r["w"] for r in texts.select(vectors.tokens(F.col("t")).alias("w")).collect()] == [["one", "zwei", "3"], [], [], None]
